@@ -104,3 +104,65 @@ def budget(spark, sf_dir):
         steps.cast("bigint").alias("steps_per_epoch"),
         F.greatest(F.lit(10), F.ceil(F.lit(600) / F.greatest(F.lit(1), steps))).cast("bigint").alias("epochs"),
     )
+
+
+# ---- scoring: judge, fluency, content --------------------------------------
+
+from pairloom.operators import content as C  # noqa: E402
+from pairloom.operators import fluency as FL  # noqa: E402
+from pairloom.operators import judge as J  # noqa: E402
+from pairloom.plans.corpus import judge_training  # noqa: E402
+
+
+def _conversations(c: Corpus) -> DataFrame:
+    return c.t("conversations", "conv_id", "turn", "role", "text")
+
+
+@query
+def judge_model(spark, sf_dir):
+    m = J.train_judge(judge_training(Corpus(spark, sf_dir)))
+    return m.words.select("word", "c0", "c1", F.round("lp0", 6).alias("lp0"), F.round("lp1", 6).alias("lp1"))
+
+
+@query
+def style_judge(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    m = J.train_judge(judge_training(c))
+    return J.score_judge(_conversations(c), m, ["conv_id", "turn"]).select("conv_id", "turn", "style")
+
+
+@query
+def style_accuracy(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    scored = J.score_judge(_conversations(c), J.train_judge(judge_training(c)), ["conv_id", "turn"])
+    return J.style_accuracy(scored, ["role"]).select("role", F.round("style_acc", 6).alias("style_acc"))
+
+
+@query
+def fluency_ppl(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    lm = FL.train_bigram(c.documents())
+    return FL.perplexity(_conversations(c), lm, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.round("ppl", 4).alias("ppl")
+    )
+
+
+@query
+def fluency_mean(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    scored = FL.perplexity(_conversations(c), FL.train_bigram(c.documents()), ["conv_id", "turn"])
+    return FL.mean_perplexity(scored, ["role"]).select("role", F.round("ppl_mean", 4).alias("ppl_mean"))
+
+
+@query
+def content_f1(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    out = C.content_f1(c.pairs(), c.t("embeddings", "vec_id", "embedding"), "pair_id", "tgt_raw", "src_raw")
+    return out.select("pair_id", *[F.round(x, 6).alias(x) for x in ("p", "r", "f1")])
+
+
+@query
+def content_mean(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    out = C.content_f1(c.pairs(), c.t("embeddings", "vec_id", "embedding"), "pair_id", "tgt_raw", "src_raw")
+    return out.groupBy("lang").agg(F.round(F.avg("f1"), 6).alias("content_mean"))

@@ -30,3 +30,11 @@ class Corpus:
 
     def train_pairs(self) -> DataFrame:
         return self.split_pairs().where(F.col("split") == "train").drop("split")
+
+
+def judge_training(c: Corpus) -> DataFrame:
+    """Labelled texts for the style judge: documents with their toxicity
+    label (1 = biased style, 0 = neutral)."""
+    return c.documents().join(c.t("labels", "doc_id", "toxic"), "doc_id").select(
+        "doc_id", "text", F.col("toxic").alias("label")
+    )

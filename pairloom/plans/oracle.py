@@ -108,3 +108,89 @@ ORACLE_SQL: dict[str, str] = {
                  count(*) OVER () AS n FROM train) WHERE rnk < round_even(p / 100.0 * n, 0))::BIGINT AS n
           FROM (VALUES (1), (10)) v(p))""",
 }
+
+JUDGE = f"""
+jt AS (SELECT d.text, l.toxic AS label FROM documents d JOIN labels l USING (doc_id)),
+jw AS (SELECT label, unnest({words('text')}) AS word FROM jt),
+jc AS (SELECT word, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS c0,
+              sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS c1 FROM jw GROUP BY word),
+jtot AS (SELECT sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM jc),
+jm AS (SELECT word, c0, c1, ln((c0 + 1) / (t0 + v)) AS lp0, ln((c1 + 1) / (t1 + v)) AS lp1 FROM jc, jtot),
+jp AS (SELECT ln(n0 / (n0 + n1)) AS p0, ln(n1 / (n0 + n1)) AS p1 FROM
+        (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0,
+                sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::DOUBLE AS n1 FROM jt))"""
+
+
+def judge_scores(src: str, ids: str, text: str = "text", name: str = "scored") -> str:
+    """CTEs scoring ``src`` (with key columns ``ids``) into ``name``."""
+    return f"""
+{name}_w AS (SELECT {ids}, word, count(*) AS k FROM
+        (SELECT {ids}, unnest({words(text)}) AS word FROM {src}) GROUP BY ALL),
+{name}_s AS (SELECT {ids}, sum(k * lp0) AS s0, sum(k * lp1) AS s1 FROM {name}_w JOIN jm USING (word) GROUP BY ALL),
+{name} AS (SELECT x.*, CASE WHEN jp.p1 + coalesce(s.s1, 0) > jp.p0 + coalesce(s.s0, 0) THEN 1 ELSE 0 END AS style
+           FROM {src} x LEFT JOIN {name}_s s USING ({ids}), jp)"""
+
+
+def bigram_rows(src: str, ids: str, text: str) -> str:
+    return f"""(SELECT {ids}{',' if ids else ''} seq[i] AS u, seq[i + 1] AS w FROM
+        (SELECT {ids}{',' if ids else ''} seq, unnest(range(1, len(seq))) AS i FROM
+          (SELECT {ids}{',' if ids else ''} ['<s>'] || ws || ['</s>'] AS seq FROM
+            (SELECT {ids}{',' if ids else ''} {words(text)} AS ws FROM {src}) WHERE len(ws) > 0)))"""
+
+
+LM = f"""
+fc AS (SELECT u, w, count(*) AS c FROM {bigram_rows('documents', '', 'text')} GROUP BY u, w),
+fx AS (SELECT u, sum(c) AS cu FROM fc GROUP BY u),
+fv AS (SELECT count(DISTINCT w) AS v FROM fc)"""
+
+
+def ppl_scores(src: str, ids: str, text: str = "text", name: str = "ppl") -> str:
+    return f"""
+{name}_b AS (SELECT {ids}, u, w, count(*) AS k FROM {bigram_rows(src, ids, text)} GROUP BY ALL),
+{name}_s AS (SELECT {ids}, exp(-sum(k * (ln(coalesce(c, 0) + 1) - ln(coalesce(cu, 0) + v))) / sum(k)) AS ppl
+             FROM {name}_b LEFT JOIN fc USING (u, w) LEFT JOIN fx USING (u), fv GROUP BY ALL),
+{name} AS (SELECT x.*, s.ppl FROM {src} x LEFT JOIN {name}_s s USING ({ids}))"""
+
+
+EMB = f"""
+emb_n AS (SELECT count(*) AS n FROM embeddings),
+emb AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u
+        FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
+
+
+def content_scores(src: str, ids: str, cand: str, ref: str, name: str = "cs") -> str:
+    on = " AND ".join(f"a.{i.strip()} = b.{i.strip()}" for i in ids.split(","))
+    return f"""
+{name}_t AS (SELECT {ids}, side, {HASH.format(x="'42:' || word")} % (SELECT n FROM emb_n) AS vec_id, count(*) AS k FROM
+      (SELECT {ids}, 0 AS side, unnest({words(cand)}) AS word FROM {src}
+       UNION ALL SELECT {ids}, 1 AS side, unnest({words(ref)}) AS word FROM {src}) GROUP BY ALL),
+{name}_v AS (SELECT t.*, emb.u FROM {name}_t t JOIN emb USING (vec_id)),
+{name}_m AS (SELECT {', '.join('a.' + i.strip() for i in ids.split(','))}, a.side, a.vec_id, a.k,
+                    max(list_dot_product(a.u, b.u)) AS best
+             FROM {name}_v a JOIN {name}_v b ON {on} AND a.side <> b.side GROUP BY ALL),
+{name}_pr AS (SELECT {ids}, sum(CASE WHEN side = 0 THEN k * best END) / sum(CASE WHEN side = 0 THEN k END) AS p,
+                     sum(CASE WHEN side = 1 THEN k * best END) / sum(CASE WHEN side = 1 THEN k END) AS r
+              FROM {name}_m GROUP BY ALL),
+{name} AS (SELECT x.*, coalesce(pr.p, 0) AS p, coalesce(pr.r, 0) AS r,
+                  coalesce(CASE WHEN pr.p + pr.r <> 0 THEN 2 * pr.p * pr.r / (pr.p + pr.r) END, 0) AS f1
+           FROM {src} x LEFT JOIN {name}_pr pr USING ({ids}))"""
+
+
+ORACLE_SQL.update(
+    {
+        "judge_model": w(JUDGE) + "SELECT word, c0, c1, round(lp0, 6) AS lp0, round(lp1, 6) AS lp1 FROM jm",
+        "style_judge": w(JUDGE, judge_scores("conversations", "conv_id, turn"))
+        + "SELECT conv_id, turn, style FROM scored",
+        "style_accuracy": w(JUDGE, judge_scores("conversations", "conv_id, turn"))
+        + "SELECT role, round(avg(CASE WHEN style = 0 THEN 1.0 ELSE 0.0 END), 6) AS style_acc FROM scored GROUP BY role",
+        "fluency_ppl": w(LM, ppl_scores("conversations", "conv_id, turn"))
+        + "SELECT conv_id, turn, round(ppl, 4) AS ppl FROM ppl",
+        "fluency_mean": w(LM, ppl_scores("conversations", "conv_id, turn"))
+        + """SELECT role, round(coalesce(avg(CASE WHEN NOT isnan(ppl) THEN ppl END), 'Infinity'::DOUBLE), 4) AS ppl_mean
+        FROM ppl GROUP BY role""",
+        "content_f1": w(PAIRS, EMB, content_scores("pairs", "pair_id", "tgt_raw", "src_raw"))
+        + "SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM cs",
+        "content_mean": w(PAIRS, EMB, content_scores("pairs", "pair_id", "tgt_raw", "src_raw"))
+        + "SELECT lang, round(avg(f1), 6) AS content_mean FROM cs GROUP BY lang",
+    }
+)
