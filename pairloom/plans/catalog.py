@@ -166,3 +166,107 @@ def content_mean(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     out = C.content_f1(c.pairs(), c.t("embeddings", "vec_id", "embedding"), "pair_id", "tgt_raw", "src_raw")
     return out.groupBy("lang").agg(F.round(F.avg("f1"), 6).alias("content_mean"))
+
+
+# ---- rewriting and reports --------------------------------------------------
+
+from pairloom.operators import report as RP  # noqa: E402
+from pairloom.operators import rewrite as R  # noqa: E402
+from pairloom.plans.evaluation import MODELS, Evaluation  # noqa: E402
+
+
+def _ev(spark, sf_dir) -> Evaluation:
+    return Evaluation(Corpus(spark, sf_dir))
+
+
+@query
+def translation_dictionary(spark, sf_dir):
+    return _ev(spark, sf_dir).dictionary()
+
+
+@query
+def translate_pairs(spark, sf_dir):
+    return _ev(spark, sf_dir).synthetic_pairs()
+
+
+@query
+def neutral_lexicon(spark, sf_dir):
+    lex = _ev(spark, sf_dir).pivot_lexicon()
+    return lex.select("word", "pairs_with_word", "removed", F.round("rate", 6).alias("rate"))
+
+
+@query
+def neutralize_zero_shot(spark, sf_dir):
+    return _ev(spark, sf_dir).branch("zero_shot").select("id", "lang", "prediction")
+
+
+@query
+def neutralize_synthetic(spark, sf_dir):
+    return _ev(spark, sf_dir).branch("synthetic").select("id", "lang", "prediction")
+
+
+@query
+def neutralize_few_shot(spark, sf_dir):
+    return _ev(spark, sf_dir).branch("few_shot").select("id", "lang", "prediction")
+
+
+@query
+def neutralize_pivot(spark, sf_dir):
+    return _ev(spark, sf_dir).branch("pivot").select("id", "lang", "prediction")
+
+
+@query
+def model_outputs(spark, sf_dir):
+    return _ev(spark, sf_dir).outputs().select("id", "model", "prediction")
+
+
+def _scores(spark, sf_dir):
+    return _ev(spark, sf_dir).scores()
+
+
+@query
+def leaderboard(spark, sf_dir):
+    b = RP.leaderboard(_scores(spark, sf_dir))
+    return b.select(
+        "model",
+        F.round("style_acc", 6).alias("style_acc"),
+        F.round("content_sim", 6).alias("content_sim"),
+        F.round("fluency_ppl", 4).alias("fluency_ppl"),
+        F.round("composite", 6).alias("composite"),
+    )
+
+
+@query
+def leaderboard_display(spark, sf_dir):
+    return RP.leaderboard_display(RP.leaderboard(_scores(spark, sf_dir)))
+
+
+@query
+def inspection_wide(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    return RP.inspection_wide(ev.examples(), ev.outputs(), MODELS)
+
+
+@query
+def granular_report(spark, sf_dir):
+    return RP.granular_report(RP.example_scores(_scores(spark, sf_dir)), MODELS)
+
+
+@query
+def qualitative_head(spark, sf_dir):
+    """The first three examples (by id) with every model's output."""
+    ev = _ev(spark, sf_dir)
+    head = ev.examples().orderBy("id").limit(3).select("id")
+    return ev.outputs().join(head, "id").select("id", "input", "model", "prediction")
+
+
+@query
+def worst_examples(spark, sf_dir):
+    """The report sorted by composite, lowest (and failed) first: the
+    ten worst (example, model) cells."""
+    cells = RP.example_scores(_scores(spark, sf_dir))
+    return (
+        cells.orderBy(F.asc_nulls_first("Composite"), "id", "model")
+        .limit(10)
+        .select("id", "model", "Output", "Style", "Content", "Fluency", "Composite")
+    )

@@ -194,3 +194,167 @@ ORACLE_SQL.update(
         + "SELECT lang, round(avg(f1), 6) AS content_mean FROM cs GROUP BY lang",
     }
 )
+
+# ---- rewriting and reports ----------------------------------------------
+
+MODELS = ["pivot", "zero_shot", "synthetic", "few_shot"]
+TARGETS = ["de", "es", "fr"]
+
+DICT = f"""
+wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words('text')}) AS word FROM documents) GROUP BY ALL),
+wr AS (SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc)
+       WHERE rank <= 2000),
+dict AS (SELECT o.lang, p.word AS pivot_word, o.word FROM wr o JOIN wr p ON o.rank = p.rank
+         WHERE p.lang = 'en' AND o.lang <> 'en')"""
+
+
+def _cols(ids):
+    return ", ".join(ids)
+
+
+def translate_sql(name, src, ids, text, out, to_pivot):
+    f, t = ("word", "pivot_word") if to_pivot else ("pivot_word", "word")
+    on_ids = " AND ".join(f"x.{i} = a.{i}" for i in ids)
+    return f"""
+{name}_e AS (SELECT {_cols(ids)}, lg, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos
+             FROM (SELECT {_cols(ids)}, lang AS lg, {words(text)} AS ws FROM {src})),
+{name}_j AS (SELECT {_cols('e.' + i for i in ids)}, e.pos, coalesce(d.{t}, e.word) AS w
+             FROM {name}_e e LEFT JOIN dict d ON d.lang = e.lg AND d.{f} = e.word),
+{name}_a AS (SELECT {_cols(ids)}, string_agg(w, ' ' ORDER BY pos) AS t FROM {name}_j GROUP BY ALL),
+{name} AS (SELECT x.*, CASE WHEN x.{text} IS NULL THEN NULL ELSE coalesce(a.t, '') END AS {out}
+           FROM {src} x LEFT JOIN {name}_a a ON {on_ids})"""
+
+
+def lexicon_sql(name, src, group):
+    g = [group] if group else []
+    gs = "".join(f"{c}, " for c in g)
+    return f"""
+{name}_b AS (SELECT {gs}list_distinct(s) AS al, list_filter(list_distinct(s), lambda x: NOT list_contains(t, x)) AS rem
+             FROM (SELECT {gs}{words('src_raw')} AS s, {words('tgt_raw')} AS t FROM {src})),
+{name}_r AS (SELECT {gs}unnest(al) AS word, 1 AS tt, 0 AS rr FROM {name}_b
+             UNION ALL SELECT {gs}unnest(rem) AS word, 0 AS tt, 1 AS rr FROM {name}_b),
+{name} AS (SELECT {gs}word, sum(tt) AS pairs_with_word, sum(rr) AS removed, sum(rr) / sum(tt) AS rate
+           FROM {name}_r GROUP BY ALL HAVING sum(tt) >= 2 AND sum(rr) / sum(tt) >= 0.5)"""
+
+
+def neutralize_sql(name, src, lex, ids, text, out, match_lang):
+    cond = " AND l.lang = e.lg" if match_lang else ""
+    on_ids = " AND ".join(f"x.{i} = a.{i}" for i in ids)
+    return f"""
+{name}_e AS (SELECT {_cols(ids)}, lg, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos
+             FROM (SELECT {_cols(ids)}, lang AS lg, {words(text)} AS ws FROM {src})),
+{name}_k AS (SELECT * FROM {name}_e e WHERE NOT EXISTS (SELECT 1 FROM {lex} l WHERE l.word = e.word{cond})),
+{name}_a AS (SELECT {_cols(ids)}, string_agg(word, ' ' ORDER BY pos) AS t FROM {name}_k GROUP BY ALL),
+{name} AS (SELECT x.*, CASE WHEN x.{text} IS NULL THEN NULL ELSE coalesce(a.t, '') END AS {out}
+           FROM {src} x LEFT JOIN {name}_a a ON {on_ids})"""
+
+
+SYNTH = (
+    f"""
+sx AS (SELECT s.pair_id, s.split, l.lang, s.src_raw AS src_en_original, s.tgt_raw AS tgt_en_original
+       FROM split s, (VALUES {', '.join(f"('{t}')" for t in TARGETS)}) l(lang)
+       WHERE s.lang = 'en' AND s.split IN ('train', 'val')),"""
+    + translate_sql("sx1", "sx", ["pair_id", "lang"], "src_en_original", "src_raw", False)
+    + ","
+    + translate_sql("sx2", "sx1", ["pair_id", "lang"], "tgt_en_original", "tgt_raw", False)
+    + """,
+synth AS (SELECT pair_id, lang, split, src_raw, tgt_raw, src_en_original, tgt_en_original FROM sx2),
+synth_train AS (SELECT * FROM synth WHERE split = 'train'),
+few AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY """
+    + hkey("pair_id", "lang")
+    + """, pair_id, lang) - 1 AS rnk,
+               count(*) OVER () AS n FROM synth_train) WHERE rnk < round_even(0.1 * n, 0)),
+en_train AS (SELECT * FROM train WHERE lang = 'en'),"""
+    + lexicon_sql("lex_en", "en_train", None)
+    + ","
+    + lexicon_sql("lex_syn", "synth_train", "lang")
+    + ","
+    + lexicon_sql("lex_few", "few", "lang")
+)
+
+EXAMPLES = """
+ex AS (SELECT pair_id AS id, lang, src_raw AS input, tgt_raw AS gold FROM split WHERE split = 'test' AND lang <> 'en')"""
+
+BRANCHES = (
+    neutralize_sql("b_zero", "ex", "lex_en", ["id"], "input", "prediction", False)
+    + ","
+    + neutralize_sql("b_syn", "ex", "lex_syn", ["id"], "input", "prediction", True)
+    + ","
+    + neutralize_sql("b_few", "ex", "lex_few", ["id"], "input", "prediction", True)
+    + ","
+    + translate_sql("bp1", "ex", ["id"], "input", "_en", True)
+    + ","
+    + neutralize_sql("bp2", "bp1", "lex_en", ["id"], "_en", "_en_n", False)
+    + ","
+    + translate_sql("b_piv", "bp2", ["id"], "_en_n", "prediction", False)
+    + """,
+outputs AS (SELECT id, lang, input, gold, 'pivot' AS model, prediction FROM b_piv
+  UNION ALL SELECT id, lang, input, gold, 'zero_shot', prediction FROM b_zero
+  UNION ALL SELECT id, lang, input, gold, 'synthetic', prediction FROM b_syn
+  UNION ALL SELECT id, lang, input, gold, 'few_shot', prediction FROM b_few)"""
+)
+
+EVAL = [PAIRS, SPLIT, DICT, SYNTH, EXAMPLES, BRANCHES]
+SCORES = EVAL + [
+    JUDGE,
+    LM,
+    EMB,
+    judge_scores("outputs", "id, model", text="prediction", name="sj"),
+    content_scores("sj", "id, model", "prediction", "input", name="sc"),
+    ppl_scores("sc", "id, model", text="prediction", name="scores"),
+]
+
+CELLS = """
+cells0 AS (SELECT *, (prediction IS NULL OR prediction = '' OR prediction = 'Error') AS failed,
+                  coalesce(ppl, 'Infinity'::DOUBLE) AS pv FROM scores),
+cells AS (SELECT id, input, gold, model,
+    CASE WHEN failed THEN 'Error' ELSE prediction END AS "Output",
+    CASE WHEN failed THEN 0 ELSE (style = 0)::INTEGER END AS "Style",
+    CASE WHEN failed THEN 0.0 ELSE round(f1, 3) END AS "Content",
+    CASE WHEN failed THEN 99999.0 ELSE round(pv, 1) END AS "Fluency",
+    CASE WHEN failed THEN NULL
+         ELSE round(pow((style = 0)::INTEGER::DOUBLE * f1 * (100.0 / greatest(pv, 1.0)), 1.0 / 3.0), 3) END AS "Composite"
+  FROM cells0)"""
+
+_report_cols = ",\n".join(
+    f'  max(CASE WHEN model = \'{m}\' THEN "{f}" END) AS "{m}_{f}"'
+    for m in MODELS
+    for f in ("Output", "Style", "Content", "Fluency", "Composite")
+)
+
+ORACLE_SQL.update(
+    {
+        "translation_dictionary": w(DICT) + "SELECT lang, pivot_word, word FROM dict",
+        "translate_pairs": w(PAIRS, SPLIT, DICT, SYNTH) + "SELECT * FROM synth",
+        "neutral_lexicon": w(PAIRS, SPLIT, DICT, SYNTH)
+        + "SELECT word, pairs_with_word, removed, round(rate, 6) AS rate FROM lex_en",
+        "neutralize_zero_shot": w(*EVAL) + "SELECT id, lang, prediction FROM b_zero",
+        "neutralize_synthetic": w(*EVAL) + "SELECT id, lang, prediction FROM b_syn",
+        "neutralize_few_shot": w(*EVAL) + "SELECT id, lang, prediction FROM b_few",
+        "neutralize_pivot": w(*EVAL) + "SELECT id, lang, prediction FROM b_piv",
+        "model_outputs": w(*EVAL) + "SELECT id, model, prediction FROM outputs",
+        "leaderboard": w(*SCORES)
+        + """SELECT model, round(acc, 6) AS style_acc, round(sim, 6) AS content_sim, round(ppl, 4) AS fluency_ppl,
+       round(pow(acc * sim * (1.0 / CASE WHEN ppl <= 0 THEN 9999.0 ELSE ppl END), 1.0 / 3.0), 6) AS composite
+FROM (SELECT model, arg_min(prediction, id) AS first_pred, avg(CASE WHEN style = 0 THEN 1.0 ELSE 0.0 END) AS acc,
+             avg(f1) AS sim, coalesce(avg(CASE WHEN NOT isnan(ppl) THEN ppl END), 'Infinity'::DOUBLE) AS ppl
+      FROM scores GROUP BY model)
+WHERE first_pred IS NULL OR first_pred <> 'Error'""",
+        "inspection_wide": w(*EVAL)
+        + f"""SELECT id AS "ID", input AS "Original_Biased", gold AS "Gold_Reference",
+{", ".join(f"max(CASE WHEN model = '{m}' THEN p END) AS \"Pred_{m}\"" for m in MODELS)}
+FROM (SELECT g.id, g.input, g.gold, g.model, coalesce(o.prediction, '') AS p
+      FROM (SELECT id, input, gold, m.model FROM ex, (VALUES {', '.join(f"('{m}')" for m in MODELS)}) m(model)) g
+      LEFT JOIN outputs o ON o.id = g.id AND o.model = g.model)
+GROUP BY id, input, gold""",
+        "granular_report": w(*SCORES, CELLS)
+        + f"""SELECT id AS "ID", input AS "Original_Input", gold AS "Gold_Reference",
+{_report_cols}
+FROM cells GROUP BY id, input, gold""",
+        "qualitative_head": w(*EVAL)
+        + "SELECT id, input, model, prediction FROM outputs WHERE id IN (SELECT id FROM ex ORDER BY id LIMIT 3)",
+        "worst_examples": w(*SCORES, CELLS)
+        + """SELECT id, model, "Output", "Style", "Content", "Fluency", "Composite" FROM cells
+ORDER BY "Composite" ASC NULLS FIRST, id, model LIMIT 10""",
+    }
+)
