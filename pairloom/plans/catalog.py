@@ -270,3 +270,78 @@ def worst_examples(spark, sf_dir):
         .limit(10)
         .select("id", "model", "Output", "Style", "Content", "Fluency", "Composite")
     )
+
+
+# ---- gold set, encoding, losses, logs, raw scan ------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from pairloom.functions.text import hash_key  # noqa: E402
+from pairloom.operators import encode as EN  # noqa: E402
+from pairloom.operators import logs as LG  # noqa: E402
+from pairloom.sources import text_tables as TT  # noqa: E402
+
+
+@query
+def gold_set(spark, sf_dir):
+    """100 sampled pivot-language test pairs with dense ids,
+    both sides translated into the target language, originals kept."""
+    ev = _ev(spark, sf_dir)
+    test = ev.c.split_pairs().where((F.col("split") == "test") & (F.col("lang") == "en"))
+    s = S.sample_n(test, 100, "pair_id")
+    s = s.withColumn("ID", F.row_number().over(Window.orderBy(hash_key("pair_id"), "pair_id")) - 1)
+    x = s.select("ID", F.lit("fr").alias("lang"), F.col("src_raw").alias("English_Ref"), "src_raw", "tgt_raw")
+    d = ev.dictionary()
+    x = R.translate(x, d, "ID", "src_raw", "lang", to_pivot=False, out="Target_Biased")
+    x = R.translate(x, d, "ID", "tgt_raw", "lang", to_pivot=False, out="Target_Neutral_Gold")
+    return x.select(F.col("ID").cast("int").alias("ID"), "English_Ref", "Target_Biased", "Target_Neutral_Gold")
+
+
+def _encoded(spark, sf_dir):
+    train = Corpus(spark, sf_dir).train_pairs()
+    vocab = EN.vocabulary(P.labelled_texts(train), 8000)
+    return EN.encode_pairs(train, vocab, 128)
+
+
+@query
+def encode_fixed(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("pair_id", "input_ids", "attention_mask", "labels")
+
+
+def _losses(spark, sf_dir):
+    lm = FL.train_bigram(Corpus(spark, sf_dir).documents())
+    return EN.token_losses(_encoded(spark, sf_dir), lm)
+
+
+@query
+def masked_loss(spark, sf_dir):
+    return EN.masked_loss(_losses(spark, sf_dir)).select("pair_id", F.round("masked_loss", 6).alias("masked_loss"))
+
+
+@query
+def weighted_loss(spark, sf_dir):
+    return EN.weighted_loss(_losses(spark, sf_dir)).select(
+        "pair_id", F.round("weighted_loss", 6).alias("weighted_loss")
+    )
+
+
+def _events(spark, sf_dir):
+    return Corpus(spark, sf_dir).t("events", "event_id", "event_type", "value", "props")
+
+
+@query
+def log_explode(spark, sf_dir):
+    docs = LG.log_documents(_events(spark, sf_dir))
+    return LG.explode_log(LG.parse_log(docs))
+
+
+@query
+def log_union(spark, sf_dir):
+    t = LG.log_table(_events(spark, sf_dir))
+    return t.withColumn("train_loss", F.round("train_loss", 6))
+
+
+@query
+def tsv_scan(spark, sf_dir):
+    """S1 over the lines of every document."""
+    return TT.parse_tsv_lines(TT.text_lines(Corpus(spark, sf_dir).documents()))

@@ -358,3 +358,76 @@ FROM cells GROUP BY id, input, gold""",
 ORDER BY "Composite" ASC NULLS FIRST, id, model LIMIT 10""",
     }
 )
+
+GOLD = (
+    f"""
+gs AS (SELECT * FROM split WHERE split = 'test' AND lang = 'en' ORDER BY {hkey('pair_id')}, pair_id LIMIT 100),
+g0 AS (SELECT row_number() OVER (ORDER BY {hkey('pair_id')}, pair_id) - 1 AS "ID", 'fr' AS lang,
+              src_raw AS "English_Ref", src_raw, tgt_raw FROM gs),"""
+    + translate_sql("g1", "g0", ['"ID"'], "src_raw", '"Target_Biased"', False)
+    + ","
+    + translate_sql("g2", "g1", ['"ID"'], "tgt_raw", '"Target_Neutral_Gold"', False)
+)
+
+ENCODE = f"""
+vt AS (SELECT unnest({words('src_raw')}) AS word FROM train UNION ALL SELECT unnest({words('tgt_raw')}) FROM train),
+voc AS (SELECT word, rn + 1 AS id FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn
+        FROM (SELECT word, count(*) AS n FROM vt GROUP BY word)) WHERE rn <= 8000),
+ee AS (SELECT pair_id, side, ws, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM
+       (SELECT pair_id, 0 AS side, {words('src_raw')}[1:128] AS ws FROM train
+        UNION ALL SELECT pair_id, 1 AS side, {words('tgt_raw')}[1:128] AS ws FROM train)),
+ej AS (SELECT ee.*, coalesce(voc.id, 1) AS id FROM ee LEFT JOIN voc USING (word)),
+el AS (SELECT pair_id, coalesce(list(id ORDER BY pos) FILTER (WHERE side = 0), []) AS src,
+              coalesce(list(id ORDER BY pos) FILTER (WHERE side = 1), []) AS tgt,
+              coalesce(list(word ORDER BY pos) FILTER (WHERE side = 0), []) AS sw,
+              coalesce(list(word ORDER BY pos) FILTER (WHERE side = 1), []) AS tw FROM ej GROUP BY pair_id),
+enc AS (SELECT t.pair_id,
+          list_concat(coalesce(src, []), list_transform(range(128 - len(coalesce(src, []))), lambda x: 0)) AS input_ids,
+          list_concat(list_transform(coalesce(src, []), lambda x: 1), list_transform(range(128 - len(coalesce(src, []))), lambda x: 0)) AS attention_mask,
+          list_transform(list_concat(coalesce(tgt, []), list_transform(range(128 - len(coalesce(tgt, []))), lambda x: 0)),
+                         lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels,
+          coalesce(sw, []) AS sw, coalesce(tw, []) AS tw
+        FROM train t LEFT JOIN el USING (pair_id))"""
+
+LOSSES = """
+tl0 AS (SELECT pair_id, pos, labels[pos + 1] AS label, tw[pos + 1] AS w, sw[pos + 1] AS swd,
+               CASE WHEN pos = 0 THEN '<s>' ELSE tw[pos] END AS u
+        FROM (SELECT pair_id, labels, sw, tw, unnest(range(128)) AS pos FROM enc)),
+tl AS (SELECT pair_id, pos, label,
+              CASE WHEN label = -100 THEN 0.0 ELSE -(ln(coalesce(c, 0) + 1) - ln(coalesce(cu, 0) + v)) END AS loss,
+              CASE WHEN label = -100 THEN 0.0 WHEN swd IS NOT DISTINCT FROM w THEN 1.0 ELSE 2.0 END AS weight
+       FROM tl0 LEFT JOIN fc USING (u, w) LEFT JOIN fx USING (u), fv)"""
+
+EVENTS = """
+ev0 AS (SELECT event_id, event_type AS typ, value, json_extract(props, '$.k')::DOUBLE AS k FROM events),
+ev AS (SELECT event_id, event_id // 1024 AS doc_id,
+              CASE WHEN typ <> 'error' THEN event_id END AS step, k / 100 AS epoch,
+              CASE WHEN typ <> 'view' THEN value END AS loss,
+              CASE WHEN typ = 'click' THEN value / 1000 END AS learning_rate,
+              CASE WHEN typ = 'purchase' THEN k END AS grad_norm,
+              CASE WHEN typ = 'view' THEN value END AS eval_loss FROM ev0)"""
+
+ORACLE_SQL.update(
+    {
+        "gold_set": w(PAIRS, SPLIT, DICT, GOLD)
+        + 'SELECT "ID"::INTEGER AS "ID", "English_Ref", "Target_Biased", "Target_Neutral_Gold" FROM g2',
+        "encode_fixed": w(PAIRS, SPLIT, ENCODE) + "SELECT pair_id, input_ids, attention_mask, labels FROM enc",
+        "masked_loss": w(PAIRS, SPLIT, ENCODE, LM, LOSSES)
+        + "SELECT pair_id, round(avg(CASE WHEN label <> -100 THEN loss END), 6) AS masked_loss FROM tl GROUP BY pair_id",
+        "weighted_loss": w(PAIRS, SPLIT, ENCODE, LM, LOSSES)
+        + "SELECT pair_id, round(sum(loss * weight) / (sum(weight) + 1e-9), 6) AS weighted_loss FROM tl GROUP BY pair_id",
+        "log_explode": w(EVENTS)
+        + """SELECT doc_id, idx, step, loss, coalesce(learning_rate, 0.0) AS learning_rate, coalesce(grad_norm, 0.0) AS grad_norm
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) - 1 AS idx FROM ev)
+        WHERE loss IS NOT NULL AND step IS NOT NULL""",
+        "log_union": w(EVENTS)
+        + """SELECT doc_id, step, epoch, loss, learning_rate, grad_norm FROM ev WHERE loss IS NOT NULL
+        UNION ALL BY NAME SELECT doc_id, step, epoch, eval_loss, eval_loss * 10 AS eval_runtime FROM ev WHERE eval_loss IS NOT NULL
+        UNION ALL BY NAME SELECT doc_id, max(step) AS step, max(epoch) AS epoch, count(*)::DOUBLE AS train_runtime,
+                                 round(avg(loss), 6) AS train_loss FROM ev GROUP BY doc_id""",
+        "tsv_scan": """SELECT f[1] AS id, f[2] AS src_tok, f[3] AS tgt_tok, f[4] AS src_raw, f[5] AS tgt_raw, f[6] AS pos, f[7] AS parse
+        FROM (SELECT string_split(line, chr(9)) AS f FROM
+              (SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line FROM documents) WHERE line <> '')
+        WHERE len(f) <= 7""",
+    }
+)
