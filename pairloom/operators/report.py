@@ -49,7 +49,10 @@ def leaderboard_display(board: DataFrame) -> DataFrame:
     """Display strings, formatted in the last projection only."""
     return board.select(
         F.col("model").alias("Model"),
-        F.format_string("%.2f%%", F.col("style_acc") * 100).alias("Style Acc"),
+        F.concat(
+            F.format_string("%.2f", F.col("style_acc") * 100),
+            F.when(F.isnan("style_acc") | F.col("style_acc").isin(INF, -INF), F.lit("")).otherwise(F.lit("%")),
+        ).alias("Style Acc"),
         F.format_string("%.3f", "content_sim").alias("Content Sim"),
         F.format_string("%.2f", "fluency_ppl").alias("Fluency PPL"),
         F.format_string("%.3f", "composite").alias("Composite Score"),
