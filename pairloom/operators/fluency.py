@@ -19,13 +19,14 @@ from pairloom.functions.text import words
 BOS, EOS = "<s>", "</s>"
 
 
-def bigrams(text) -> Column:
-    """Array of (u, w) structs over <s> words </s>; null for blank text."""
-    ws = words(text)
-    seq = F.concat(F.array(F.lit(BOS)), ws, F.array(F.lit(EOS)))
-    n = F.size(ws) + 1
-    pairs = F.arrays_zip(F.slice(seq, 1, n).alias("u"), F.slice(seq, 2, n).alias("w"))
-    return F.when(F.size(ws) > 0, pairs)
+def bigram_rows(df: DataFrame, ids, text: str = "text") -> DataFrame:
+    """(ids..., u, w) for every bigram of <s> words </s>; blank and null
+    texts give no rows.  One posexplode per text; the previous token is an
+    index lookup into the same word array (no zipped struct arrays)."""
+    ws = df.select(*ids, words(text).alias("_ws")).where(F.size("_ws") > 0)
+    x = ws.select(*ids, "_ws", F.posexplode(F.concat("_ws", F.array(F.lit(EOS)))).alias("_i", "w"))
+    u = F.when(F.col("_i") == 0, F.lit(BOS)).otherwise(F.get(F.col("_ws"), F.col("_i") - 1))
+    return x.select(*ids, u.alias("u"), "w")
 
 
 @dataclass
@@ -35,8 +36,13 @@ class BigramModel:
     vocab: Column  # scalar subquery V
 
 
-def train_bigram(corpus: DataFrame, text: str = "text") -> BigramModel:
-    bg = corpus.select(F.inline(bigrams(text))).groupBy("u", "w").agg(F.count(F.lit(1)).alias("c"))
+def train_bigram(corpus: DataFrame, text: str = "text", materialize: bool = True) -> BigramModel:
+    """Counts of every bigram of the corpus.  The model feeds several
+    joins and two scalar totals, so it is written once to the checkpoint
+    folder (``materialize``) instead of being recounted by each."""
+    bg = bigram_rows(corpus, [], text).groupBy("u", "w").agg(F.count(F.lit(1)).alias("c"))
+    if materialize:
+        bg = bg.checkpoint(eager=True)
     ctx = bg.groupBy("u").agg(F.sum("c").alias("cu"))
     v = bg.agg(F.countDistinct("w").alias("v")).select("v").scalar()
     return BigramModel(bg, ctx, v)
@@ -46,7 +52,7 @@ def perplexity(texts: DataFrame, model: BigramModel, id_cols, text: str = "text"
     """Adds ``ppl`` to every row of ``texts`` (null for blank text).
     Bigrams are pre-aggregated per text before the two model joins."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    bg = texts.select(*ids, F.inline(bigrams(text))).groupBy(*ids, "u", "w").agg(F.count(F.lit(1)).alias("k"))
+    bg = bigram_rows(texts, ids, text).groupBy(*ids, "u", "w").agg(F.count(F.lit(1)).alias("k"))
     scored = (
         bg.join(model.bigrams, ["u", "w"], "left")
         .join(model.contexts, "u", "left")

@@ -25,14 +25,18 @@ class JudgeModel:
     prior1: Column
 
 
-def train_judge(labelled: DataFrame, text: str = "text", label: str = "label") -> JudgeModel:
+def train_judge(labelled: DataFrame, text: str = "text", label: str = "label", materialize: bool = True) -> JudgeModel:
     """U4: one aggregation over exploded words (partial aggregation
-    absorbs frequent words), totals as scalar subqueries."""
+    absorbs frequent words), totals as scalar subqueries.  The word
+    table is written once to the checkpoint folder (``materialize``): it
+    feeds its own totals and every scoring join."""
     toks = labelled.select(F.col(label).cast("int").alias("_y"), F.explode(words(text)).alias("word"))
     counts = toks.groupBy("word").agg(
         F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).cast("bigint").alias("c0"),
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
     )
+    if materialize:
+        counts = counts.checkpoint(eager=True)
     tot = counts.agg(
         F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count(F.lit(1)).alias("v")
     )

@@ -287,7 +287,7 @@ def gold_set(spark, sf_dir):
     """100 sampled pivot-language test pairs with dense ids,
     both sides translated into the target language, originals kept."""
     ev = _ev(spark, sf_dir)
-    test = ev.c.split_pairs().where((F.col("split") == "test") & (F.col("lang") == "en"))
+    test = ev.split_pairs().where((F.col("split") == "test") & (F.col("lang") == "en"))
     s = S.sample_n(test, 100, "pair_id")
     s = s.withColumn("ID", F.row_number().over(Window.orderBy(hash_key("pair_id"), "pair_id")) - 1)
     x = s.select("ID", F.lit("fr").alias("lang"), F.col("src_raw").alias("English_Ref"), "src_raw", "tgt_raw")

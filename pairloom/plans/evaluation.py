@@ -22,14 +22,31 @@ TARGETS = ["de", "es", "fr"]
 class Evaluation:
     def __init__(self, corpus: Corpus, dict_size: int = 2000, few_shot_frac: float = 0.1):
         self.c, self.k, self.frac = corpus, dict_size, few_shot_frac
+        self._memo: dict[str, DataFrame] = {}
+
+    def _once(self, key: str, build) -> DataFrame:
+        """Tables that several branches read are written once to the
+        shared checkpoint folder (and lineage is cut there)."""
+        if key not in self._memo:
+            self._memo[key] = build().checkpoint(eager=True)
+        return self._memo[key]
+
+    def split_pairs(self) -> DataFrame:
+        return self._once("split_pairs", self.c.split_pairs)
+
+    def train_pairs(self) -> DataFrame:
+        return self.split_pairs().where(F.col("split") == "train").drop("split")
 
     def dictionary(self) -> DataFrame:
-        return R.rank_dictionary(self.c.documents(), PIVOT, self.k)
+        return self._once("dictionary", lambda: R.rank_dictionary(self.c.documents(), PIVOT, self.k))
 
     def synthetic_pairs(self) -> DataFrame:
+        return self._once("synthetic", self._synthetic_pairs)
+
+    def _synthetic_pairs(self) -> DataFrame:
         """Pivot-language train and val pairs translated into every
         target language (the test split is left out)."""
-        en = self.c.split_pairs().where((F.col("lang") == PIVOT) & F.col("split").isin("train", "val"))
+        en = self.split_pairs().where((F.col("lang") == PIVOT) & F.col("split").isin("train", "val"))
         x = en.select(
             "pair_id",
             "split",
@@ -45,18 +62,23 @@ class Evaluation:
     def examples(self) -> DataFrame:
         """Held-out target-language pairs: input = biased source, gold =
         neutral target."""
-        t = self.c.split_pairs().where((F.col("split") == "test") & (F.col("lang") != PIVOT))
+        t = self.split_pairs().where((F.col("split") == "test") & (F.col("lang") != PIVOT))
         return t.select(F.col("pair_id").alias("id"), "lang", F.col("src_raw").alias("input"), F.col("tgt_raw").alias("gold"))
 
     def pivot_lexicon(self) -> DataFrame:
-        return R.learn_lexicon(self.c.train_pairs().where(F.col("lang") == PIVOT))
+        return self._once("lex_pivot", lambda: R.learn_lexicon(self.train_pairs().where(F.col("lang") == PIVOT)))
 
     def synthetic_lexicon(self) -> DataFrame:
-        return R.learn_lexicon(self.synthetic_pairs().where(F.col("split") == "train"), ["lang"])
+        return self._once(
+            "lex_synthetic", lambda: R.learn_lexicon(self.synthetic_pairs().where(F.col("split") == "train"), ["lang"])
+        )
 
     def few_shot_lexicon(self) -> DataFrame:
-        train = self.synthetic_pairs().where(F.col("split") == "train")
-        return R.learn_lexicon(S.sample_frac(train, self.frac, ["pair_id", "lang"]), ["lang"])
+        def build():
+            train = self.synthetic_pairs().where(F.col("split") == "train")
+            return R.learn_lexicon(S.sample_frac(train, self.frac, ["pair_id", "lang"]), ["lang"])
+
+        return self._once("lex_few_shot", build)
 
     def branch(self, model: str) -> DataFrame:
         ex = self.examples()
