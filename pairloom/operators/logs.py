@@ -105,3 +105,11 @@ def log_table(events: DataFrame) -> DataFrame:
         F.avg("loss").alias("train_loss"),
     )
     return train.unionByName(evals, allowMissingColumns=True).unionByName(final, allowMissingColumns=True)
+
+
+def curve_or_message(parsed: DataFrame) -> tuple[DataFrame | None, str]:
+    """The caller-side guard: no usable training steps -> message."""
+    x = explode_log(parsed)
+    if x.isEmpty():
+        return None, "No training steps with 'loss' data found."
+    return training_curve(x), "ok"

@@ -25,7 +25,12 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
     found through a small table of bucket bounds (one row per key-bucket,
     no text) and joined back only for those boundary rows."""
     d = (
-        computed_once(documents.select("doc_id", "lang", "text"), _ws=words("text"))
+        computed_once(
+            documents.select("doc_id", "lang", "text").where(
+                F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+            ),
+            _ws=words("text"),
+        )
         .where(F.size("_ws") >= KEY_WORDS)
         .select(
             "doc_id",
@@ -34,6 +39,9 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
             F.slice("_ws", 1, KEY_WORDS).alias("k5"),
             F.floor(F.col("doc_id") / F.lit(bucket_ids)).alias("b"),
         )
+        # stated once here, so the constraints the joins below infer add
+        # nothing and every branch shares one scan and one shuffle
+        .where(F.col("k5").isNotNull() & F.col("b").isNotNull())
     )
     w = Window.partitionBy("lang", "k5", "b").orderBy("doc_id")
     loc = d.select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.pairs import revision_pairs
 from pairloom.operators.splits import split_80_10_10
-from pairloom.session import table
+from pairloom.session import ensure_checkpoint_dir, table
 
 
 class Corpus:
@@ -15,6 +15,8 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # materialised tables go to the session's shared checkpoint folder
+        ensure_checkpoint_dir(spark)
 
     def t(self, name: str, *cols: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name, *cols)

@@ -44,11 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the platform and is a shared filesystem;
     it is only filled in here when unset (local tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current and sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="pairloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
