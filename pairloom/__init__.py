@@ -6,4 +6,15 @@ plans.  Public functions take and return DataFrames; nothing is collected
 to the driver.
 """
 
+import sys
+
 __version__ = "0.1.0"
+
+# Python tasks (the content-score UDF, map_text) carry pairloom's code with
+# them, so executors need no installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship with addPyFile instead
+    pass

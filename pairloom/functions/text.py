@@ -5,8 +5,10 @@ the deterministic hash key used by every split and sample."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the whitespace class of Python's ``str.split()`` written as a
 # Java regex (ASCII controls 0x09-0x0D and 0x1C-0x20, U+0085 and every
@@ -14,9 +16,10 @@ from pyspark.sql import functions as F
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 
 # C3 encodes every distinct word of a pair as one supplementary-plane code
-# point, so a character-level Levenshtein over the encoded strings is the
-# word-level distance.  2**20 code points are available (U+10000..U+10FFFF);
-# a document pair has at most tens of thousands of distinct words.
+# point, so Spark's character-level Levenshtein (which counts code points)
+# over the encoded strings is the word-level distance.  2**20 code points
+# are available (U+10000..U+10FFFF); a document pair of up to 20,000-word
+# texts has at most 40,000 distinct words.
 CODE_POINTS = 1 << 20
 
 
@@ -35,36 +38,49 @@ def word_count(ws) -> Column:
     return F.coalesce(F.size(_col(ws)), F.lit(0)).cast("int")
 
 
-def _encoded(idx: Column) -> Column:
-    # 0-based word index -> one UTF-16 surrogate pair (8 hex digits),
-    # decoded once per text
-    units = F.transform(
-        idx,
-        lambda i: F.hex(
-            (F.lit(0xD800) + F.shiftright(i, 10)) * F.lit(65536) + F.lit(0xDC00) + i.bitwiseAND(F.lit(1023))
-        ),
-    )
-    return F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")
+def _encode_rows(s: pd.Series, t: pd.Series) -> pd.DataFrame:
+    a_out, b_out = [], []
+    for x, y in zip(s, t):
+        if x is None or y is None:
+            a_out.append(None)
+            b_out.append(None)
+            continue
+        code: dict = {}
+        for w in x:
+            if w not in code:
+                code[w] = len(code)
+        for w in y:
+            if w not in code:
+                code[w] = len(code)
+        if len(code) > CODE_POINTS:
+            raise ValueError("word_edit_distance: more than 2^20 distinct words in one pair")
+        a_out.append("".join(chr(0x10000 + code[w]) for w in x))
+        b_out.append("".join(chr(0x10000 + code[w]) for w in y))
+    return pd.DataFrame({"a": a_out, "b": b_out})
+
+
+_encode_udf = F.pandas_udf(
+    _encode_rows, T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+)
 
 
 def encode_pair(df, s: str, t: str, prefix: str = "_e"):
     """Adds ``{prefix}a`` / ``{prefix}b``: the two word lists re-encoded as
-    strings with one code point per distinct word of the pair.  The pair
-    dictionary is materialised as a column first, so it is built once per
-    row and not once per word inside the lambda."""
-    dic = f"{prefix}dic"
-    df = df.withColumn(dic, F.array_distinct(F.concat(F.col(s), F.col(t))))
-    df = df.withColumn(
-        f"{prefix}ia", F.transform(F.col(s), lambda w: F.array_position(F.col(dic), w) - 1)
-    ).withColumn(f"{prefix}ib", F.transform(F.col(t), lambda w: F.array_position(F.col(dic), w) - 1))
-    guard = F.when(
-        F.size(dic) > F.lit(CODE_POINTS),
-        F.raise_error(F.lit("word_edit_distance: more than 2^20 distinct words in one pair")),
-    )
+    strings with one code point per distinct word of the pair (first
+    appearance order, from U+10000).
+
+    The word -> code map is a hash map built per pair in an Arrow-batched
+    pandas UDF: linear in the words of the pair.  (The built-in route,
+    ``array_position`` over the pair dictionary inside ``transform``, is
+    interpreted and linear *per word*, so quadratic per pair: 13 s against
+    2.4 s for the 3,131 pairs at sf0.1.)  The distance itself stays in the
+    JVM."""
+    e = f"{prefix}struct"
     return (
-        df.withColumn(f"{prefix}a", F.coalesce(guard.cast("string"), _encoded(F.col(f"{prefix}ia"))))
-        .withColumn(f"{prefix}b", _encoded(F.col(f"{prefix}ib")))
-        .drop(dic, f"{prefix}ia", f"{prefix}ib")
+        df.withColumn(e, _encode_udf(F.col(s), F.col(t)))
+        .withColumn(f"{prefix}a", F.col(f"{e}.a"))
+        .withColumn(f"{prefix}b", F.col(f"{e}.b"))
+        .drop(e)
     )
 
 
