@@ -52,8 +52,9 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
     body = loc.where(F.col("src_raw").isNotNull()).select(
         F.col("doc_id").alias("pair_id"), "lang", "src_raw", F.col("text").alias("tgt_raw")
     )
-    # bucket bounds: small rows (key, bucket, first id), no text
-    bounds = loc.groupBy("lang", "k5", "b").agg(F.min("doc_id").alias("first_id"))
+    # bucket bounds: the first row of every bucket, taken from the window
+    # output (so the one corpus shuffle is reused), as small rows without text
+    bounds = loc.where(F.col("src_raw").isNull()).select("lang", "k5", "b", F.col("doc_id").alias("first_id"))
     wb = Window.partitionBy("lang", "k5").orderBy("b")
     links = bounds.select("lang", "k5", "b", "first_id", F.lag("b").over(wb).alias("prev_b")).where(
         F.col("prev_b").isNotNull()

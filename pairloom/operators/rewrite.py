@@ -69,48 +69,74 @@ def rank_dictionary(documents: DataFrame, pivot: str = "en", k: int = 2000) -> D
     return o.join(p, "rank").select("lang", "pivot_word", "word")
 
 
-def _rebuild(exploded: DataFrame, ids: Sequence[str], keep: Sequence[str], out: str) -> DataFrame:
-    """Re-assemble (ids..., pos, w) rows into one space-joined text per id;
-    a blank text gives '' and a null text stays null."""
-    agg = exploded.groupBy(*ids).agg(
-        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w")))).alias("_ws"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in keep],
-        F.max(F.col("_null").cast("int")).alias("_null"),
-    )
-    text = F.when(F.col("_null") == 1, F.lit(None).cast("string")).otherwise(
-        F.array_join(F.transform("_ws", lambda x: x["w"]), " ")
-    )
-    return agg.select(*ids, *keep, text.alias(out))
-
-
-def _explode_words(df: DataFrame, ids, keep, text: str, every_row: Sequence[str] = ()) -> DataFrame:
-    """One row per word (pos >= 1) plus one header row (pos 0, no word)
-    that alone carries the other columns, so long texts are not copied
-    once per word and no join or anti join can lose them.  Columns in
-    ``every_row`` (join keys such as ``lang``) are kept on every row."""
-    seq = F.concat(F.array(F.lit(None).cast("string")), words(text))
-    x = df.select(*ids, *keep, F.col(text).isNull().alias("_null"), F.posexplode_outer(seq).alias("pos", "word"))
-    head = F.col("pos").isNull() | (F.col("pos") == 0)
-    return x.select(
-        *ids, *[F.col(c) if c in every_row else F.when(head, F.col(c)).alias(c) for c in keep], "_null", "pos", "word"
-    )
+def _explode_texts(df: DataFrame, ids, keep, texts: Sequence[str], every_row: Sequence[str] = ()) -> DataFrame:
+    """One row per word of every column in ``texts`` (side k, pos >= 1),
+    plus one header row per side (pos 0, no word).  Only the header of
+    side 0 carries the other columns (and the null flags of every side),
+    so long texts are not copied once per word and no join or anti join
+    can lose them.  Columns in ``every_row`` (join keys such as ``lang``)
+    stay on every row."""
+    def tagged(k: int):
+        return lambda w, i: F.struct(F.lit(k).alias("side"), i.alias("pos"), w.alias("word"))
+
+    parts = [
+        F.transform(
+            F.concat(F.array(F.lit(None).cast("string")), F.coalesce(words(t), F.array().cast("array<string>"))),
+            tagged(k),
+        )
+        for k, t in enumerate(texts)
+    ]
+    nulls = [F.col(t).isNull().alias(f"_null{k}") for k, t in enumerate(texts)]
+    x = df.select(*ids, *keep, *nulls, F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
+    head = (F.col("side") == 0) & (F.col("pos") == 0)
+    carried = [F.col(c) if c in every_row else F.when(head, F.col(c)).alias(c) for c in keep]
+    flags = [F.when(head, F.col(f"_null{k}")).alias(f"_null{k}") for k in range(len(texts))]
+    return x.select(*ids, *carried, *flags, "side", "pos", "word")
+
+
+def _rebuild(exploded: DataFrame, ids: Sequence[str], keep: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """Re-assemble (ids..., side, pos, w) rows into one space-joined text
+    per side; a blank text gives '' and a null text stays null."""
+    lists = [
+        F.array_sort(
+            F.collect_list(F.when((F.col("side") == k) & F.col("w").isNotNull(), F.struct("pos", "w")))
+        ).alias(f"_ws{k}")
+        for k in range(len(outs))
+    ]
+    flags = [F.max(F.col(f"_null{k}").cast("int")).alias(f"_null{k}") for k in range(len(outs))]
+    agg = exploded.groupBy(*ids).agg(*lists, *flags, *[F.first(c, ignorenulls=True).alias(c) for c in keep])
+    texts = [
+        F.when(F.col(f"_null{k}") == 1, F.lit(None).cast("string"))
+        .otherwise(F.array_join(F.transform(f"_ws{k}", lambda x: x["w"]), " "))
+        .alias(o)
+        for k, o in enumerate(outs)
+    ]
+    return agg.select(*ids, *keep, *texts)
+
+
+def _plan_columns(df: DataFrame, ids, text, out):
+    ids = [ids] if isinstance(ids, str) else list(ids)
+    mapping = dict(text) if isinstance(text, dict) else {text: out or text}
+    ins, outs = list(mapping), list(mapping.values())
+    keep = [c for c in df.columns if c not in ids and c not in outs]
+    return ids, ins, outs, keep
 
 
-def translate(df: DataFrame, dictionary: DataFrame, ids, text: str, lang: str, to_pivot: bool,
+def translate(df: DataFrame, dictionary: DataFrame, ids, text, lang: str, to_pivot: bool,
               out: str | None = None) -> DataFrame:
-    """Word-by-word dictionary translation of ``text`` between the
-    pivot language and the language in column ``lang`` (to the pivot when
-    ``to_pivot``).  Unknown words pass through.  Other columns of ``df``
-    are kept (J3: the originals stay next to the translation)."""
-    ids = [ids] if isinstance(ids, str) else list(ids)
-    out = out or text
-    keep = [c for c in df.columns if c not in ids and c != out and c != text] + ([text] if out != text else [])
+    """Word-by-word dictionary translation between the pivot language
+    and the language in column ``lang`` (to the pivot when ``to_pivot``).
+    ``text`` is one column (written to ``out``) or a {column: output}
+    mapping, translated together in one pass: one explode, one broadcast
+    join to the bounded dictionary, one regrouping.  Unknown words pass
+    through; the other columns of ``df`` are kept (J3)."""
+    ids, ins, outs, keep = _plan_columns(df, ids, text, out)
     src, dst = ("word", "pivot_word") if to_pivot else ("pivot_word", "word")
     d = F.broadcast(dictionary.select(F.col("lang").alias("_dl"), F.col(src).alias("_from"), F.col(dst).alias("_to")))
-    x = _explode_words(df, ids, keep, text, every_row=[lang])
+    x = _explode_texts(df, ids, keep, ins, every_row=[lang])
     x = x.join(d, (x[lang] == d["_dl"]) & (x["word"] == d["_from"]), "left")
-    x = x.select(*ids, *keep, "_null", "pos", F.coalesce("_to", "word").alias("w"))
-    return _rebuild(x, ids, keep, out)
+    x = x.drop("_dl", "_from").withColumn("w", F.coalesce("_to", "word")).drop("_to", "word")
+    return _rebuild(x, ids, keep, outs)
 
 
 # ---- U2: lexicon neutraliser ----------------------------------------------
@@ -130,15 +156,16 @@ def learn_lexicon(pairs: DataFrame, group_cols: Sequence[str] = (), min_support:
     return agg.where((F.col("pairs_with_word") >= min_support) & (F.col("rate") >= min_rate))
 
 
-def neutralize(df: DataFrame, lexicon: DataFrame, ids, text: str, out: str, match_cols: Sequence[str] = ()) -> DataFrame:
-    """U2 apply: drop lexicon words from ``text``; ``match_cols`` (e.g.
-    ``lang``) must also match between the row and the lexicon entry."""
-    ids = [ids] if isinstance(ids, str) else list(ids)
-    keep = [c for c in df.columns if c not in ids and c != out]
-    x = _explode_words(df, ids, keep, text, every_row=list(match_cols))
+def neutralize(df: DataFrame, lexicon: DataFrame, ids, text, out: str | None = None,
+               match_cols: Sequence[str] = ()) -> DataFrame:
+    """U2 apply: drop lexicon words from ``text`` (one column, or a
+    {column: output} mapping); ``match_cols`` (e.g. ``lang``) must also
+    match between the row and the lexicon entry."""
+    ids, ins, outs, keep = _plan_columns(df, ids, text, out)
+    x = _explode_texts(df, ids, keep, ins, every_row=list(match_cols))
     lex = lexicon.select(*match_cols, "word").distinct()
-    x = x.join(lex, [*match_cols, "word"], "left_anti")
-    return _rebuild(x.select(*ids, *keep, "_null", "pos", F.col("word").alias("w")), ids, keep, out)
+    x = x.join(lex, [*match_cols, "word"], "left_anti").withColumnRenamed("word", "w")
+    return _rebuild(x, ids, keep, outs)
 
 
 # ---- U8: callers' models -------------------------------------------------

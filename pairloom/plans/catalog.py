@@ -292,8 +292,7 @@ def gold_set(spark, sf_dir):
     s = s.withColumn("ID", F.row_number().over(Window.orderBy(hash_key("pair_id"), "pair_id")) - 1)
     x = s.select("ID", F.lit("fr").alias("lang"), F.col("src_raw").alias("English_Ref"), "src_raw", "tgt_raw")
     d = ev.dictionary()
-    x = R.translate(x, d, "ID", "src_raw", "lang", to_pivot=False, out="Target_Biased")
-    x = R.translate(x, d, "ID", "tgt_raw", "lang", to_pivot=False, out="Target_Neutral_Gold")
+    x = R.translate(x, d, "ID", {"src_raw": "Target_Biased", "tgt_raw": "Target_Neutral_Gold"}, "lang", False)
     return x.select(F.col("ID").cast("int").alias("ID"), "English_Ref", "Target_Biased", "Target_Neutral_Gold")
 
 

@@ -54,9 +54,8 @@ class Evaluation:
             F.col("src_raw").alias("src_en_original"),
             F.col("tgt_raw").alias("tgt_en_original"),
         )
-        d = self.dictionary()
-        x = R.translate(x, d, ["pair_id", "lang"], "src_en_original", "lang", to_pivot=False, out="src_raw")
-        x = R.translate(x, d, ["pair_id", "lang"], "tgt_en_original", "lang", to_pivot=False, out="tgt_raw")
+        texts = {"src_en_original": "src_raw", "tgt_en_original": "tgt_raw"}
+        x = R.translate(x, self.dictionary(), ["pair_id", "lang"], texts, "lang", to_pivot=False)
         return x.select("pair_id", "lang", "split", "src_raw", "tgt_raw", "src_en_original", "tgt_en_original")
 
     def examples(self) -> DataFrame:

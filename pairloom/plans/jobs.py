@@ -56,8 +56,8 @@ def synthesize(pairs_by_split: DataFrame, dictionary: DataFrame, target_lang: st
         "pair_id", "split", F.lit(target_lang).alias("lang"),
         F.col("src_raw").alias("src_en_original"), F.col("tgt_raw").alias("tgt_en_original"),
     )
-    x = R.translate(x, dictionary, ["pair_id", "lang"], "src_en_original", "lang", False, "src_raw")
-    return R.translate(x, dictionary, ["pair_id", "lang"], "tgt_en_original", "lang", False, "tgt_raw")
+    texts = {"src_en_original": "src_raw", "tgt_en_original": "tgt_raw"}
+    return R.translate(x, dictionary, ["pair_id", "lang"], texts, "lang", False)
 
 
 def evaluate_and_report(evaluation, out_dir: str, models) -> DataFrame:

@@ -123,3 +123,13 @@ def test_inspection_pads_missing_predictions(spark):
     out = spark.createDataFrame([(0, "m1", "p")], "id long, model string, prediction string")
     rows = {r.ID: r for r in RP.inspection_wide(ex, out, ["m1", "m2"]).collect()}
     assert rows[0].Pred_m1 == "p" and rows[0].Pred_m2 == "" and rows[1].Pred_m1 == ""
+
+
+def test_translate_two_columns_in_one_pass(spark):
+    d = spark.createDataFrame([("fr", "the", "le"), ("fr", "cat", "chat")], "lang string, pivot_word string, word string")
+    df = spark.createDataFrame(
+        [(1, "fr", "the cat", "a cat"), (2, "fr", "", None), (3, "de", "the", "the")],
+        "id long, lang string, s string, t string",
+    )
+    got = {r.id: (r.s2, r.t2, r.s) for r in R.translate(df, d, "id", {"s": "s2", "t": "t2"}, "lang", False).collect()}
+    assert got == {1: ("le chat", "a chat", "the cat"), 2: ("", None, ""), 3: ("the", "the", "the")}
