@@ -76,18 +76,14 @@ def _explode_texts(df: DataFrame, ids, keep, texts: Sequence[str], every_row: Se
     so long texts are not copied once per word and no join or anti join
     can lose them.  Columns in ``every_row`` (join keys such as ``lang``)
     stay on every row."""
-    def tagged(k: int):
-        return lambda w, i: F.struct(F.lit(k).alias("side"), i.alias("pos"), w.alias("word"))
-
-    parts = [
-        F.transform(
-            F.concat(F.array(F.lit(None).cast("string")), F.coalesce(words(t), F.array().cast("array<string>"))),
-            tagged(k),
-        )
-        for k, t in enumerate(texts)
-    ]
     nulls = [F.col(t).isNull().alias(f"_null{k}") for k, t in enumerate(texts)]
-    x = df.select(*ids, *keep, *nulls, F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
+    if len(texts) > 1:
+        sides = ", ".join(f"{k}, `{t}`" for k, t in enumerate(texts))
+        x = df.select(*ids, *keep, *nulls, F.expr(f"stack({len(texts)}, {sides}) AS (side, _txt)"))
+    else:
+        x = df.select(*ids, *keep, *nulls, F.lit(0).alias("side"), F.col(texts[0]).alias("_txt"))
+    seq = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(words("_txt"), F.array().cast("array<string>")))
+    x = x.select(*ids, *keep, *[f"_null{k}" for k in range(len(texts))], "side", F.posexplode(seq).alias("pos", "word"))
     head = (F.col("side") == 0) & (F.col("pos") == 0)
     carried = [F.col(c) if c in every_row else F.when(head, F.col(c)).alias(c) for c in keep]
     flags = [F.when(head, F.col(f"_null{k}")).alias(f"_null{k}") for k in range(len(texts))]
