@@ -45,29 +45,48 @@ def leaderboard(scores: DataFrame) -> DataFrame:
     return agg.withColumn("composite", leaderboard_composite(F.col("style_acc"), F.col("content_sim"), F.col("fluency_ppl")))
 
 
+# Display header of the leaderboard table and display names
+# of the four compared systems, as published.
+DISPLAY_HEADERS = ["Model", "Style Acc (↑)", "Content Sim (↑)", "Fluency PPL (↓)", "Composite Score"]
+DISPLAY_NAMES = {
+    "pivot": "Baseline (Pivot)",
+    "zero_shot": "Model 2 (ZeroShot)",
+    "synthetic": "Model 3 (Synthetic)",
+    "few_shot": "Model 4 (FewShot)",
+}
+
+
 def leaderboard_display(board: DataFrame) -> DataFrame:
-    """Display strings, formatted in the last projection only."""
+    """Display strings (percent with 2 decimals, 3, 2 and 3 decimals),
+    formatted in the last projection only."""
+    name = F.col("model")
+    for key, shown in DISPLAY_NAMES.items():
+        name = F.when(F.col("model") == key, F.lit(shown)).otherwise(name)
+    h = DISPLAY_HEADERS
     return board.select(
-        F.col("model").alias("Model"),
+        name.alias(h[0]),
         F.concat(
             F.format_string("%.2f", F.col("style_acc") * 100),
             F.when(F.isnan("style_acc") | F.col("style_acc").isin(INF, -INF), F.lit("")).otherwise(F.lit("%")),
-        ).alias("Style Acc"),
-        F.format_string("%.3f", "content_sim").alias("Content Sim"),
-        F.format_string("%.2f", "fluency_ppl").alias("Fluency PPL"),
-        F.format_string("%.3f", "composite").alias("Composite Score"),
+        ).alias(h[1]),
+        F.format_string("%.3f", "content_sim").alias(h[2]),
+        F.format_string("%.2f", "fluency_ppl").alias(h[3]),
+        F.format_string("%.3f", "composite").alias(h[4]),
     )
 
 
 def inspection_wide(examples: DataFrame, outputs: DataFrame, models: Sequence[str]) -> DataFrame:
     """One row per example, one ``Pred_<model>`` column per
     model; a missing prediction is padded with "".  The model list is
-    explicit, so the pivot needs no extra job to find its values."""
-    grid = examples.select("id", "input", "gold", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    explicit, so the pivot needs no extra job to find its values; the pivot
+    groups by id only and the texts join back once per example (not once
+    per model)."""
+    grid = examples.select("id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
     full = grid.join(outputs.select("id", "model", "prediction"), ["id", "model"], "left").withColumn(
         "prediction", F.coalesce("prediction", F.lit(""))
     )
-    wide = full.groupBy("id", "input", "gold").pivot("model", list(models)).agg(F.first("prediction"))
+    wide = full.groupBy("id").pivot("model", list(models)).agg(F.first("prediction"))
+    wide = examples.select("id", "input", "gold").join(wide, "id")
     return wide.select(
         F.col("id").alias("ID"),
         F.col("input").alias("Original_Biased"),
@@ -103,10 +122,11 @@ REPORT_FIELDS = ("Output", "Style", "Content", "Fluency", "Composite")
 
 def granular_report(cells: DataFrame, models: Sequence[str]) -> DataFrame:
     """The wide per-example report, five columns per model in
-    model order (columns of absent models are skipped)."""
-    wide = cells.groupBy("id", "input", "gold").pivot("model", list(models)).agg(
-        *[F.first(f).alias(f) for f in REPORT_FIELDS]
-    )
+    model order (columns of absent models are skipped).  Pivoted by id
+    only; the input and gold texts are taken once per example."""
+    wide = cells.groupBy("id").pivot("model", list(models)).agg(*[F.first(f).alias(f) for f in REPORT_FIELDS])
+    texts = cells.groupBy("id").agg(F.first("input").alias("input"), F.first("gold").alias("gold"))
+    wide = texts.join(wide, "id")
     cols = [F.col("id").alias("ID"), F.col("input").alias("Original_Input"), F.col("gold").alias("Gold_Reference")]
     cols += [F.col(f"`{m}_{f}`") for m in models for f in REPORT_FIELDS if f"{m}_{f}" in wide.columns]
     return wide.select(*cols)

@@ -438,10 +438,21 @@ def _fmt(x: str, spec: str) -> str:
     return f"CASE WHEN isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN CASE WHEN {x} > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE printf('{spec}', {x}) END"
 
 
+_DISPLAY = "CASE model " + " ".join(
+    f"WHEN '{k}' THEN '{v}'"
+    for k, v in [
+        ("pivot", "Baseline (Pivot)"),
+        ("zero_shot", "Model 2 (ZeroShot)"),
+        ("synthetic", "Model 3 (Synthetic)"),
+        ("few_shot", "Model 4 (FewShot)"),
+    ]
+) + " ELSE model END"
+
 ORACLE_SQL["leaderboard_display"] = (
     w(*SCORES)
-    + f"""SELECT model AS "Model", {_fmt('acc * 100', '%.2f')} || CASE WHEN isnan(acc) OR isinf(acc) THEN '' ELSE '%' END AS "Style Acc",
-       {_fmt('sim', '%.3f')} AS "Content Sim", {_fmt('ppl', '%.2f')} AS "Fluency PPL",
+    + f"""SELECT {_DISPLAY} AS "Model",
+       {_fmt('acc * 100', '%.2f')} || CASE WHEN isnan(acc) OR isinf(acc) THEN '' ELSE '%' END AS "Style Acc (↑)",
+       {_fmt('sim', '%.3f')} AS "Content Sim (↑)", {_fmt('ppl', '%.2f')} AS "Fluency PPL (↓)",
        {_fmt('pow(acc * sim * (1.0 / CASE WHEN ppl <= 0 THEN 9999.0 ELSE ppl END), 1.0 / 3.0)', '%.3f')} AS "Composite Score"
 FROM (SELECT model, arg_min(prediction, id) AS first_pred, avg(CASE WHEN style = 0 THEN 1.0 ELSE 0.0 END) AS acc,
              avg(f1) AS sim, coalesce(avg(CASE WHEN NOT isnan(ppl) THEN ppl END), 'Infinity'::DOUBLE) AS ppl
