@@ -33,6 +33,17 @@ def words(text) -> Column:
     return F.filter(F.split(_col(text), WHITESPACE), lambda w: w != F.lit(""))
 
 
+def first_words(text, k: int) -> Column:
+    """The first ``k`` words of ``text`` (same word rule as ``words``) as
+    an array, or null when the text has fewer than ``k`` words.  An
+    anchored regex: only the beginning of the text is scanned, so a long
+    text is not split whole just to key it."""
+    ws, word = WHITESPACE[:-1], "[^" + WHITESPACE[1:-2] + "]+"
+    pattern = "^" + ws + "*" + (ws + "+").join(f"({word})" for _ in range(k))
+    parts = [F.regexp_extract(_col(text), pattern, i + 1) for i in range(k)]
+    return F.when(parts[0] != F.lit(""), F.array(*parts))
+
+
 def word_count(ws) -> Column:
     """Number of words (null list counts as 0)."""
     return F.coalesce(F.size(_col(ws)), F.lit(0)).cast("int")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import change_ratio, computed_once, word_count, word_edit_distance, words
+from pairloom.functions.text import change_ratio, computed_once, first_words, word_count, word_edit_distance, words
 
 KEY_WORDS = 5
 
@@ -29,16 +29,9 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
             documents.select("doc_id", "lang", "text").where(
                 F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
             ),
-            _ws=words("text"),
-        )
-        .where(F.size("_ws") >= KEY_WORDS)
-        .select(
-            "doc_id",
-            "lang",
-            "text",
-            F.slice("_ws", 1, KEY_WORDS).alias("k5"),
-            F.floor(F.col("doc_id") / F.lit(bucket_ids)).alias("b"),
+            k5=first_words("text", KEY_WORDS),
         )
+        .select("doc_id", "lang", "text", "k5", F.floor(F.col("doc_id") / F.lit(bucket_ids)).alias("b"))
         # stated once here, so the constraints the joins below infer add
         # nothing and every branch shares one scan and one shuffle
         .where(F.col("k5").isNotNull() & F.col("b").isNotNull())
