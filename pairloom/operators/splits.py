@@ -68,12 +68,20 @@ def split_90_10(df: DataFrame, id_cols, seed: int = SEED) -> DataFrame:
     return r.withColumn("split", split).drop("_h", "_n", "_rank")
 
 
-def sample_n(df: DataFrame, n: int, id_cols, seed: int = SEED) -> DataFrame:
-    """D3: n rows without replacement, fixed seed (all rows when fewer
-    exist).  A top-n by hash key: each partition keeps its n best rows, no
-    full sort."""
+def sample_n(df: DataFrame, n: int, id_cols, seed: int = SEED, strict: bool = False) -> DataFrame:
+    """D3: n rows without replacement, fixed seed.  A top-n by hash key:
+    each partition keeps its n best rows, no full sort.  With fewer than n
+    rows all rows are returned, or, with ``strict``, the job fails (as a
+    fixed-size sample without replacement does in pandas); the row count
+    is a scalar subquery, so no driver round trip."""
     ids = _key_cols(id_cols)
-    return df.withColumn("_h", hash_key(*ids, seed=seed)).orderBy("_h", *ids).limit(n).drop("_h")
+    out = df.withColumn("_h", hash_key(*ids, seed=seed)).orderBy("_h", *ids).limit(n).drop("_h")
+    if not strict:
+        return out
+    total = df.agg(F.count(F.lit(1)).alias("c")).select("c").scalar()
+    guard = F.when(total < F.lit(n), F.raise_error(F.lit(f"sample_n: fewer than {n} rows to sample")))
+    # a filter cannot be pruned away like an unused column: the guard runs
+    return out.where(F.coalesce(guard.cast("boolean"), F.lit(True)))
 
 
 def sample_frac(df: DataFrame, frac: float, id_cols, seed: int = SEED) -> DataFrame:

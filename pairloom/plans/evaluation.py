@@ -20,10 +20,19 @@ TARGETS = ["de", "es", "fr"]
 
 
 class Evaluation:
-    def __init__(self, corpus: Corpus, dict_size: int = 2000, few_shot_frac: float = 0.1):
+    def __init__(self, corpus: Corpus, dict_size: int = 2000, few_shot_frac: float = 0.1,
+                 custom_models: dict | None = None):
+        """``custom_models``: {name: fn(examples) -> DataFrame with id and
+        prediction}, e.g. a caller's neural model run through
+        ``rewrite.map_text``; they join the comparison after the shipped
+        ones."""
         self.c, self.k, self.frac = corpus, dict_size, few_shot_frac
+        self.custom = dict(custom_models or {})
         self._memo: dict[str, DataFrame] = {}
 
+    def models(self) -> list[str]:
+        return MODELS + [m for m in self.custom if m not in MODELS]
+
     def _once(self, key: str, build) -> DataFrame:
         """Tables that several branches read are written once to the
         shared checkpoint folder (and lineage is cut there)."""
@@ -81,7 +90,10 @@ class Evaluation:
 
     def branch(self, model: str) -> DataFrame:
         ex = self.examples()
-        if model == "zero_shot":
+        if model in self.custom:
+            pred = self.custom[model](ex).select("id", "prediction")
+            out = ex.join(pred, "id", "left")
+        elif model == "zero_shot":
             out = R.neutralize(ex, self.pivot_lexicon(), "id", "input", "prediction")
         elif model == "synthetic":
             out = R.neutralize(ex, self.synthetic_lexicon(), "id", "input", "prediction", ["lang"])
@@ -103,8 +115,12 @@ class Evaluation:
         if materialize and getattr(self, "_outputs", None) is not None:
             return self._outputs
         out = None
-        for m in MODELS:
-            b = self.branch(m)
+        for m in self.models():
+            try:
+                b = self.branch(m)
+            except Exception:  # the branch could not even be built: every row fails
+                ex = self.examples()
+                b = ex.select("id", "lang", "input", "gold", F.lit(m).alias("model"), F.lit(R.ERROR).alias("prediction"))
             out = b if out is None else out.unionByName(b)
         if materialize:
             out = out.checkpoint(eager=True)

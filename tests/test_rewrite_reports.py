@@ -133,3 +133,36 @@ def test_translate_two_columns_in_one_pass(spark):
     )
     got = {r.id: (r.s2, r.t2, r.s) for r in R.translate(df, d, "id", {"s": "s2", "t": "t2"}, "lang", False).collect()}
     assert got == {1: ("le chat", "a chat", "the cat"), 2: ("", None, ""), 3: ("the", "the", "the")}
+
+
+def test_sample_n_strict(spark):
+    from pyspark.errors import PySparkException
+
+    from pairloom.operators.splits import sample_n
+
+    df = spark.range(5).withColumnRenamed("id", "pid")
+    assert sample_n(df, 3, "pid", strict=True).count() == 3
+    with pytest.raises(Exception) as e:
+        sample_n(df, 10, "pid", strict=True).collect()
+    assert "fewer than 10" in str(e.value) or isinstance(e.value, PySparkException)
+
+
+def test_failing_and_custom_models_in_evaluation(spark):
+    from conftest import SF01
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import Evaluation
+
+    def broken(examples):
+        raise RuntimeError("weights not found")
+
+    def copy(examples):
+        return R.map_text(examples, "input", "prediction", lambda: (lambda xs: list(xs)))
+
+    ev = Evaluation(Corpus(spark, SF01), custom_models={"broken": broken, "copy": copy})
+    assert ev.examples().count() > 0
+    out = ev.outputs()
+    preds = {(r.model, r.id): (r.prediction, r.input) for r in out.collect()}
+    assert {p for (m, _), (p, _) in preds.items() if m == "broken"} == {"Error"}
+    assert all(p == i for (m, _), (p, i) in preds.items() if m == "copy")
+    board = {r.model for r in RP.leaderboard(ev.scores()).collect()}
+    assert "broken" not in board and "copy" in board
