@@ -10,7 +10,12 @@ when a side has no vectors or P + R = 0.
 Words with one vector share one maximum, so each side is reduced to
 (vector, multiplicity) before the vectors are joined; the cosine matrix
 of a pair is then computed inside the task with numpy, block by block, so
-no (word, word) rows are ever emitted."""
+no (word, word) rows are ever emitted.
+
+When the embedding table is small enough to broadcast (its size is
+checked first: at most ``broadcast_floats`` numbers), only (vec_id,
+multiplicity) rows are shuffled and each task looks the vectors up in the
+broadcast matrix; above that bound the vectors are joined in by vec_id."""
 
 from __future__ import annotations
 
@@ -32,7 +37,7 @@ def unit_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def _greedy(cv, ck, rv, rk) -> tuple[float, float, float]:
-    if cv is None or rv is None or len(cv) == 0 or len(rv) == 0:
+    if cv is None or rv is None or len(cv) == 0 or len(rv) == 0 or len(ck) == 0 or len(rk) == 0:
         return 0.0, 0.0, 0.0
     a = np.stack(cv).astype(np.float64)
     b = np.stack(rv).astype(np.float64)
@@ -55,7 +60,47 @@ def _greedy_udf(cv: pd.Series, ck: pd.Series, rv: pd.Series, rk: pd.Series) -> p
     return pd.DataFrame(out, columns=["p", "r", "f1"])
 
 
-def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str) -> DataFrame:
+BROADCAST_FLOATS = 64_000_000  # 512 MB of float64
+
+
+def _lookup_udf(bc):
+    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("p", "r", "f1")]))
+    def score(ci: pd.Series, ck: pd.Series, ri: pd.Series, rk: pd.Series) -> pd.DataFrame:
+        keys, mat = bc.value
+        out = []
+        for a, wa, b, wb in zip(ci, ck, ri, rk):
+            def rows(ids, ws):
+                if ids is None or len(ids) == 0:
+                    return None, None
+                ids = np.asarray(ids, dtype=np.int64)
+                pos = np.searchsorted(keys, ids)
+                pos = np.minimum(pos, len(keys) - 1)
+                ok = keys[pos] == ids
+                return mat[pos[ok]], np.asarray(ws, dtype=np.float64)[ok]
+            av, aw = rows(a, wa)
+            bv, bw = rows(b, wb)
+            out.append(_greedy(av, aw, bv, bw))
+        return pd.DataFrame(out, columns=["p", "r", "f1"])
+
+    return score
+
+
+def _broadcast_matrix(embeddings: DataFrame):
+    """(sorted vec_ids, unit vectors as float64 rows) as a broadcast
+    variable; the caller has checked the size."""
+    rows = embeddings.select("vec_id", "embedding").where(F.col("embedding").isNotNull()).collect()
+    keys = np.asarray([r.vec_id for r in rows], dtype=np.int64)
+    mat = np.asarray([r.embedding for r in rows], dtype=np.float64)
+    order = np.argsort(keys)
+    keys, mat = keys[order], mat[order]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mat = mat / np.sqrt((mat * mat).sum(axis=1, keepdims=True))
+    spark = embeddings.sparkSession
+    return spark.sparkContext.broadcast((keys, mat))
+
+
+def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str,
+               broadcast_floats: int = BROADCAST_FLOATS) -> DataFrame:
     """Adds p, r, f1 (candidate ``cand`` against reference ``ref``) to
     every row of ``df``."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
@@ -67,14 +112,27 @@ def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: st
         .groupBy(*ids, "side", "vec_id")
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    vecs = toks.join(unit_vectors(embeddings), "vec_id")
-    per = vecs.groupBy(*ids).agg(
-        F.collect_list(F.when(F.col("side") == 0, F.col("u"))).alias("cv"),
-        F.collect_list(F.when(F.col("side") == 0, F.col("k"))).alias("ck"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("u"))).alias("rv"),
-        F.collect_list(F.when(F.col("side") == 1, F.col("k"))).alias("rk"),
-    )
-    scored = per.select(*ids, _greedy_udf("cv", "ck", "rv", "rk").alias("_s")).select(*ids, "_s.*")
+    # size check before any broadcast: rows x dimension
+    stats = embeddings.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    n_floats = (stats["n"] or 0) * max(stats["d"] or 0, 0)
+    if n_floats <= broadcast_floats:
+        udf = _lookup_udf(_broadcast_matrix(embeddings))
+        per = toks.groupBy(*ids).agg(
+            F.collect_list(F.when(F.col("side") == 0, F.col("vec_id"))).alias("cv"),
+            F.collect_list(F.when(F.col("side") == 0, F.col("k"))).alias("ck"),
+            F.collect_list(F.when(F.col("side") == 1, F.col("vec_id"))).alias("rv"),
+            F.collect_list(F.when(F.col("side") == 1, F.col("k"))).alias("rk"),
+        )
+        scored = per.select(*ids, udf("cv", "ck", "rv", "rk").alias("_s")).select(*ids, "_s.*")
+    else:
+        vecs = toks.join(unit_vectors(embeddings), "vec_id")
+        per = vecs.groupBy(*ids).agg(
+            F.collect_list(F.when(F.col("side") == 0, F.col("u"))).alias("cv"),
+            F.collect_list(F.when(F.col("side") == 0, F.col("k"))).alias("ck"),
+            F.collect_list(F.when(F.col("side") == 1, F.col("u"))).alias("rv"),
+            F.collect_list(F.when(F.col("side") == 1, F.col("k"))).alias("rk"),
+        )
+        scored = per.select(*ids, _greedy_udf("cv", "ck", "rv", "rk").alias("_s")).select(*ids, "_s.*")
     out = df.join(scored, ids, "left")
     for c in ("p", "r", "f1"):
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))

@@ -88,3 +88,13 @@ def test_judge_ties_go_to_neutral(spark):
     texts = spark.createDataFrame([(1, "bad bad"), (2, "good"), (3, "unknown")], "id long, text string")
     got = {r.id: r.style for r in J.score_judge(texts, m, "id").collect()}
     assert got == {1: 1, 2: 0, 3: 0}
+
+
+def test_content_paths_agree(spark, emb):
+    rows = [(1, "the cat sat on the mat", "a cat is on a mat"), (2, "x y z", "z q"), (3, "", "a")]
+    df = spark.createDataFrame(rows, "id long, cand string, ref string")
+    bc = {r.id: r.f1 for r in C.content_f1(df, emb, "id", "cand", "ref").collect()}
+    join = {r.id: r.f1 for r in C.content_f1(df, emb, "id", "cand", "ref", broadcast_floats=0).collect()}
+    assert bc.keys() == join.keys()
+    for k in bc:
+        assert bc[k] == pytest.approx(join[k], abs=1e-12)
