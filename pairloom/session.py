@@ -49,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a shared folder (HDFS, object store) for materialised tables"
+            )
+        # local runs and tests only: one JVM, so a local folder is shared
         current = tempfile.mkdtemp(prefix="pairloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:
