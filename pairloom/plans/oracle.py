@@ -26,7 +26,7 @@ pl AS (SELECT doc_id AS pair_id, lang, text AS tgt_raw,
 pairs AS (SELECT pair_id, lang, src_raw, tgt_raw FROM pl WHERE src_raw IS NOT NULL)"""
 
 STATS = f"""
-stats AS (SELECT *, len(s) AS n_src, len(t) AS n_tgt, greatest(len(s), len(t)) AS n_max
+stats AS (SELECT *, len(s)::INTEGER AS n_src, len(t)::INTEGER AS n_tgt, greatest(len(s), len(t))::INTEGER AS n_max
           FROM (SELECT *, {words('src_raw')} AS s, {words('tgt_raw')} AS t FROM pairs))"""
 
 # Exact word-level Levenshtein: words -> integer codes, shared prefix and
@@ -233,7 +233,7 @@ def lexicon_sql(name, src, group):
              FROM (SELECT {gs}{words('src_raw')} AS s, {words('tgt_raw')} AS t FROM {src})),
 {name}_r AS (SELECT {gs}unnest(al) AS word, 1 AS tt, 0 AS rr FROM {name}_b
              UNION ALL SELECT {gs}unnest(rem) AS word, 0 AS tt, 1 AS rr FROM {name}_b),
-{name} AS (SELECT {gs}word, sum(tt) AS pairs_with_word, sum(rr) AS removed, sum(rr) / sum(tt) AS rate
+{name} AS (SELECT {gs}word, sum(tt)::BIGINT AS pairs_with_word, sum(rr)::BIGINT AS removed, sum(rr) / sum(tt) AS rate
            FROM {name}_r GROUP BY ALL HAVING sum(tt) >= 2 AND sum(rr) / sum(tt) >= 0.5)"""
 
 
@@ -411,14 +411,15 @@ ORACLE_SQL.update(
     {
         "gold_set": w(PAIRS, SPLIT, DICT, GOLD)
         + 'SELECT "ID"::INTEGER AS "ID", "English_Ref", "Target_Biased", "Target_Neutral_Gold" FROM g2',
-        "encode_fixed": w(PAIRS, SPLIT, ENCODE) + "SELECT pair_id, input_ids, attention_mask, labels FROM enc",
+        "encode_fixed": w(PAIRS, SPLIT, ENCODE)
+        + "SELECT pair_id, input_ids::INTEGER[] AS input_ids, attention_mask::INTEGER[] AS attention_mask, labels::INTEGER[] AS labels FROM enc",
         "masked_loss": w(PAIRS, SPLIT, ENCODE, LM, LOSSES)
         + "SELECT pair_id, round(avg(CASE WHEN label <> -100 THEN loss END), 6) AS masked_loss FROM tl GROUP BY pair_id",
         "weighted_loss": w(PAIRS, SPLIT, ENCODE, LM, LOSSES)
         + "SELECT pair_id, round(sum(loss * weight) / (sum(weight) + 1e-9), 6) AS weighted_loss FROM tl GROUP BY pair_id",
         "log_explode": w(EVENTS)
         + """SELECT doc_id, idx, step, loss, coalesce(learning_rate, 0.0) AS learning_rate, coalesce(grad_norm, 0.0) AS grad_norm
-        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) - 1 AS idx FROM ev)
+        FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY event_id) - 1)::INTEGER AS idx FROM ev)
         WHERE loss IS NOT NULL AND step IS NOT NULL""",
         "log_union": w(EVENTS)
         + """SELECT doc_id, step, epoch, loss, learning_rate, grad_norm FROM ev WHERE loss IS NOT NULL

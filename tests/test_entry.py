@@ -45,6 +45,10 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) - set(ORACLE) == set()
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "array<int>": "INTEGER[]", "array<bigint>": "BIGINT[]", "array<string>": "VARCHAR[]"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF001)
@@ -52,4 +56,8 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     exp = rows_of(rel.columns, rel.fetchall())
     assert sorted(df.columns) == sorted(rel.columns)
+    # same column types on both engines, not only the same values
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    for f in df.schema.fields:
+        assert TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) == duck_types[f.name], f.name
     assert got == exp
