@@ -65,8 +65,17 @@ def _encode_rows(s: pd.Series, t: pd.Series) -> pd.DataFrame:
                 code[w] = len(code)
         if len(code) > CODE_POINTS:
             raise ValueError("word_edit_distance: more than 2^20 distinct words in one pair")
-        a_out.append("".join(chr(0x10000 + code[w]) for w in x))
-        b_out.append("".join(chr(0x10000 + code[w]) for w in y))
+        # a shared prefix or suffix never changes the distance: drop it, so
+        # near-identical revisions reach the DP as short strings
+        n, m = len(x), len(y)
+        pre = 0
+        while pre < n and pre < m and x[pre] == y[pre]:
+            pre += 1
+        suf = 0
+        while suf < n - pre and suf < m - pre and x[n - 1 - suf] == y[m - 1 - suf]:
+            suf += 1
+        a_out.append("".join(chr(0x10000 + code[w]) for w in x[pre : n - suf]))
+        b_out.append("".join(chr(0x10000 + code[w]) for w in y[pre : m - suf]))
     return pd.DataFrame({"a": a_out, "b": b_out})
 
 
@@ -76,9 +85,11 @@ _encode_udf = F.pandas_udf(
 
 
 def encode_pair(df, s: str, t: str, prefix: str = "_e"):
-    """Adds ``{prefix}a`` / ``{prefix}b``: the two word lists re-encoded as
-    strings with one code point per distinct word of the pair (first
-    appearance order, from U+10000).
+    """Adds ``{prefix}a`` / ``{prefix}b``: the two word lists, without
+    their common prefix and suffix, re-encoded as strings with one code
+    point per distinct word of the pair (first appearance order, from
+    U+10000).  The edit distance of the two strings is the word-level
+    distance of the lists.
 
     The word -> code map is a hash map built per pair in an Arrow-batched
     pandas UDF: linear in the words of the pair.  (The built-in route,

@@ -64,3 +64,21 @@ def test_hash_key_is_md5_prefix(spark):
 
     r = spark.range(1).select(hash_key(F.lit(7)).alias("h")).first()
     assert r.h == int(hashlib.md5(b"42:7").hexdigest()[:8], 16)
+
+
+def test_edit_distance_with_shared_prefix_and_suffix(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(150):
+        core = [rnd.choice("abcde") for _ in range(rnd.randint(0, 6))]
+        pre = [rnd.choice("abcde") for _ in range(rnd.randint(0, 5))]
+        suf = [rnd.choice("abcde") for _ in range(rnd.randint(0, 5))]
+        other = [rnd.choice("abcde") for _ in range(rnd.randint(0, 6))]
+        rows.append((pre + core + suf, pre + other + suf))
+    rows += [(["a", "a"], ["a"]), (["a"], ["a", "a", "a"]), (["a", "b", "a"], ["a", "a"])]
+    df = spark.createDataFrame(rows, "s array<string>, t array<string>")
+    for r in word_edit_distance(df, "s", "t").collect():
+        assert r.dist == lev(r.s, r.t)
+    for r in word_edit_distance(df, "s", "t", threshold=2).collect():
+        d = lev(r.s, r.t)
+        assert r.dist == (d if d <= 2 else -1)
