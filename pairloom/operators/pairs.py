@@ -16,6 +16,7 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
     first five words stand for successive revisions of one text.
 
     Output: pair_id (the later doc), lang, src_raw (earlier text), tgt_raw.
+    Documents without an id, a language or a text are not paired.
 
     The previous-row lookup is a ``lag`` window, but a key (language and
     first five words) may hold a large share of the corpus, so the window

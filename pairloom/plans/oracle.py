@@ -19,7 +19,8 @@ def hkey(*parts: str) -> str:
 
 
 PAIRS = f"""
-pw AS (SELECT doc_id, lang, text, {words('text')} AS ws FROM documents),
+pw AS (SELECT doc_id, lang, text, {words('text')} AS ws FROM documents
+       WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
 pk AS (SELECT doc_id, lang, text, ws[1:5] AS k5 FROM pw WHERE len(ws) >= 5),
 pl AS (SELECT doc_id AS pair_id, lang, text AS tgt_raw,
               lag(text) OVER (PARTITION BY lang, k5 ORDER BY doc_id) AS src_raw FROM pk),
