@@ -60,7 +60,7 @@ def _greedy_udf(cv: pd.Series, ck: pd.Series, rv: pd.Series, rk: pd.Series) -> p
     return pd.DataFrame(out, columns=["p", "r", "f1"])
 
 
-BROADCAST_FLOATS = 64_000_000  # 512 MB of float64
+BROADCAST_FLOATS = 16_000_000  # 128 MB of float64, collected once and broadcast
 
 
 def _lookup_udf(bc):
