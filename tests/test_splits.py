@@ -57,3 +57,16 @@ def test_samples(spark):
 def test_dense_ids(spark):
     df = spark.range(50).withColumnRenamed("id", "pid")
     assert sorted(r.ID for r in dense_ids(df, "pid").collect()) == list(range(50))
+
+
+def test_ties_in_the_sort_key(spark):
+    # duplicated ids tie on (hash, id): sizes stay exact and the multiset of
+    # rows per split is the same under any partitioning
+    rows = [(i % 7, f"r{i % 7}") for i in range(30)]
+    df = spark.createDataFrame(rows, "pid long, v string")
+    a = split_80_10_10(df, "pid")
+    b = split_80_10_10(df.repartition(5), "pid")
+    count = {r.split: r.c for r in a.groupBy("split").agg(F.count("*").alias("c")).collect()}
+    assert (count["train"], count["val"], count["test"]) == sizes(30)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert sample_n(df, 10, "pid").count() == 10
