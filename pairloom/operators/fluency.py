@@ -35,6 +35,18 @@ class BigramModel:
     contexts: DataFrame  # u, cu
     vocab: Column  # scalar subquery V
 
+    def write(self, path: str) -> None:
+        """Save the counts as parquet (a shared folder on a cluster), so
+        later jobs score without recounting the corpus."""
+        self.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+
+    @staticmethod
+    def read(spark, path: str) -> "BigramModel":
+        bg = spark.read.parquet(f"{path}/bigrams")
+        ctx = bg.groupBy("u").agg(F.sum("c").alias("cu"))
+        v = bg.agg(F.countDistinct("w").alias("v")).select("v").scalar()
+        return BigramModel(bg, ctx, v)
+
 
 def train_bigram(corpus: DataFrame, text: str = "text", materialize: bool = True) -> BigramModel:
     """Counts of every bigram of the corpus.  The model feeds several

@@ -24,6 +24,22 @@ class JudgeModel:
     prior0: Column  # scalar subquery: log prior of class 0
     prior1: Column
 
+    def write(self, path: str) -> None:
+        """Save the model as parquet: the word table and a one-row table
+        of log priors (a shared folder on a cluster)."""
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        spark = self.words.sparkSession
+        spark.range(1).select(self.prior0.alias("prior0"), self.prior1.alias("prior1")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/priors")
+
+    @staticmethod
+    def read(spark, path: str) -> "JudgeModel":
+        pri = spark.read.parquet(f"{path}/priors")
+        return JudgeModel(
+            spark.read.parquet(f"{path}/words"), pri.select("prior0").scalar(), pri.select("prior1").scalar()
+        )
+
 
 def train_judge(labelled: DataFrame, text: str = "text", label: str = "label", materialize: bool = True) -> JudgeModel:
     """U4: one aggregation over exploded words (partial aggregation

@@ -98,3 +98,22 @@ def test_content_paths_agree(spark, emb):
     assert bc.keys() == join.keys()
     for k in bc:
         assert bc[k] == pytest.approx(join[k], abs=1e-12)
+
+
+def test_models_round_trip(spark):
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="pairloom-model-")
+    corpus = spark.createDataFrame([("a b",), ("a c",)], "text string")
+    texts = spark.createDataFrame([(1, "a b c"), (2, "c a")], "id long, text string")
+    lm = FL.train_bigram(corpus)
+    lm.write(f"{d}/lm")
+    same = FL.BigramModel.read(spark, f"{d}/lm")
+    a = sorted(FL.perplexity(texts, lm, "id").collect())
+    b = sorted(FL.perplexity(texts, same, "id").collect())
+    assert a == b
+    labelled = spark.createDataFrame([("good", 0), ("bad", 1), ("bad news", 1)], "text string, label int")
+    m = J.train_judge(labelled)
+    m.write(f"{d}/judge")
+    m2 = J.JudgeModel.read(spark, f"{d}/judge")
+    assert sorted(J.score_judge(texts, m, "id").collect()) == sorted(J.score_judge(texts, m2, "id").collect())
