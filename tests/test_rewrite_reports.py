@@ -166,3 +166,13 @@ def test_failing_and_custom_models_in_evaluation(spark):
     assert all(p == i for (m, _), (p, i) in preds.items() if m == "copy")
     board = {r.model for r in RP.leaderboard(ev.scores()).collect()}
     assert "broken" not in board and "copy" in board
+
+
+def test_missing_judge_and_vectors_score_zero(spark):
+    from conftest import SF01
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import Evaluation
+
+    ev = Evaluation(Corpus(spark, SF01), with_judge=False, embeddings_table="absent_table")
+    board = RP.leaderboard(ev.scores()).collect()
+    assert board and all(r.style_acc == 0.0 and r.content_sim == 0.0 and r.composite == 0.0 for r in board)
