@@ -70,3 +70,33 @@ def evaluate_and_report(evaluation, out_dir: str, models) -> DataFrame:
                            f"{out_dir}/manual_inspection")
     sinks.write_report_csv(RP.granular_report(RP.example_scores(scores), models), f"{out_dir}/granular_inspection")
     return board
+
+
+def synthesize_files(spark: SparkSession, data_dir: str, out_dir: str, dictionary: DataFrame, target_lang: str,
+                     files: dict | None = None) -> dict[str, str]:
+    """Entry B over files (S3, S5, U1, J3, K1): every (input, output) pair
+    is read through the guarded scan (a missing file or missing columns is
+    skipped with a message), translated into ``target_lang`` and written as
+    CSV with the originals kept.  The test split is left out by default."""
+    from pyspark.sql import types as T
+
+    from pairloom.sources.text_tables import RAW_COLUMNS, guarded_read_pairs
+
+    files = files or {"train_complex.csv": "train_synthetic", "val_complex.csv": "val_synthetic"}
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
+    report = {}
+    for name, out in files.items():
+        df, msg = guarded_read_pairs(spark, f"{data_dir.rstrip('/')}/{name}", schema)
+        if df is None:
+            log.info(msg)
+            report[name] = msg
+            continue
+        x = df.select(
+            F.col("id").alias("pair_id"), F.lit(target_lang).alias("lang"),
+            F.col("src_raw").alias("src_en_original"), F.col("tgt_raw").alias("tgt_en_original"),
+        )
+        texts = {"src_en_original": "src_raw", "tgt_en_original": "tgt_raw"}
+        x = R.translate(x, dictionary, ["pair_id", "lang"], texts, "lang", False)
+        sinks.write_csv(x.select("src_raw", "tgt_raw", "src_en_original", "tgt_en_original"), f"{out_dir}/{out}")
+        report[name] = "ok"
+    return report

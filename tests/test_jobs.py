@@ -25,3 +25,35 @@ def test_curate_corpus_end_to_end(spark):
 
 def test_percent_name():
     assert percent_name(0.01) == "train_1percent" and percent_name(0.1) == "train_10percent"
+
+
+def test_synthesize_files_skips_missing(spark):
+    from pairloom.plans.jobs import synthesize_files
+
+    d = tempfile.mkdtemp(prefix="pairloom-syn-")
+    with open(os.path.join(d, "train_complex.csv"), "w") as f:
+        f.write(",".join(RAW_COLUMNS) + "\n")
+        f.write("1,,,the cat,a cat,,\n")
+    dic = spark.createDataFrame([("fr", "the", "le"), ("fr", "cat", "chat")], "lang string, pivot_word string, word string")
+    rep = synthesize_files(spark, d, os.path.join(d, "out"), dic, "fr")
+    assert rep["train_complex.csv"] == "ok" and "not found" in rep["val_complex.csv"]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ["src_raw", "tgt_raw", "src_en_original", "tgt_en_original"]])
+    rows = read_csv(spark, os.path.join(d, "out", "train_synthetic"), schema).collect()
+    assert [(r.src_raw, r.tgt_raw, r.src_en_original) for r in rows] == [("le chat", "a chat", "the cat")]
+
+
+def test_evaluate_and_report_writes_three_reports(spark):
+    from conftest import SF01
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import MODELS, Evaluation
+    from pairloom.plans.jobs import evaluate_and_report
+    from pairloom.sources.sinks import single_csv_path
+
+    d = tempfile.mkdtemp(prefix="pairloom-rep-")
+    board = evaluate_and_report(Evaluation(Corpus(spark, SF01)), d, MODELS)
+    assert board.count() >= 1
+    for name in ("manual_inspection", "granular_inspection"):
+        with open(single_csv_path(os.path.join(d, name)), "rb") as f:
+            assert f.read(3) == b"\xef\xbb\xbf"
+    with open(single_csv_path(os.path.join(d, "final_metrics_table")), encoding="utf-8") as f:
+        assert f.readline().startswith("Model,Style Acc")
