@@ -32,7 +32,7 @@ def revision_pairs(documents: DataFrame, bucket_ids: int = 1 << 16) -> DataFrame
             ),
             k5=first_words("text", KEY_WORDS),
         )
-        .select("doc_id", "lang", "text", "k5", F.floor(F.col("doc_id") / F.lit(bucket_ids)).alias("b"))
+        .select("doc_id", "lang", "text", "k5", F.expr(f"doc_id div {int(bucket_ids)}").alias("b"))
         # stated once here, so the constraints the joins below infer add
         # nothing and every branch shares one scan and one shuffle
         .where(F.col("k5").isNotNull() & F.col("b").isNotNull())
