@@ -14,7 +14,8 @@ TABLES = (
 ).split()
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "pairloom") -> SparkSession:
+def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "pairloom",
+                  extra: dict | None = None) -> SparkSession:
     """Session for tests and local benches.  On a cluster, use the
     session the platform gives you; every operator here reads its knobs
     from the session instead of hard-coding them."""
@@ -35,6 +36,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "pairlo
         # checkpointed tables are deleted once nothing references them
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
