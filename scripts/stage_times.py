@@ -10,16 +10,28 @@ import os
 import sys
 
 
+def _open(path: str):
+    """Event logs are zstd-compressed by default in Spark 4."""
+    if path.endswith(".zstd"):
+        import io
+
+        import zstandard
+
+        raw = open(path, "rb")
+        return io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(raw, closefd=True), encoding="utf-8")
+    return open(path, encoding="utf-8")
+
+
 def stages(path: str):
     if os.path.isdir(path):  # Spark 4 writes rolling logs: eventlog_v2_<app>/events_<n>_<app>
         files = sorted(
             os.path.join(root, f) for root, _, names in os.walk(path) for f in names if not f.startswith(".")
-            and not f.startswith("appstatus")
+            and not f.startswith("appstatus") and not f.endswith(".crc")
         )
     else:
         files = [path]
     for f in files:
-        with open(f, encoding="utf-8") as fh:
+        with _open(f) as fh:
             for line in fh:
                 ev = json.loads(line)
                 if ev.get("Event") != "SparkListenerStageCompleted":
