@@ -7,11 +7,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
+from pairloom.plans.catalog import QUERIES
+from pairloom.plans.oracle import ORACLE_SQL as ORACLE
 from pairloom.session import TABLES
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
-
 
 def norm(v):
     if isinstance(v, float):
@@ -40,6 +39,11 @@ def test_entry_smoke(spark):
     assert df.columns == ["pair_id", "lang", "src_raw", "tgt_raw", "n_src", "n_tgt", "dist", "ratio"]
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
+
+
 def test_every_query_has_an_oracle():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == set()
