@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.llm.bpe import op3_bpe_round_trip
+from pairloom.llm.jaccard_join import op8_jaccard_join
 from pairloom.llm.quality_rules import op5_quality_rules
 from pairloom.llm.token_counts import op1_token_counts
 from pairloom.llm.url_filter import op9_url_filter
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
 }
 
