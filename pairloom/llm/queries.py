@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairloom.llm.bpe import op3_bpe_round_trip
 from pairloom.llm.jaccard_join import op8_jaccard_join
 from pairloom.llm.quality_rules import op5_quality_rules
+from pairloom.llm.substring_dedup import op10_substring_dedup
 from pairloom.llm.token_counts import op1_token_counts
 from pairloom.llm.url_filter import op9_url_filter
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
