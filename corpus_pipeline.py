@@ -1,24 +1,67 @@
-"""A training-data pipeline over ``documents``: each stage reads what the one
-before it wrote."""
+"""A training-data pipeline over ``documents``: quality rules, near copies,
+benchmark passages, personal data, tokens.  Each stage reads what the one
+before it wrote and works on all of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom.llm.bpe import round_trip_digests
 from pairloom.llm.common import stored
+from pairloom.llm.decontaminate import contaminated
+from pairloom.llm.jaccard_join import jaccard_join
+from pairloom.llm.pii import pseudonymise
 from pairloom.llm.quality_rules import quality_rules
 
+#: near copies: five-word shingles, similarity 0.8 or more
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdict = quality_rules(docs)
-    return docs.join(verdict.where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Documents that the quality rules reject go (5)."""
+    kept = quality_rules(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the
+    smallest id (8); documents without words have no copies."""
+    groups = jaccard_join(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    gone = groups.where("component_id <> doc_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go (4)."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    leaks = contaminated(docs, benchmark).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates (7); n_chars follows."""
+    text = pseudonymise(docs).select("doc_id", "text")
+    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
+    return text.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as digests (3)."""
+    import public_tokenizers
+
+    return round_trip_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("near_copies", near_copies_stage),
+    ("decontamination", decontaminate_stage),
+    ("pii", pii_stage),
+    ("bpe", tokens_stage),
 ]
 
+#: EM, edit distances, keyed surrogates and BPE are beyond SQL: tested against
+#: the operators' brute-force versions
 ORACLE_SQL = None
 
 

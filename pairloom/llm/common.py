@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.session import ensure_checkpoint_dir
 
 #: a word is a run of characters other than these six
-BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 #: rows handled at once inside a task; whole texts, so memory stays near
@@ -64,15 +63,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, computed once per distinct word and task."""
+    """64-bit hash of each word (text or UTF-8), computed once per distinct word and task."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -85,15 +84,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPLIT = str.maketrans({c: " " for c in BLANKS})
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+def words_of(text: str) -> list[bytes]:
+    """Runs of characters outside the six blanks, as UTF-8: ``bytes.split``
+    cuts at exactly these, ``str.split`` would at other Unicode spaces too."""
+    return text.encode().split()
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of characters outside the six blanks (``str.split`` would also
-    cut at other Unicode spaces)."""
-    return [w for w in text.translate(_SPLIT).split(" ") if w]
-
-
-def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
+def lower_words_of(text: str) -> list[bytes]:
+    """The same with A-Z lower-cased (``bytes.lower`` touches no others)."""
+    return text.encode().lower().split()

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import WordHashes, lower_ascii, map_texts, mix, slim, stored, words_of
+from pairloom.llm.common import WordHashes, lower_words_of, map_texts, mix, slim, stored
 from pairloom.llm.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
@@ -97,7 +97,7 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
         def fn(ids, texts):
             n, cls, sigs, bits = [], [], [], []
             for t in texts:
-                s = shingle_set(known.array(words_of(lower_ascii(t))), size)
+                s = shingle_set(known.array(lower_words_of(t)), size)
                 n.append(len(s))
                 cls.append(int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
                 sigs.append(signatures(s, bands).view(np.int64))
@@ -129,7 +129,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             take = np.flatnonzero(held_bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
             for at in range(0, len(take), 256):
                 texts = batch.column(1).take(pa.array(take[at : at + 256])).to_pylist()
-                sets = [shingle_set(known.array(words_of(lower_ascii(t))), size) for t in texts]
+                sets = [shingle_set(known.array(lower_words_of(t)), size) for t in texts]
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()),
