@@ -22,6 +22,7 @@ TRAIN_ROWS = 8_000           # documents the scorer is fitted on, at most (about
 ROUNDS, RATE, DECAY = 80, 2.0, 1e-6
 SCALE = 20.0                 # mean weights of a text are multiplied by this
 SYMBOLS = "#*$%&|<>"
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = ["l_symbols", "l_upper", "l_exclaim", "l_lines", "l_variety", "l_echo", "l_length"]
 VOTES = "doc_id long, " + ", ".join(f"{r} int" for r in RULES)
 
@@ -55,13 +56,19 @@ class Features(dict):
     def __init__(self):
         super().__init__()
         self.table = np.empty((CACHE_ENTRIES, 3), np.int32)
+        self.hashes: dict[tuple, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode()
-        shape = "A" if text.isupper() and len(text) > 1 else ""
-        shape += re.sub(r"\d+", "0", re.sub(r"[^\W\d_]+", "a", text))
-        h, row = xxhash.xxh3_64_intdigest, len(self)
-        self.table[row] = h(word) % DIMS, h(text[-3:], seed=1) % DIMS, h(shape, seed=2) % DIMS
+        ending, shape = text[-3:], ("A" if word.isupper() else "a") + text.rstrip(LETTERS)[-3:]
+        row, hashes = len(self), self.hashes
+        for kind, x in enumerate((ending, shape)):
+            if (kind, x) not in hashes:
+                if len(hashes) >= CACHE_ENTRIES:
+                    hashes.clear()
+                hashes[kind, x] = xxhash.xxh3_64_intdigest(x, seed=kind + 1) % DIMS
+            self.table[row, kind + 1] = hashes[kind, x]
+        self.table[row, 0] = xxhash.xxh3_64_intdigest(word) % DIMS
         self[word] = row
         return row
 
