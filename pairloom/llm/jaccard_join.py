@@ -5,38 +5,41 @@ Two sets with Jaccard similarity t or more have similar sizes and differ in at
 most H elements, H known from the sizes.  Sizes are cut into bands; the tile
 of a band compares the sets of that band with each other and with those of the
 next band that are small enough.  Within a tile every set is cut, by hash,
-into H + 1 parts: a linked pair agrees on at least one part whole, so comparing
-only sets with an equal part loses no link, and a part is several shingles
-long, so few others meet.
+into P > H parts: a linked pair agrees on at least P - H parts whole, so
+comparing only sets with an equal part loses no link, and a part is several
+shingles long, so few others meet.  Empty parts would let strangers meet; a set
+with fewer than P - H of them need not present them, since some other part
+then agrees too, and P leaves room for that.
 
 Sets are compared once per distinct set (class), not per document.  Of the
 classes that share a part, all are first compared with the smallest, which
 settles the usual case that all belong together.  Only where a part's classes
 still stand in different components are the remaining pairs across components
 compared, in blocks of bounded size.  A pair is settled in three steps: sizes,
-then bitmaps (each shingle toggles one of 512 bits; the number of bits that
-differ is at most the number of elements that differ, which bounds the overlap
-from above), then the exact intersection of the sorted arrays.
+then bitmaps (each shingle toggles one bit; the number of bits that differ is
+at most the number of elements that differ, which bounds the overlap from above;
+a bitmap has about one bit per shingle and folds to half its size), then the exact intersection of the sorted arrays.
 
 Shingles and sets are identified by 64-bit hashes."""
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pairloom.llm.common import WordHashes, lower_words_of, map_texts, mix, slim, stored
+from pairloom.llm.common import CACHE_ENTRIES, WordHashes, lower_words_of, map_texts, mix, slim, stored
 from pairloom.llm.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
-BITS = 512
+MIN_BITS = 512
 BLOCK = 512          # classes a block compares with another block at most, on average
 FILTER_BITS = 1 << 23  # 1 MB shipped to the tasks of the second reading
-FEATURES = "doc_id long, n_shingles long, cls long, sigs array<long>, bits array<long>"
+FEATURES = "doc_id long, n_shingles long, cls long, sigs array<long>, bits binary"
 
 
 class Bands:
@@ -45,21 +48,29 @@ class Bands:
     def __init__(self, percent: int):
         self.percent = percent
         self.low = [1]
-        while self.low[-1] < 1 << 40:
+        while self.low[-1] < 1 << 30:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 3 // 2))
+        self.sized = [self.parts(b) for b in range(len(self.low) - 1)]
 
-    def parts(self, band: int) -> int:
+    def parts(self, band: int) -> tuple[int, int]:
+        """(parts, differing elements allowed) of the band's tile; parts grow
+        past the least number until ordinary sets have few empty ones."""
         top = self.low[band + 1] - 1
-        return (top + 100 * top // self.percent) * (100 - self.percent) // (100 + self.percent) + 1
-
-    def tiles(self, n: int) -> list[tuple[int, int]]:
-        """(band, parts) of the tiles in which a set of size n stands; a tile
-        of one part would only find equal sets, which are one class."""
+        most = (top + 100 * top // self.percent) * (100 - self.percent) // (100 + self.percent)
+        parts = most + 1
+        while parts < 1.4 * most and parts - most <= 1.5 * parts * math.exp(-self.low[band] / parts) + 2:
+            parts += max(1, most // 50)
+        return parts, most
+
+    def tiles(self, n: int) -> list[tuple[int, int, int]]:
+        """(band, parts, most) of the tiles in which a set of size n stands; a
+        tile that allows no difference would only find equal sets, which are
+        one class."""
         own = bisect_right(self.low, n) - 1
         found = [own]
-        if own and n <= 100 * (self.low[own] - 1) // self.percent:
-            found.append(own - 1)
-        return [(b, p) for b in found if (p := self.parts(b)) > 1]
+        while found[-1] and n <= 100 * (self.low[found[-1]] - 1) // self.percent:
+            found.append(found[-1] - 1)
+        return [(b, *self.sized[b]) for b in found if self.sized[b][1]]
 
 
 def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
@@ -77,32 +88,49 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
-    for band, parts in bands.tiles(len(s)):
+    for band, parts, most in bands.tiles(len(s)):
+        part = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), mix(s + np.uint64(1)))
-        salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40))
-        out.append(mix(sums ^ salt))
+        np.add.at(sums, part, mix(s + np.uint64(1)))
+        got = mix(sums ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40)))
+        held = np.bincount(part, minlength=parts) > 0
+        out.append(got if parts - np.count_nonzero(held) >= parts - most else got[held])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def parity_bits(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity_bits(s: np.ndarray) -> bytes:
+    m = MIN_BITS
+    while m < len(s):
+        m *= 2
+    odd = np.bincount(((s >> np.uint64(20)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap as it would be with ``size`` bytes."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
 
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def make():
-        known, bands = WordHashes(), Bands(percent)
+        known, bands, seen = WordHashes(), Bands(percent), set()
 
         def fn(ids, texts):
             n, cls, sigs, bits = [], [], [], []
+            if len(seen) > CACHE_ENTRIES:
+                seen.clear()
             for t in texts:
                 s = shingle_set(known.array(lower_words_of(t)), size)
                 n.append(len(s))
                 cls.append(int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
-                sigs.append(signatures(s, bands).view(np.int64))
+                # copies in one task present their parts once
+                sigs.append(np.zeros(0, np.int64) if cls[-1] in seen else signatures(s, bands).view(np.int64))
+                seen.add(cls[-1])
                 bits.append(parity_bits(s))
-            return [ids, n, cls, pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            return [ids, n, cls, pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
 
         return fn
 
@@ -155,13 +183,19 @@ def _linked(batches, percent: int):
         yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], names=["a", "b"])
 
 
-def _may_link(x: str, y: str, percent: int):
-    """Sizes and bitmaps allow the pair: overlap <= (|x| + |y| - differing bits) / 2."""
-    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
-    differ = F.aggregate(F.zip_with(f"bits{x}", f"bits{y}", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long")),
-                         F.lit(0).cast("long"), lambda acc, v: acc + v)
-    return ((100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-            & ((100 + percent) * (nx + ny - differ) >= 2 * percent * (nx + ny)))
+def _may_link(batches, percent: int):
+    """Pairs that sizes and bitmaps allow: overlap <= (|x| + |y| - differing bits) / 2."""
+    for batch in batches:
+        nx, ny = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+        keep = np.flatnonzero(100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+        bx, by, good = batch.column(6), batch.column(7), []
+        for i in keep.tolist():
+            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (bx, by))
+            size = min(len(x), len(y))
+            differ = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64))
+            if (100 + percent) * (int(nx[i] + ny[i]) - differ) >= 2 * percent * int(nx[i] + ny[i]):
+                good.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in range(4)], names=["a", "b", "repa", "repb"])
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,7 +203,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     for s in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"),
                                           F.col("rep").alias(f"rep{s}")), s)
-    pairs = stored(pairs.where(_may_link("a", "b", percent)).select("a", "b", "repa", "repb"), "pairs")
+    pairs = pairs.select("a", "b", "repa", "repb", "na", "nb", "bitsa", "bitsb").mapInArrow(
+        lambda it: _may_link(it, percent), "a long, b long, repa long, repb long")
+    pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("repa").alias("rep")).union(pairs.select("repb")).distinct()
     sets = stored(_sets(docs, wanted, size), "sets")
     # the larger class id first: it names few pairs, the smaller one may be the
@@ -198,7 +234,9 @@ def _across(tiles: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     def block(table: pa.Table) -> pa.Table:
         bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
         own, cls, comp, n = (np.asarray(table[c]) for c in ("own", "cls", "comp", "n"))
-        bits = np.asarray(table["bits"].combine_chunks().flatten()).view(np.uint64).reshape(len(cls), -1)
+        raw = [np.frombuffer(b, np.uint64) for b in table["bits"].to_pylist()]
+        size = min(map(len, raw))
+        bits = np.stack([fold(b, size) for b in raw])
         left = np.flatnonzero(own == bi)
         aa, bb = [], []
         for i in left:
@@ -230,15 +268,16 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored; an empty table gives no rows."""
     docs = slim(df, id_col, text_col)
     feat = stored(features(docs, size, percent), "shingles")
-    reps = feat.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    reps = stored(reps, "classes")
-    # one document of each class carries its signatures on
-    one = feat.select("doc_id", "cls", "sigs", "bits").join(reps.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
-    one = stored(one, "class-signatures")
-    classes = one.select("cls", "bits", F.col("doc_id").alias("rep")).join(reps.select("cls", "n"), "cls")
-    parts = one.select("cls", F.explode("sigs").alias("sig"))
-    shared = stored(parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p < q").select("sig", "p"), "shared-parts")
-    tiles = stored(parts.join(shared, "sig").select("sig", "p", "cls").distinct(), "tiles")
+    sets = feat.where("cls is not null")
+    reps = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
+    classes = stored(sets.join(reps.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
+                     .select("cls", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"]), "bitmaps")
+    # parts that only one class holds end here, after the one large shuffle
+    part = Window.partitionBy("sig")
+    tiles = (sets.select("cls", F.explode("sigs").alias("sig")).repartition("sig")
+             .withColumns({"p": F.min("cls").over(part), "q": F.max("cls").over(part)})
+             .where("p < q").select("sig", "p", "cls").distinct())
+    tiles = stored(tiles, "tiles")
     links = _verified(tiles.where("cls <> p").select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct(), classes, docs, size, percent)
     labels = connected_components(links)
     more = _verified(_across(tiles, classes, labels, percent), classes, docs, size, percent)
