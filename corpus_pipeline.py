@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import round_trip_digests
 from pairloom.llm.common import stored
-from pairloom.llm.decontaminate import contaminated
+from pairloom.llm.decontaminate import without_contaminated
 from pairloom.llm.jaccard_join import jaccard_join
-from pairloom.llm.pii import pseudonymise
-from pairloom.llm.quality_rules import quality_rules
+from pairloom.llm.pii import pseudonymise_rows
+from pairloom.llm.quality_rules import keep_good
 
 #: near copies: five-word shingles, similarity 0.8 or more
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
@@ -19,8 +19,7 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go (5)."""
-    kept = quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return keep_good(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +33,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go (4)."""
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    leaks = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return without_contaminated(docs, benchmark)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates (7); n_chars follows."""
-    text = pseudonymise(docs).select("doc_id", "text")
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    return text.join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pseudonymise_rows(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

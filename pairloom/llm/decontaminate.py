@@ -245,6 +245,30 @@ def _search(block, share: float):
     return run
 
 
+def without_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                         item_text_col: str = "text", share: float = MAX_SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``df`` (all columns) whose text holds no item: the same
+    search as `contaminated`, as a filter inside the tasks, without a join."""
+    items = benchmark.select(benchmark[item_id_col].cast("long").alias("doc_id"),
+                             F.coalesce(benchmark[item_text_col], F.lit("")).alias("text"))
+    at = df.columns.index(text_col)
+    for block in _blocks(items, block_words):
+        df = df.mapInArrow(_clean(block, share, at), df.schema)
+    return df
+
+
+def _clean(block, share: float, column: int):
+    def run(batches):
+        index, known = Index(block, share), WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = index.search([known.array(words(t or "")) for t in part.column(column).to_pylist()])
+                yield part.filter(pa.array([not m for m in found], pa.bool_()))
+
+    return run
+
+
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     d = sf_dir.rstrip("/")
     return contaminated(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))

@@ -13,9 +13,9 @@ then agrees too, and P leaves room for that.
 
 Sets are compared once per distinct set (class), not per document.  Of the
 classes that share a part, all are first compared with the smallest, which
-settles the usual case that all belong together.  Only where a part's classes
-still stand in different components are the remaining pairs across components
-compared, in blocks of bounded size.  A pair is settled in three steps: sizes,
+settles the usual case that all belong together.  Only where the classes met
+by one pivot still stand in different components are the remaining pairs across
+components compared, in blocks of bounded size.  A pair is settled in three steps: sizes,
 then bitmaps (each shingle toggles one bit; the number of bits that differ is
 at most the number of elements that differ, which bounds the overlap from above;
 a bitmap has about one bit per shingle and folds to half its size), then the exact intersection of the sorted arrays.
@@ -216,20 +216,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 
 def _across(tiles: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a part, stand in different components and
-    were not compared with each other yet."""
-    comp = tiles.join(labels.select(F.col("v").alias("cls"), "comp"), "cls", "left").select(
-        "sig", "p", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_ = (comp.groupBy("sig").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))).alias("who"),
-                                     F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where((F.col("cnt") > 2) & (F.col("lo") < F.col("hi")))
-             .groupBy("cnt", "who").agg(F.min("sig").alias("sig")))  # parts shared by the same classes: once
-    open_ = stored(open_.select("sig", F.ceil(F.col("cnt") / BLOCK).cast("int").alias("blocks")), "open-tiles")
-    rows = (comp.join(open_, "sig").where("cls <> p")
-            .join(classes.select("cls", "n", "bits"), "cls")
+    """Pairs of classes with a common pivot that stand in different
+    components: all pairs that share a part, and were not compared yet, are
+    among them."""
+    comp = tiles.join(labels.select(F.col("v").alias("cls"), "comp"), "cls", "left").select("p", "cls", F.coalesce("comp", "cls").alias("comp"))
+    open_ = (comp.groupBy("p").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))).alias("who"),
+                                   F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where((F.col("cnt") > 1) & (F.col("lo") < F.col("hi")))
+             .groupBy("cnt", "who").agg(F.min("p").alias("p")))  # the same company twice: once
+    open_ = stored(open_.select("p", F.ceil(F.col("cnt") / BLOCK).cast("int").alias("blocks")), "open-tiles")
+    rows = (comp.join(open_, "p").join(classes.select("cls", "n", "bits"), "cls")
             .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cls", "comp", "n", "bits"))
+            .select("p", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "cls", "comp", "n", "bits"))
 
     def block(table: pa.Table) -> pa.Table:
         bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
@@ -253,7 +252,7 @@ def _across(tiles: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
         return pa.table({"a": pa.array(np.concatenate(aa) if aa else [], pa.int64()),
                          "b": pa.array(np.concatenate(bb) if bb else [], pa.int64())})
 
-    return rows.groupBy("sig", "bi", "bj").applyInArrow(block, "a long, b long").distinct()
+    return rows.groupBy("p", "bi", "bj").applyInArrow(block, "a long, b long").distinct()
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -272,13 +271,13 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stored(sets.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
     classes = stored(sets.join(reps.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi")
                      .select("cls", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["cls"]), "bitmaps")
-    # parts that only one class holds end here, after the one large shuffle
+    # parts that only one class holds end here, after the one large shuffle;
+    # of the others only the smallest class (pivot) and its company are kept
     part = Window.partitionBy("sig")
     tiles = (sets.select("cls", F.explode("sigs").alias("sig")).repartition("sig")
-             .withColumns({"p": F.min("cls").over(part), "q": F.max("cls").over(part)})
-             .where("p < q").select("sig", "p", "cls").distinct())
+             .withColumn("p", F.min("cls").over(part)).where("p < cls").select("p", "cls").distinct())
     tiles = stored(tiles, "tiles")
-    links = _verified(tiles.where("cls <> p").select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct(), classes, docs, size, percent)
+    links = _verified(tiles.select(F.col("p").alias("a"), F.col("cls").alias("b")), classes, docs, size, percent)
     labels = connected_components(links)
     more = _verified(_across(tiles, classes, labels, percent), classes, docs, size, percent)
     if not more.isEmpty():

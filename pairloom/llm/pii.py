@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import map_texts, slim
+from pairloom.llm.common import ROWS_AT_ONCE, map_texts, slim
 
 KEY = b"pairloom"            # production jobs pass their own secret
 ROUNDS, REDRAWS = 6, 8
@@ -223,6 +223,17 @@ def collisions(found: DataFrame, key: bytes, redrawn: dict) -> list:
     return again
 
 
+def keyed(docs: DataFrame, key: bytes = KEY) -> dict:
+    """Draws that avoid all collisions among the entities of (doc_id, text)."""
+    found, redrawn = mentions(docs), {}
+    for draw in range(1, REDRAWS + 1):
+        again = collisions(found, key, redrawn)
+        if not again:
+            return redrawn
+        redrawn |= {(r["kind"], r["canon"]): draw for r in again}
+    raise ValueError(f"surrogates still collide after {REDRAWS} draws")
+
+
 def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """One row per input row: doc_id, text with surrogates, n_entities.
 
@@ -231,14 +242,7 @@ def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows.  Overlapping matches: the leftmost, then the first
     kind of the pattern, wins.  A text without entities is returned as is."""
     docs = slim(df, id_col, text_col)
-    found, redrawn = mentions(docs), {}
-    for draw in range(1, REDRAWS + 1):
-        again = collisions(found, key, redrawn)
-        if not again:
-            break
-        redrawn |= {(r["kind"], r["canon"]): draw for r in again}
-    else:
-        raise ValueError(f"surrogates still collide after {REDRAWS} draws")
+    redrawn = keyed(docs, key)
 
     def make():
         names = Surrogates(key, redrawn)
@@ -252,5 +256,21 @@ def pseudonymise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(docs, make, "doc_id long, text string, n_entities int")
 
 
+def pseudonymise_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+    """``df`` with all its columns and its texts pseudonymised (a null text
+    stays null); no join, no shuffle of texts."""
+    redrawn, at = keyed(slim(df, id_col, text_col), key), df.columns.index(text_col)
+
+    def run(batches):
+        names = Surrogates(key, redrawn)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(a, ROWS_AT_ONCE)
+                texts = [t and replace(t, names)[0] for t in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     return pseudonymise(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))

@@ -27,18 +27,18 @@ def _kept_chars(text: Column, drop: str) -> Column:
     return F.length(F.regexp_replace(text, drop, "")).cast("long")
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """Exact counts per (doc_id, text) row; linear in the text's length but
+def text_counts(docs: DataFrame, *carry: str) -> DataFrame:
+    """Exact counts per (doc_id, text) row, with the columns to carry along; linear in the text's length but
     for a sort of the texts in which some window repeats."""
     t = F.col("text")
     # each step is a projection of its own: arrays are made once, never inlined
     a = docs.select(
-        "doc_id",
+        "doc_id", *carry,
         F.filter(F.split(t, BLANK_CLASS + "+"), lambda w: w != "").alias("words"),
         F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         _kept_chars(t, "[^#*$%&|<>]+").alias("n_symbols"),
         _kept_chars(t, r"[^\p{Lu}]+").alias("n_upper"))
-    a = a.select("doc_id", "n_symbols", "n_upper",
+    a = a.select("doc_id", *carry, "n_symbols", "n_upper",
                  F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
                  F.size("words").cast("long").alias("n_words"), F.size("lines").cast("long").alias("n_lines"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -58,9 +58,12 @@ def text_counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")),
                           lambda acc, p: F.struct((acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"), p.alias("last")),
                           lambda acc: acc["n"])
-    return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                    F.when(F.col("repeats"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-                    "n_upper", "n_lines")
+    # behind a generator, so that a filter on a count is not pushed below with
+    # the whole computation inlined once per reference
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines",
+                      F.when(F.col("repeats"), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+                      "n_upper", "n_lines")
+    return a.select("doc_id", *carry, F.inline(F.array(counts)))
 
 
 def votes() -> dict[str, Column]:
@@ -106,6 +109,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          (~base_failed() & (model.posterior() >= keep_from)).alias("kept"))
 
 
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``df`` (all columns) that `quality_rules` keeps.  The counts
+    are taken twice, for the fit and for the filter, so that no text is
+    shuffled or stored."""
+    rules = votes()
+    model = fit(text_counts(slim(df, id_col, text_col)).withColumns(rules).where(~base_failed()), list(rules))
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"), F.struct(*[df[c] for c in df.columns]).alias("row_"))
+    judged = text_counts(rows, "row_").withColumns(rules)
+    return judged.where(~base_failed() & (model.posterior() >= keep_from)).select("row_.*")
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     return quality_rules(docs)
