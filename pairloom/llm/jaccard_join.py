@@ -66,8 +66,9 @@ class Bands:
         """(band, parts, most) of the tiles in which a set of size n stands; a
         tile that allows no difference would only find equal sets, which are
         one class."""
-        own = bisect_right(self.low, n) - 1
-        found = [own]
+        if not n:
+            return []
+        found = [bisect_right(self.low, n) - 1]
         while found[-1] and n <= 100 * (self.low[found[-1]] - 1) // self.percent:
             found.append(found[-1] - 1)
         return [(b, *self.sized[b]) for b in found if self.sized[b][1]]

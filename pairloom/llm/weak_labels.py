@@ -21,7 +21,8 @@ MAX_RULES = 8  # 3^8 = 6,561 patterns at most
 #: ones.  It weighs ``STRENGTH`` times the rows on which the rule votes, so it
 #: means the same at every corpus size, and a rule that votes bad on many
 #: texts still loses its say.
-FALSE_ALARM, RECALL, STRENGTH = 0.001, 0.25, 5.0
+#: So does the share of good texts before any vote.
+FALSE_ALARM, RECALL, GOOD_SHARE, STRENGTH = 0.001, 0.25, 0.85, 5.0
 
 
 @dataclass
@@ -61,7 +62,7 @@ def fit_patterns(patterns: list[tuple[tuple, int]], rules: list[str], rounds: in
     model = LabelModel(0.5, [0.5] * len(rules), [0.5] * len(rules), rules)
     for _ in range(rounds):
         total = sum(n for _, n in patterns)
-        prior = (sum(n * p for (_, n), p in zip(patterns, q)) + 1) / (total + 2)
+        prior = (sum(n * p for (_, n), p in zip(patterns, q)) + GOOD_SHARE * (STRENGTH * total + 1)) / (total + STRENGTH * total + 1)
         good, bad = [], []
         for j in range(len(rules)):
             gg = gv = bb = bv = 0.0
@@ -88,8 +89,7 @@ def fit_patterns(patterns: list[tuple[tuple, int]], rules: list[str], rounds: in
 
 
 def fit(votes: DataFrame, rules: list[str], rounds: int = 200) -> LabelModel:
-    """Fit on all rows of ``votes``.  An empty table gives a model that knows
-    nothing (all probabilities one half)."""
+    """Fit on all rows of ``votes``.  An empty table gives the prior."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules, got {len(rules)}")
     counted = votes.groupBy(*rules).agg(F.count(F.lit(1)).alias("n_rows_")).collect()  # at most 3^MAX_RULES rows
