@@ -194,8 +194,9 @@ def map_text(df: DataFrame, in_col: str, out_col: str, factory: Callable[[], Cal
                     if model is None:
                         raise RuntimeError("model unavailable")
                     got = list(model(chunk))
-                    got = [str(g) if g is not None else "" for g in got[: len(chunk)]]
-                    got += [""] * (len(chunk) - len(got))
+                    if len(got) != len(chunk):
+                        raise ValueError(f"model gave {len(got)} outputs for {len(chunk)} texts")
+                    got = [str(g) if g is not None else "" for g in got]
                 except Exception:
                     got = []
                     for t in chunk:
@@ -203,7 +204,9 @@ def map_text(df: DataFrame, in_col: str, out_col: str, factory: Callable[[], Cal
                             if model is None:
                                 raise RuntimeError("model unavailable")
                             r = list(model([t]))
-                            got.append(str(r[0]) if r else "")
+                            if len(r) != 1:
+                                raise ValueError(f"model gave {len(r)} outputs for one text")
+                            got.append(str(r[0]) if r[0] is not None else "")
                         except Exception:
                             got.append(ERROR)
                 outs.extend(got)

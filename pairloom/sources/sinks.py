@@ -23,9 +23,10 @@ def write_csv(df: DataFrame, out_dir: str, partition_by: Sequence[str] = ()) ->
 
 def write_report_csv(df: DataFrame, out_dir: str) -> None:
     """K2: a small report as one CSV part whose header starts with a UTF-8
-    byte-order mark (for spreadsheets).  Reports only: one task writes."""
+    byte-order mark (for spreadsheets).  Reports only: one task writes, the report itself is
+    computed by as many tasks as before."""
     first = df.columns[0]
-    write_csv(df.withColumnRenamed(first, BOM + first).coalesce(1), out_dir)
+    write_csv(df.withColumnRenamed(first, BOM + first).repartition(1), out_dir)
 
 
 def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:

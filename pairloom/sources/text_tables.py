@@ -21,13 +21,13 @@ LINE_BREAK = r"\r\n|\n|\r"
 def parse_tsv_lines(lines: DataFrame, value: str = "value", columns: Sequence[str] = RAW_COLUMNS,
                     na_values: Sequence[str] = ()) -> DataFrame:
     """Split each line on tabs with quotes as ordinary characters;
-    blank lines are skipped, lines with too many fields are dropped and
+    blank lines (empty or spaces only) are skipped, lines with too many fields are dropped and
     short lines are padded with nulls; fields equal to one of
     ``na_values`` become null.  (Spark's CSV reader cannot do this: its
     DROPMALFORMED mode also drops short lines and PERMISSIVE keeps
     over-wide ones, truncated.)"""
     n = len(columns)
-    f = lines.where(F.col(value) != "").select(F.split(F.col(value), "\t", -1).alias("_f"))
+    f = lines.where(~F.col(value).rlike("^ *$")).select(F.split(F.col(value), "\t", -1).alias("_f"))
     f = f.where(F.size("_f") <= n)
     cols = []
     for i, c in enumerate(columns):
@@ -50,17 +50,21 @@ def text_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """CSV with header; quoted fields may hold quotes, commas and
-    newlines.  multiLine files are not splittable: keep parquet between
+    """CSV with header, columns bound by header name: other columns are
+    left out, a column that the file lacks is null.  Quoted fields may hold
+    quotes, commas and newlines.  multiLine files are not splittable: keep parquet between
     stages and CSV only at the exchange boundary."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    raw = (
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", True)
         .csv(path)
     )
+    found = set(raw.columns)
+    return raw.select(*[
+        (F.col(f"`{f.name}`") if f.name in found else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -109,3 +109,20 @@ def test_read_splits_tags_files(spark):
             f.write(f"id,src_raw,tgt_raw\n{name},a,b\n")
     df = TT.read_splits(spark, d, {"train": "train_x.csv", "val": "val_x.csv"}, PAIR_SCHEMA)
     assert sorted(r.split for r in df.collect()) == ["train", "val"]
+
+
+def test_csv_columns_bind_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from pairloom.sources.text_tables import read_csv
+
+    (tmp_path / "a.csv").write_text('tgt_raw,extra,src_raw\n"neutral, text",x,biased\n', encoding="utf-8")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "src_raw", "tgt_raw")])
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"), schema).collect()] == [(None, "biased", "neutral, text")]
+
+
+def test_tsv_skips_lines_of_spaces(spark):
+    from pairloom.sources.text_tables import parse_tsv_lines
+
+    lines = spark.createDataFrame([("1\ta",), ("",), ("   ",), ("2\tb",)], "value string")
+    assert parse_tsv_lines(lines, columns=["id", "t"]).count() == 2
