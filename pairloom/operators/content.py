@@ -12,10 +12,11 @@ Words with one vector share one maximum, so each side is reduced to
 of a pair is then computed inside the task with numpy, block by block, so
 no (word, word) rows are ever emitted.
 
-When the embedding table is small enough to broadcast (its size is
-checked first: at most ``broadcast_floats`` numbers), only (vec_id,
-multiplicity) rows are shuffled and each task looks the vectors up in the
-broadcast matrix; above that bound the vectors are joined in by vec_id."""
+Only non-null vectors without null elements and other than zero count;
+of several vectors with one id the smallest (element by element) does.  A
+word whose vector does not count is left out of its text.  There is one
+path: the vectors are joined in by id, and Catalyst and AQE choose how.
+A frequent word stands in every text, so both sides carry a salt."""
 
 from __future__ import annotations
 
@@ -28,19 +29,27 @@ from pyspark.sql import types as T
 from pairloom.functions.text import hash_key, words
 
 BLOCK = 2048
+SALTS = 16  # tasks among which the texts that hold one word are dealt
 
 
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    e = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x * x))
-    return e.select("vec_id", F.transform("e", lambda x: F.try_divide(x, norm)).alias("u"))
+def usable_vectors(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, e): one vector per id, without nulls and not all zero."""
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    e = embeddings.where(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
+    return e.groupBy("vec_id").agg(F.min("embedding").alias("e"))
+
+
+def _unit(flat, n: int) -> np.ndarray:
+    m = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _greedy(cv, ck, rv, rk) -> tuple[float, float, float]:
-    if cv is None or rv is None or len(cv) == 0 or len(rv) == 0 or len(ck) == 0 or len(rk) == 0:
+    """Scores of one pair from both sides' vectors (one after the other) and
+    multiplicities."""
+    if len(ck) == 0 or len(rk) == 0:
         return 0.0, 0.0, 0.0
-    a = np.stack(cv).astype(np.float64)
-    b = np.stack(rv).astype(np.float64)
+    a, b = _unit(cv, len(ck)), _unit(rv, len(rk))
     wa, wb = np.asarray(ck, dtype=np.float64), np.asarray(rk, dtype=np.float64)
     best_a = np.empty(len(a))
     best_b = np.full(len(b), -np.inf)
@@ -60,80 +69,24 @@ def _greedy_udf(cv: pd.Series, ck: pd.Series, rv: pd.Series, rk: pd.Series) -> p
     return pd.DataFrame(out, columns=["p", "r", "f1"])
 
 
-BROADCAST_FLOATS = 16_000_000  # 128 MB of float64, collected once and broadcast
-
-
-def _lookup_udf(bc):
-    @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("p", "r", "f1")]))
-    def score(ci: pd.Series, ck: pd.Series, ri: pd.Series, rk: pd.Series) -> pd.DataFrame:
-        keys, mat = bc.value
-        out = []
-        for a, wa, b, wb in zip(ci, ck, ri, rk):
-            def rows(ids, ws):
-                if ids is None or len(ids) == 0:
-                    return None, None
-                ids = np.asarray(ids, dtype=np.int64)
-                pos = np.searchsorted(keys, ids)
-                pos = np.minimum(pos, len(keys) - 1)
-                ok = keys[pos] == ids
-                return mat[pos[ok]], np.asarray(ws, dtype=np.float64)[ok]
-            av, aw = rows(a, wa)
-            bv, bw = rows(b, wb)
-            out.append(_greedy(av, aw, bv, bw))
-        return pd.DataFrame(out, columns=["p", "r", "f1"])
-
-    return score
-
-
-def _broadcast_matrix(embeddings: DataFrame):
-    """(sorted vec_ids, unit vectors as float64 rows) as a broadcast
-    variable; the caller has checked the size."""
-    rows = embeddings.select("vec_id", "embedding").where(F.col("embedding").isNotNull()).collect()
-    keys = np.asarray([r.vec_id for r in rows], dtype=np.int64)
-    mat = np.asarray([r.embedding for r in rows], dtype=np.float64)
-    order = np.argsort(keys)
-    keys, mat = keys[order], mat[order]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mat = mat / np.sqrt((mat * mat).sum(axis=1, keepdims=True))
-    spark = embeddings.sparkSession
-    return spark.sparkContext.broadcast((keys, mat))
-
-
-def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str,
-               broadcast_floats: int = BROADCAST_FLOATS) -> DataFrame:
+def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str, salts: int = SALTS) -> DataFrame:
     """Adds p, r, f1 (candidate ``cand`` against reference ``ref``) to
-    every row of ``df``."""
+    every row of ``df``, in place of columns of these names; ``id_cols``
+    identify a row.  All vectors have one length."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     size = embeddings.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    sides = df.select(*ids, F.expr(f"stack(2, 0, `{cand}`, 1, `{ref}`) AS (side, _txt)"))
+    sides = df.select(*ids, F.expr(f"stack(2, 0, `{cand}`, 1, `{ref}`) AS (_side, _txt)"))
     toks = (
-        sides.select(*ids, "side", F.explode(words("_txt")).alias("word"))
-        .select(*ids, "side", F.pmod(hash_key("word"), size).alias("vec_id"))
-        .groupBy(*ids, "side", "vec_id")
-        .agg(F.count(F.lit(1)).alias("k"))
+        sides.select(*ids, "_side", F.explode(words("_txt")).alias("_word"))
+        .select(*ids, "_side", F.pmod(hash_key("_word"), size).alias("vec_id"))
+        .groupBy(*ids, "_side", "vec_id")
+        .agg(F.count(F.lit(1)).alias("_k"))
+        .withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
     )
-    # size check before any broadcast: rows x dimension
-    stats = embeddings.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n_floats = (stats["n"] or 0) * max(stats["d"] or 0, 0)
-    if n_floats <= broadcast_floats:
-        udf = _lookup_udf(_broadcast_matrix(embeddings))
-        per = toks.groupBy(*ids).agg(
-            F.collect_list(F.when(F.col("side") == 0, F.col("vec_id"))).alias("cv"),
-            F.collect_list(F.when(F.col("side") == 0, F.col("k"))).alias("ck"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("vec_id"))).alias("rv"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("k"))).alias("rk"),
-        )
-        scored = per.select(*ids, udf("cv", "ck", "rv", "rk").alias("_s")).select(*ids, "_s.*")
-    else:
-        vecs = toks.join(unit_vectors(embeddings), "vec_id")
-        per = vecs.groupBy(*ids).agg(
-            F.collect_list(F.when(F.col("side") == 0, F.col("u"))).alias("cv"),
-            F.collect_list(F.when(F.col("side") == 0, F.col("k"))).alias("ck"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("u"))).alias("rv"),
-            F.collect_list(F.when(F.col("side") == 1, F.col("k"))).alias("rk"),
-        )
-        scored = per.select(*ids, _greedy_udf("cv", "ck", "rv", "rk").alias("_s")).select(*ids, "_s.*")
-    out = df.join(scored, ids, "left")
-    for c in ("p", "r", "f1"):
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    return out
+    vecs = usable_vectors(embeddings).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    side = lambda k: F.collect_list(F.when(F.col("_side") == k, F.struct(F.col("_k").alias("k"), "e")))
+    per = toks.join(vecs, ["vec_id", "_salt"]).groupBy(*ids).agg(side(0).alias("_c"), side(1).alias("_r"))
+    flat = [x for c in ("_c", "_r") for x in (F.flatten(F.transform(c, lambda v: v["e"])), F.transform(c, lambda v: v["k"]))]
+    scored = per.select(*ids, _greedy_udf(*flat).alias("_s")).select(*ids, "_s.*")
+    out = df.drop("p", "r", "f1").join(scored, ids, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("p", "r", "f1")})

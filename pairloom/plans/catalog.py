@@ -161,6 +161,23 @@ def content_f1(spark, sf_dir):
     return out.select("pair_id", *[F.round(x, 6).alias(x) for x in ("p", "r", "f1")])
 
 
+def _dirty_vectors(emb):
+    """Embeddings with null, zero and repeated vectors, by rule."""
+    e = F.when(F.col("vec_id") % 7 == 0, F.lit(None)).when(
+        F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: (x * 0).cast("float"))
+    ).otherwise(F.col("embedding"))
+    again = emb.where("vec_id % 5 = 0").select("vec_id", F.reverse("embedding").alias("embedding"))
+    return emb.select("vec_id", e.alias("embedding")).unionByName(again)
+
+
+@query
+def content_f1_dirty(spark, sf_dir):
+    """U7 over vectors that are partly null, zero or repeated."""
+    c = Corpus(spark, sf_dir)
+    out = C.content_f1(c.pairs(), _dirty_vectors(c.t("embeddings", "vec_id", "embedding")), "pair_id", "tgt_raw", "src_raw")
+    return out.select("pair_id", *[F.round(x, 6).alias(x) for x in ("p", "r", "f1")])
+
+
 @query
 def content_mean(spark, sf_dir):
     c = Corpus(spark, sf_dir)

@@ -159,6 +159,17 @@ emb AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transf
         FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))"""
 
 
+EMB_DIRTY = """
+dirty AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 11 = 0
+                 THEN list_transform(embedding, lambda x: (x * 0)::FLOAT) ELSE embedding END AS embedding FROM embeddings
+          UNION ALL SELECT vec_id, list_reverse(embedding) FROM embeddings WHERE vec_id % 5 = 0),
+emb_n AS (SELECT count(*) AS n FROM dirty),
+emb_1 AS (SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM dirty WHERE embedding IS NOT NULL)
+          WHERE list_sum(list_transform(e, lambda x: x * x)) > 0
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY e) = 1),
+emb AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM emb_1)"""
+
+
 def content_scores(src: str, ids: str, cand: str, ref: str, name: str = "cs") -> str:
     on = " AND ".join(f"a.{i.strip()} = b.{i.strip()}" for i in ids.split(","))
     return f"""
@@ -191,6 +202,8 @@ ORACLE_SQL.update(
         FROM ppl GROUP BY role""",
         "content_f1": w(PAIRS, EMB, content_scores("pairs", "pair_id", "tgt_raw", "src_raw"))
         + "SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM cs",
+        "content_f1_dirty": w(PAIRS, EMB_DIRTY, content_scores("pairs", "pair_id", "tgt_raw", "src_raw"))
+        + "SELECT pair_id, round(p, 6) AS p, round(r, 6) AS r, round(f1, 6) AS f1 FROM cs",
         "content_mean": w(PAIRS, EMB, content_scores("pairs", "pair_id", "tgt_raw", "src_raw"))
         + "SELECT lang, round(avg(f1), 6) AS content_mean FROM cs GROUP BY lang",
     }

@@ -90,14 +90,23 @@ def test_judge_ties_go_to_neutral(spark):
     assert got == {1: 1, 2: 0, 3: 0}
 
 
-def test_content_paths_agree(spark, emb):
-    rows = [(1, "the cat sat on the mat", "a cat is on a mat"), (2, "x y z", "z q"), (3, "", "a")]
-    df = spark.createDataFrame(rows, "id long, cand string, ref string")
-    bc = {r.id: r.f1 for r in C.content_f1(df, emb, "id", "cand", "ref").collect()}
-    join = {r.id: r.f1 for r in C.content_f1(df, emb, "id", "cand", "ref", broadcast_floats=0).collect()}
-    assert bc.keys() == join.keys()
-    for k in bc:
-        assert bc[k] == pytest.approx(join[k], abs=1e-12)
+def test_content_needs_no_broadcast(spark, emb):
+    """Null, zero and repeated vectors; the same with broadcasts on and off."""
+    dirty = emb.select("vec_id", "embedding").union(spark.createDataFrame(
+        [(1, None), (2, [0.0] * 8), (3, [9.0] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<float>"))
+    rows = [(1, "the cat sat on the mat", "a cat is on a mat", 7.0), (2, "x y z", "z q", 7.0), (3, "", "a", 7.0)]
+    df = spark.createDataFrame(rows, "id long, cand string, ref string, f1 double")
+    run = lambda: sorted(C.content_f1(df, dirty, "id", "cand", "ref").select("id", "p", "r", "f1").collect())
+    with_broadcast = run()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        without = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r.id for r in without] == [1, 2, 3] and without[2].f1 == 0.0
+    for a, b in zip(with_broadcast, without):
+        assert list(a) == pytest.approx(list(b), abs=1e-12)
 
 
 def test_models_round_trip(spark):
