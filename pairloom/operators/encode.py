@@ -68,26 +68,28 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, max_len: int = 128) -> Data
 
 
 def token_losses(encoded: DataFrame, lm: FL.BigramModel) -> DataFrame:
-    """(pair_id, pos, label, loss, weight) for every label position: loss
-    is the bigram model's -ln p of the target word given the previous one
-    (0 at padded positions, which are masked anyway); weight is 2 where
-    the target word differs from the source word at that position, 1
-    where it is unchanged, 0 where the label is masked."""
-    x = encoded.select(
-        "pair_id", "src_words", "tgt_words", F.posexplode("labels").alias("pos", "label")
-    )
+    """(pair_id, pos, label, loss, weight) for every label position that is
+    not masked: loss is the bigram model's -ln p of the target word given
+    the previous one; weight is 2 where the target word differs from the
+    source word at that position, 1 where it is unchanged.  Masked positions
+    weigh nothing and end before the joins; a pair without any other keeps
+    one row (pos and label null, loss and weight 0)."""
+    # padding is on the right only, so the positions stay
+    real = F.filter("labels", lambda x: x != IGNORE)
+    x = encoded.select("pair_id", "src_words", "tgt_words", F.posexplode_outer(real).alias("pos", "label"))
+    masked = F.col("label").isNull()
     prev = F.when(F.col("pos") == 0, F.lit(FL.BOS)).otherwise(F.get(F.col("tgt_words"), F.col("pos") - 1))
     x = x.select(
         "pair_id",
         "pos",
         "label",
-        prev.alias("u"),
+        # words hold no space: pairs without a label meet nothing, each in a place of its own
+        F.when(masked, F.concat(F.lit(" "), F.col("pair_id").cast("string"))).otherwise(prev).alias("u"),
         F.get(F.col("tgt_words"), F.col("pos")).alias("w"),
         F.get(F.col("src_words"), F.col("pos")).alias("_sw"),
     )
-    x = x.join(lm.bigrams, ["u", "w"], "left").join(lm.contexts, "u", "left")
+    x = FL.with_contexts(x.join(lm.bigrams, ["u", "w"], "left"), lm, ["pair_id", "pos"])
     lp = F.ln(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.ln(F.coalesce(F.col("cu"), F.lit(0)) + lm.vocab)
-    masked = F.col("label") == IGNORE
     weight = F.when(masked, F.lit(0.0)).when(F.col("_sw").eqNullSafe(F.col("w")), F.lit(1.0)).otherwise(F.lit(2.0))
     return x.select("pair_id", "pos", "label", F.when(masked, F.lit(0.0)).otherwise(-lp).alias("loss"), weight.alias("weight"))
 

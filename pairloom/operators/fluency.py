@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.text import words
 
 BOS, EOS = "<s>", "</s>"
+SALTS = 16  # tasks among which the rows of one context are dealt
 
 
 def bigram_rows(df: DataFrame, ids, text: str = "text") -> DataFrame:
@@ -60,14 +61,23 @@ def train_bigram(corpus: DataFrame, text: str = "text", materialize: bool = True
     return BigramModel(bg, ctx, v)
 
 
+def with_contexts(rows: DataFrame, model: BigramModel, salt_cols) -> DataFrame:
+    """Left join of the context counts (``cu``) on ``u``.  Every text holds
+    the start mark and the commonest words, so both sides carry a salt: a
+    context is dealt among ``SALTS`` tasks."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    contexts = model.contexts.withColumn("_salt", salts)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(SALTS)))
+    return salted.join(contexts, ["u", "_salt"], "left").drop("_salt")
+
+
 def perplexity(texts: DataFrame, model: BigramModel, id_cols, text: str = "text") -> DataFrame:
     """Adds ``ppl`` to every row of ``texts`` (null for blank text).
     Bigrams are pre-aggregated per text before the two model joins."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     bg = bigram_rows(texts, ids, text).groupBy(*ids, "u", "w").agg(F.count(F.lit(1)).alias("k"))
     scored = (
-        bg.join(model.bigrams, ["u", "w"], "left")
-        .join(model.contexts, "u", "left")
+        with_contexts(bg.join(model.bigrams, ["u", "w"], "left"), model, ids)
         .select(
             *ids,
             "k",

@@ -159,8 +159,11 @@ def neutralize(df: DataFrame, lexicon: DataFrame, ids, text, out: str | None = N
     match between the row and the lexicon entry."""
     ids, ins, outs, keep = _plan_columns(df, ids, text, out)
     x = _explode_texts(df, ids, keep, ins, every_row=list(match_cols))
-    lex = lexicon.select(*match_cols, "word").distinct()
-    x = x.join(lex, [*match_cols, "word"], "left_anti").withColumnRenamed("word", "w")
+    lex = lexicon.select(*match_cols, F.col("word").alias("_key")).distinct()
+    # header rows have no word: a key of their own each (words hold no space),
+    # or a join by word would bring all of them to one task
+    x = x.withColumn("_key", F.coalesce("word", F.concat(F.lit(" "), F.xxhash64(*ids).cast("string"))))
+    x = x.join(lex, [*match_cols, "_key"], "left_anti").drop("_key").withColumnRenamed("word", "w")
     return _rebuild(x, ids, keep, outs)
 
 
