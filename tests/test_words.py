@@ -82,3 +82,16 @@ def test_edit_distance_with_shared_prefix_and_suffix(spark):
     for r in word_edit_distance(df, "s", "t", threshold=2).collect():
         d = lev(r.s, r.t)
         assert r.dist == (d if d <= 2 else -1)
+
+
+def test_pair_beyond_the_code_points():
+    """A pair that the code points cannot hold gets the same distance, on
+    integers."""
+    from pairloom.functions.text import _encode_words
+
+    x, y = "a b c d e f g".split(), "a c b d x f g h".split()
+    a, b, d = _encode_words(x, y, 1 << 20)
+    assert d is None and (len(a), len(b)) == (6, 7)
+    assert _encode_words(x, y, 1) == (None, None, 4)
+    assert _encode_words([], y, 1)[2] == 8 or _encode_words([], y, 1 << 20)[0] == ""
+    assert _encode_words(x, x, 1 << 20) == ("", "", None)
