@@ -19,10 +19,14 @@ per row, and never surface as a failed job."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+import logging
+import sys
+import types
+import uuid
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,27 +52,53 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols, k: int
 
 # ---- U1: dictionary translation ----------------------------------------------
 
-def word_ranks(documents: DataFrame, k: int) -> DataFrame:
-    """(lang, word, n, rank): the k most frequent words of each language,
-    ties broken by the word."""
+def dense_rank_rows(df: DataFrame, group_cols: Sequence[str], order_cols, rank_col: str = "rank") -> DataFrame:
+    """Rank 1.. of every row of its group by ``order_cols`` (a total order),
+    with no group in one task: the rows are cut into ranges of (group,
+    order) and written once; the counts per range (groups x partitions, so
+    bounded, and broadcast) give each range its offset."""
+    g = list(group_cols)
+    cut = df.repartitionByRange(*g, *order_cols).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = cut.groupBy(*g, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*g, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy(*g, "_part").orderBy(*order_cols))
+    ranked = cut.withColumn("_rn", local).join(F.broadcast(offsets), [*g, "_part"])
+    return ranked.withColumn(rank_col, F.col("_off") + F.col("_rn")).drop("_part", "_off", "_rn")
+
+
+def word_ranks(documents: DataFrame, k: int | None = None) -> DataFrame:
+    """(lang, word, n, rank): the words of each language by frequency, ties
+    broken by the word; all of them, or the first ``k``."""
     counts = (
-        documents.select("lang", F.explode(words("text")).alias("word"))
+        documents.where(F.col("lang").isNotNull())
+        .select("lang", F.explode(words("text")).alias("word"))
         .groupBy("lang", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return top_k_per_group(counts, ["lang"], [F.desc("n"), F.asc("word")], k, "word")
+    order = [F.desc("n"), F.asc("word")]
+    if k is None:
+        return dense_rank_rows(counts, ["lang"], order)
+    return top_k_per_group(counts, ["lang"], order, k, "word")
 
 
-def rank_dictionary(documents: DataFrame, pivot: str = "en", k: int = 2000) -> DataFrame:
-    """(lang, pivot_word, word): rank-k word of ``pivot`` <-> rank-k word
-    of every other language.  At most k rows per language: a proven bound,
-    so it is broadcast wherever it is joined."""
+def rank_dictionary(documents: DataFrame, pivot: str = "en", k: int | None = None) -> DataFrame:
+    """(lang, pivot_word, word): rank-r word of ``pivot`` <-> rank-r word
+    of every other language, for every rank that both have (up to ``k``
+    where given)."""
     r = word_ranks(documents, k)
     p = r.where(F.col("lang") == pivot).select("rank", F.col("word").alias("pivot_word"))
     o = r.where(F.col("lang") != pivot).select("lang", "rank", "word")
     return o.join(p, "rank").select("lang", "pivot_word", "word")
 
 
+def _word_key(ids) -> Column:
+    """The word of an exploded row; header rows have none and get a key of
+    their own each (words hold no space), or a join by word would bring all
+    of them to one task."""
+    return F.coalesce("word", F.concat(F.lit(" "), F.xxhash64(*ids).cast("string")))
+
+
 def _explode_texts(df: DataFrame, ids, keep, texts: Sequence[str], every_row: Sequence[str] = ()) -> DataFrame:
     """One row per word of every column in ``texts`` (side k, pos >= 1),
     plus one header row per side (pos 0, no word).  Only the header of
@@ -123,15 +153,16 @@ def translate(df: DataFrame, dictionary: DataFrame, ids, text, lang: str, to_piv
     """Word-by-word dictionary translation between the pivot language
     and the language in column ``lang`` (to the pivot when ``to_pivot``).
     ``text`` is one column (written to ``out``) or a {column: output}
-    mapping, translated together in one pass: one explode, one broadcast
-    join to the bounded dictionary, one regrouping.  Unknown words pass
-    through; the other columns of ``df`` are kept (J3)."""
+    mapping, translated together in one pass: one explode, one join by
+    language and word (Spark chooses how), one regrouping by ``ids``, which
+    must be unique.  Unknown words pass through; the other columns of ``df``
+    are kept (J3)."""
     ids, ins, outs, keep = _plan_columns(df, ids, text, out)
     src, dst = ("word", "pivot_word") if to_pivot else ("pivot_word", "word")
-    d = F.broadcast(dictionary.select(F.col("lang").alias("_dl"), F.col(src).alias("_from"), F.col(dst).alias("_to")))
-    x = _explode_texts(df, ids, keep, ins, every_row=[lang])
-    x = x.join(d, (x[lang] == d["_dl"]) & (x["word"] == d["_from"]), "left")
-    x = x.drop("_dl", "_from").withColumn("w", F.coalesce("_to", "word")).drop("_to", "word")
+    d = dictionary.select(F.col("lang").alias("_dl"), F.col(src).alias("_from"), F.col(dst).alias("_to"))
+    x = _explode_texts(df, ids, keep, ins, every_row=[lang]).withColumn("_key", _word_key(ids))
+    x = x.join(d, (x[lang] == d["_dl"]) & (x["_key"] == d["_from"]), "left")
+    x = x.drop("_dl", "_from", "_key").withColumn("w", F.coalesce("_to", "word")).drop("_to", "word")
     return _rebuild(x, ids, keep, outs)
 
 
@@ -156,38 +187,56 @@ def neutralize(df: DataFrame, lexicon: DataFrame, ids, text, out: str | None = N
                match_cols: Sequence[str] = ()) -> DataFrame:
     """U2 apply: drop lexicon words from ``text`` (one column, or a
     {column: output} mapping); ``match_cols`` (e.g. ``lang``) must also
-    match between the row and the lexicon entry."""
+    match between the row and the lexicon entry; ``ids`` must be unique."""
     ids, ins, outs, keep = _plan_columns(df, ids, text, out)
     x = _explode_texts(df, ids, keep, ins, every_row=list(match_cols))
     lex = lexicon.select(*match_cols, F.col("word").alias("_key")).distinct()
-    # header rows have no word: a key of their own each (words hold no space),
-    # or a join by word would bring all of them to one task
-    x = x.withColumn("_key", F.coalesce("word", F.concat(F.lit(" "), F.xxhash64(*ids).cast("string"))))
+    x = x.withColumn("_key", _word_key(ids))
     x = x.join(lex, [*match_cols, "_key"], "left_anti").drop("_key").withColumnRenamed("word", "w")
     return _rebuild(x, ids, keep, outs)
 
 
 # ---- U8: callers' models -------------------------------------------------
 
+#: models that a Python worker keeps between its tasks
+MODELS_KEPT = 4
+
+
+def worker_model(key: str, factory: Callable):
+    """The model of ``key``, built once per Python worker: workers outlive
+    tasks (``spark.python.worker.reuse``).  This package travels by value, so
+    its own globals are new in every task; the models are kept in a module of
+    the worker process."""
+    kept = vars(sys.modules.setdefault("_pairloom_models", types.ModuleType("_pairloom_models")))
+    models = kept.setdefault("models", {})
+    if key not in models:
+        while len(models) >= MODELS_KEPT:
+            models.pop(next(iter(models)))
+        models[key] = factory()
+    return models[key]
+
+
 def map_text(df: DataFrame, in_col: str, out_col: str, factory: Callable[[], Callable[[list], list]],
-             batch_size: int = 128, fail_model: bool = False, ids: Iterable[str] = ()) -> DataFrame:
+             batch_size: int = 128, fail_model: bool = False) -> DataFrame:
     """Run a caller's batch model ``factory()(texts) -> texts`` over
     ``in_col`` in Arrow batches (the model is built once per Python
-    worker).  A batch that raises is retried row by row; a row that still
-    raises becomes "Error".  A model that returns too few rows is padded
-    with "" (X6).  With ``fail_model=True`` every row becomes "Error" as
-    soon as any row failed (the reference's whole-model rule), through a
+    worker).  A batch that raises, or gives another number of outputs, is
+    retried row by row; a row that still fails becomes "Error", as every row
+    does where the model cannot be built; both are logged in the worker.
+    With ``fail_model=True`` every row becomes "Error" as
+    soon as any row failed (a whole-model rule), through a
     global flag computed in the same job."""
+    key = uuid.uuid4().hex
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
-    state: dict = {}
 
     def run(batches):
-        if "model" not in state:
-            try:
-                state["model"] = factory()
-            except Exception:  # model cannot be built: every row fails
-                state["model"] = None
-        model = state["model"]
+        log = logging.getLogger("pairloom")
+        try:
+            model = worker_model(key, factory)
+        except Exception:  # model cannot be built: every row fails
+            log.exception("model for %s cannot be built", out_col)
+            model = None
+        failed = 0
         for pdf in batches:
             texts = pdf[in_col].tolist()
             outs: list = []
@@ -211,9 +260,12 @@ def map_text(df: DataFrame, in_col: str, out_col: str, factory: Callable[[], Cal
                                 raise ValueError(f"model gave {len(r)} outputs for one text")
                             got.append(str(r[0]) if r[0] is not None else "")
                         except Exception:
+                            failed += 1
                             got.append(ERROR)
                 outs.extend(got)
             yield pdf.assign(**{out_col: pd.Series(outs, index=pdf.index, dtype=object)})
+        if failed:
+            log.warning("model for %s failed on %d rows of a task", out_col, failed)
 
     mapped = df.mapInPandas(run, schema)
     if not fail_model:

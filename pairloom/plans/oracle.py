@@ -93,6 +93,13 @@ ORACLE_SQL: dict[str, str] = {
     + f"""SELECT pair_id, label, CASE WHEN rnk < n - (n + 9) // 10 THEN 'train' ELSE 'val' END AS split
     FROM (SELECT *, row_number() OVER (ORDER BY {hkey('pair_id', 'label')}, pair_id, label) - 1 AS rnk,
                  count(*) OVER () AS n FROM lt)""",
+    "judge_split_grouped": w(PAIRS, LABELLED)
+    + f"""SELECT pair_id, label, CASE WHEN rnk < n - (n + 9) // 10 THEN 'train' ELSE 'val' END AS split
+    FROM lt JOIN (SELECT pair_id, row_number() OVER (ORDER BY {hkey('pair_id')}, pair_id) - 1 AS rnk,
+                         count(*) OVER () AS n FROM pairs) USING (pair_id)""",
+    "curated_split": w(PAIRS, STATS, DIST, KEPT, SPLIT.replace("FROM pairs", "FROM kept"))
+    + "SELECT pair_id, lang, split FROM split",
+    "dense_ids": w(PAIRS, SPLIT) + 'SELECT pair_id, rnk AS "ID" FROM split',
     "sample_n": w(PAIRS) + f"SELECT pair_id, lang FROM pairs ORDER BY {hkey('pair_id')}, pair_id LIMIT 100",
     "sample_frac": w(PAIRS, SPLIT)
     + f"""SELECT pair_id, lang FROM (SELECT *, row_number() OVER (ORDER BY {hkey('pair_id')}, pair_id) - 1 AS rnk,
@@ -216,8 +223,7 @@ TARGETS = ["de", "es", "fr"]
 
 DICT = f"""
 wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words('text')}) AS word FROM documents) GROUP BY ALL),
-wr AS (SELECT * FROM (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc)
-       WHERE rank <= 2000),
+wr AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc),
 dict AS (SELECT o.lang, p.word AS pivot_word, o.word FROM wr o JOIN wr p ON o.rank = p.rank
          WHERE p.lang = 'en' AND o.lang <> 'en')"""
 
@@ -423,6 +429,8 @@ ev AS (SELECT event_id, event_id // 1024 AS doc_id,
 
 ORACLE_SQL.update(
     {
+        "map_text": """SELECT conv_id, turn, CASE WHEN text IS NULL OR strlen(text) % 5 = 0 THEN 'Error'
+            ELSE strlen(text)::VARCHAR END AS prediction FROM conversations""",
         "gold_set": w(PAIRS, SPLIT, DICT, GOLD)
         + 'SELECT "ID"::INTEGER AS "ID", "English_Ref", "Target_Biased", "Target_Neutral_Gold" FROM g2',
         "encode_fixed": w(PAIRS, SPLIT, ENCODE)
