@@ -111,5 +111,5 @@ def curve_or_message(parsed: DataFrame) -> tuple[DataFrame | None, str]:
     """The caller-side guard: no usable training steps -> message."""
     x = explode_log(parsed)
     if x.isEmpty():
-        return None, "No training steps with 'loss' data found."
+        return None, "the log has no training step with a loss"
     return training_curve(x), "ok"

@@ -122,11 +122,13 @@ REPORT_FIELDS = ("Output", "Style", "Content", "Fluency", "Composite")
 
 def granular_report(cells: DataFrame, models: Sequence[str]) -> DataFrame:
     """The wide per-example report, five columns per model in
-    model order (columns of absent models are skipped).  Pivoted by id
-    only; the input and gold texts are taken once per example."""
-    wide = cells.groupBy("id").pivot("model", list(models)).agg(*[F.first(f).alias(f) for f in REPORT_FIELDS])
-    texts = cells.groupBy("id").agg(F.first("input").alias("input"), F.first("gold").alias("gold"))
-    wide = texts.join(wide, "id")
+    model order (null for a model without that example).  Pivoted by id
+    only, in one aggregation that also takes the input and gold texts."""
+    mine = {m: F.col("model") == m for m in models}
+    cell = {f"{m}_{f}": F.first(F.when(mine[m], F.struct(f)), ignorenulls=True)[f] for m in models for f in REPORT_FIELDS}
+    wide = cells.groupBy("id").agg(
+        F.first("input").alias("input"), F.first("gold").alias("gold"), *[v.alias(k) for k, v in cell.items()]
+    )
     cols = [F.col("id").alias("ID"), F.col("input").alias("Original_Input"), F.col("gold").alias("Gold_Reference")]
-    cols += [F.col(f"`{m}_{f}`") for m in models for f in REPORT_FIELDS if f"{m}_{f}" in wide.columns]
+    cols += [F.col(f"`{c}`") for c in cell]
     return wide.select(*cols)

@@ -21,12 +21,26 @@ def _key_cols(id_cols) -> list[str]:
     return [id_cols] if isinstance(id_cols, str) else list(id_cols)
 
 
-def global_rank(df: DataFrame, id_cols, seed: int = SEED, bits: int = 16, rank_col: str = "_rank") -> DataFrame:
+def _ordered(df: DataFrame, ids: list[str], seed: int, tie_cols) -> tuple[DataFrame, list[str]]:
+    """``df`` with its sort key ``_h``, and the columns of the whole order.
+    Where ids may repeat or be null, ``tie_cols`` (the content) settle ties
+    and spread the rows without an id."""
+    if not tie_cols:
+        return df.withColumn("_h", hash_key(*ids, seed=seed)), ["_h", *ids]
+    x = df.withColumn("_tie", F.xxhash64(*tie_cols))
+    no_id = F.coalesce(*[F.col(c).cast("string") for c in ids]).isNull()
+    h = F.when(no_id, hash_key("_tie", seed=seed)).otherwise(hash_key(*ids, seed=seed))
+    return x.withColumn("_h", h), ["_h", *ids, "_tie"]
+
+
+def global_rank(df: DataFrame, id_cols, seed: int = SEED, bits: int = 16, rank_col: str = "_rank",
+                tie_cols=()) -> DataFrame:
     """Adds ``rank_col`` (0-based position in (hash, id...) order) and
     ``_n`` (row count).  Exact and distributed: one shuffle by hash bucket
-    plus a broadcast of at most 2**bits bucket offsets."""
-    ids = _key_cols(id_cols)
-    h = df.withColumn("_h", hash_key(*ids, seed=seed)).withColumn("_hb", F.shiftright("_h", 32 - bits))
+    plus a broadcast of at most 2**bits bucket offsets.  Ids are unique and
+    not null, or ``tie_cols`` name the columns that tell the rows apart."""
+    x, order = _ordered(df, _key_cols(id_cols), seed, tie_cols)
+    h = x.withColumn("_hb", F.shiftright("_h", 32 - bits))
     counts = h.groupBy("_hb").agg(F.count(F.lit(1)).alias("_c"))
     ordered = Window.orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -34,9 +48,9 @@ def global_rank(df: DataFrame, id_cols, seed: int = SEED, bits: int = 16, rank_c
         F.coalesce(F.sum("_c").over(ordered), F.lit(0)).alias("_off"),
         F.sum("_c").over(Window.partitionBy()).alias("_n"),
     )
-    local = Window.partitionBy("_hb").orderBy("_h", *ids)
+    local = Window.partitionBy("_hb").orderBy(*order)
     ranked = h.withColumn("_rn", F.row_number().over(local)).join(F.broadcast(offsets), "_hb")
-    return ranked.withColumn(rank_col, F.col("_off") + F.col("_rn") - F.lit(1)).drop("_hb", "_rn", "_off")
+    return ranked.withColumn(rank_col, F.col("_off") + F.col("_rn") - F.lit(1)).drop("_hb", "_rn", "_off", "_tie")
 
 
 def split_sizes(n: Column) -> tuple[Column, Column, Column]:
@@ -47,9 +61,9 @@ def split_sizes(n: Column) -> tuple[Column, Column, Column]:
     return n - temp, temp - test, test
 
 
-def split_80_10_10(df: DataFrame, id_cols, seed: int = SEED) -> DataFrame:
+def split_80_10_10(df: DataFrame, id_cols, seed: int = SEED, tie_cols=()) -> DataFrame:
     """Disjoint, exhaustive train/val/test of exact sizes."""
-    r = global_rank(df, id_cols, seed)
+    r = global_rank(df, id_cols, seed, tie_cols=tie_cols)
     train, val, _ = split_sizes(F.col("_n"))
     split = (
         F.when(F.col("_rank") < train, F.lit("train"))
@@ -59,10 +73,18 @@ def split_80_10_10(df: DataFrame, id_cols, seed: int = SEED) -> DataFrame:
     return r.withColumn("split", split).drop("_h", "_n", "_rank")
 
 
-def split_90_10(df: DataFrame, id_cols, seed: int = SEED) -> DataFrame:
+def split_90_10(df: DataFrame, id_cols, seed: int = SEED, group_cols=(), tie_cols=()) -> DataFrame:
     """Row-level 90/10 split (not stratified, not grouped): the
-    validation side has ceil(n/10) rows."""
-    r = global_rank(df, id_cols, seed)
+    validation side has ceil(n/10) rows.  With ``group_cols`` the distinct
+    groups are split instead (ceil(groups/10) of them for validation) and
+    rows of one group stay together; null is a group."""
+    if group_cols:
+        g = _key_cols(group_cols)
+        side = split_90_10(df.select(*g).distinct(), g, seed, tie_cols=g)
+        side = side.select(*[F.col(c).alias(f"_g_{c}") for c in g], "split")
+        same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g]
+        return df.join(side, same).drop(*[f"_g_{c}" for c in g])
+    r = global_rank(df, id_cols, seed, tie_cols=tie_cols)
     val = F.floor((F.col("_n") + F.lit(9)) / F.lit(10))
     split = F.when(F.col("_rank") < F.col("_n") - val, F.lit("train")).otherwise(F.lit("val"))
     return r.withColumn("split", split).drop("_h", "_n", "_rank")

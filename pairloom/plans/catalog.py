@@ -60,6 +60,26 @@ def judge_split(spark, sf_dir):
     return S.split_90_10(lt, ["pair_id", "label"]).select("pair_id", "label", "split")
 
 
+@query
+def judge_split_grouped(spark, sf_dir):
+    """D2 with ``group_cols``: both sides of a pair in one split."""
+    lt = P.labelled_texts(Corpus(spark, sf_dir).pairs())
+    return S.split_90_10(lt, ["pair_id", "label"], group_cols=["pair_id"]).select("pair_id", "label", "split")
+
+
+@query
+def curated_split(spark, sf_dir):
+    """F1 then D1: the splits of the pairs that the structural filter keeps."""
+    kept = P.structural_filter(Corpus(spark, sf_dir).pairs())
+    return S.split_80_10_10(kept.select("pair_id", "lang"), "pair_id").select("pair_id", "lang", "split")
+
+
+@query
+def dense_ids(spark, sf_dir):
+    """X2 over all pairs."""
+    return S.dense_ids(Corpus(spark, sf_dir).pairs(), "pair_id").select("pair_id", "ID")
+
+
 @query
 def sample_n(spark, sf_dir):
     return S.sample_n(Corpus(spark, sf_dir).pairs(), 100, "pair_id").select("pair_id", "lang")
@@ -289,6 +309,26 @@ def worst_examples(spark, sf_dir):
     )
 
 
+def _byte_count_model():
+    """A deterministic model that fails on some texts."""
+
+    def model(texts):
+        sizes = [len(t.encode()) for t in texts]
+        if any(n % 5 == 0 for n in sizes):
+            raise ValueError("a text of this length")
+        return [str(n) for n in sizes]
+
+    return model
+
+
+@query
+def map_text(spark, sf_dir):
+    """U8: a caller's model over all conversation turns; the rows on which it
+    raises become "Error"."""
+    t = _conversations(Corpus(spark, sf_dir))
+    return R.map_text(t, "text", "prediction", _byte_count_model).select("conv_id", "turn", "prediction")
+
+
 # ---- gold set, encoding, losses, logs, raw scan ------------------------------
 
 from pyspark.sql import Window  # noqa: E402

@@ -3,7 +3,10 @@ outputs table, one scores table and the reports built from it."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import logging
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from pairloom.operators import rewrite as R
 from pairloom.operators import splits as S
 from pairloom.plans.corpus import Corpus, judge_training
 
+log = logging.getLogger("pairloom")
+
 # The four compared systems, in report order.
 MODELS = ["pivot", "zero_shot", "synthetic", "few_shot"]
 PIVOT = "en"
@@ -21,22 +26,30 @@ TARGETS = ["de", "es", "fr"]
 
 
 class Evaluation:
-    def __init__(self, corpus: Corpus, dict_size: int = 2000, few_shot_frac: float = 0.1,
+    def __init__(self, corpus: Corpus, dict_size: int | None = None, few_shot_frac: float = 0.1,
                  custom_models: dict | None = None, with_judge: bool = True,
-                 embeddings_table: str = "embeddings"):
+                 embeddings_table: str = "embeddings", shipped: Sequence[str] = MODELS,
+                 examples: DataFrame | None = None, pairs: DataFrame | None = None,
+                 judge: J.JudgeModel | None = None, fluency: FL.BigramModel | None = None,
+                 vectors: DataFrame | None = None):
         """``custom_models``: {name: fn(examples) -> DataFrame with id and
         prediction}, e.g. a caller's neural model run through
         ``rewrite.map_text``; they join the comparison after the shipped
-        ones."""
+        ones.  A caller's own tables and models take the place of the derived
+        ones: ``examples`` (id, lang, input, gold; unique ids), ``pairs``
+        (pair_id, lang, split, src_raw, tgt_raw), ``judge`` and ``fluency``
+        (as read by their ``read``), ``vectors`` (vec_id, embedding)."""
         self.c, self.k, self.frac = corpus, dict_size, few_shot_frac
         self.custom = dict(custom_models or {})
         # A2: without a style judge every text counts as biased (accuracy
         # 0.0); A4: an unreadable vector table gives similarity 0.0
         self.with_judge, self.embeddings_table = with_judge, embeddings_table
+        self.shipped, self._examples, self._pairs = list(shipped), examples, pairs
+        self.judge, self.fluency, self.vectors = judge, fluency, vectors
         self._memo: dict[str, DataFrame] = {}
 
     def models(self) -> list[str]:
-        return MODELS + [m for m in self.custom if m not in MODELS]
+        return self.shipped + [m for m in self.custom if m not in self.shipped]
 
     def _once(self, key: str, build) -> DataFrame:
         """Tables that several branches read are written once to the
@@ -46,7 +59,7 @@ class Evaluation:
         return self._memo[key]
 
     def split_pairs(self) -> DataFrame:
-        return self._once("split_pairs", self.c.split_pairs)
+        return self._pairs if self._pairs is not None else self._once("split_pairs", self.c.split_pairs)
 
     def train_pairs(self) -> DataFrame:
         return self.split_pairs().where(F.col("split") == "train").drop("split")
@@ -75,6 +88,8 @@ class Evaluation:
     def examples(self) -> DataFrame:
         """Held-out target-language pairs: input = biased source, gold =
         neutral target."""
+        if self._examples is not None:
+            return self._examples.select("id", "lang", "input", "gold")
         t = self.split_pairs().where((F.col("split") == "test") & (F.col("lang") != PIVOT))
         return t.select(F.col("pair_id").alias("id"), "lang", F.col("src_raw").alias("input"), F.col("tgt_raw").alias("gold"))
 
@@ -120,7 +135,13 @@ class Evaluation:
         for m in self.models():
             try:
                 b = self.branch(m)
-            except Exception:  # the branch could not even be built: every row fails
+            except PySparkException:
+                raise
+            except Exception:
+                if m not in self.custom:
+                    raise
+                # the caller's model could not even be built: every row fails
+                log.exception("model %s failed", m)
                 ex = self.examples()
                 b = ex.select("id", "lang", "input", "gold", F.lit(m).alias("model"), F.lit(R.ERROR).alias("prediction"))
             out = b if out is None else out.unionByName(b)
@@ -133,13 +154,14 @@ class Evaluation:
         """Style, content and fluency for every (example, model)."""
         long = self.outputs() if outputs is None else outputs
         ids = ["id", "model"]
-        lm = FL.train_bigram(self.c.documents())
+        lm = self.fluency or FL.train_bigram(self.c.documents())
         if self.with_judge:
-            s = J.score_judge(long, J.train_judge(judge_training(self.c)), ids, text="prediction")
+            judge = self.judge or J.train_judge(judge_training(self.c))
+            s = J.score_judge(long, judge, ids, text="prediction")
         else:
             s = long.withColumn("style", F.lit(1))
         try:
-            emb = self.c.t(self.embeddings_table, "vec_id", "embedding")
+            emb = self.vectors if self.vectors is not None else self.c.t(self.embeddings_table, "vec_id", "embedding")
         except AnalysisException:
             emb = None
         if emb is None:

@@ -37,7 +37,7 @@ def curate_corpus(spark: SparkSession, raw_path: str, out_dir: str, min_diff: in
     raw = raw.observe(seen, F.count(F.lit(1)).alias("rows"))
     kept = structural_filter(raw, min_diff, max_diff_ratio)
     cols = [c for c in raw.columns]  # the seven raw columns, as in the input
-    split = split_80_10_10(kept.select(*cols), "pair_id").withColumnRenamed("pair_id", "id")
+    split = split_80_10_10(kept.select(*cols), "pair_id", tie_cols=cols).withColumnRenamed("pair_id", "id")
     done = Observation("split")
     split = split.observe(
         done,
@@ -77,12 +77,17 @@ def synthesize_files(spark: SparkSession, data_dir: str, out_dir: str, dictionar
     """Entry B over files (S3, S5, U1, J3, K1): every (input, output) pair
     is read through the guarded scan (a missing file or missing columns is
     skipped with a message), translated into ``target_lang`` and written as
-    CSV with the originals kept.  The test split is left out by default."""
+    CSV with the originals kept, one row out for each row in (ids may repeat or
+    be missing: rows are told apart by their place in the file).  By default
+    the train and val folders of ``curate_corpus`` are read, or CSV files of
+    that name; the test split is left out."""
     from pyspark.sql import types as T
 
-    from pairloom.sources.text_tables import RAW_COLUMNS, guarded_read_pairs
+    from pairloom.sources.text_tables import RAW_COLUMNS, guarded_read_pairs, path_exists
 
-    files = files or {"train_complex.csv": "train_synthetic", "val_complex.csv": "val_synthetic"}
+    if files is None:
+        curated = path_exists(spark, f"{data_dir.rstrip('/')}/split=train")
+        files = {(f"split={s}" if curated else f"{s}_complex.csv"): f"{s}_synthetic" for s in ("train", "val")}
     schema = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
     report = {}
     for name, out in files.items():
@@ -92,11 +97,11 @@ def synthesize_files(spark: SparkSession, data_dir: str, out_dir: str, dictionar
             report[name] = msg
             continue
         x = df.select(
-            F.col("id").alias("pair_id"), F.lit(target_lang).alias("lang"),
+            F.monotonically_increasing_id().alias("_row"), F.lit(target_lang).alias("lang"),
             F.col("src_raw").alias("src_en_original"), F.col("tgt_raw").alias("tgt_en_original"),
         )
         texts = {"src_en_original": "src_raw", "tgt_en_original": "tgt_raw"}
-        x = R.translate(x, dictionary, ["pair_id", "lang"], texts, "lang", False)
+        x = R.translate(x, dictionary, "_row", texts, "lang", False)
         sinks.write_csv(x.select("src_raw", "tgt_raw", "src_en_original", "tgt_en_original"), f"{out_dir}/{out}")
         report[name] = "ok"
     return report

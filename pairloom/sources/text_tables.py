@@ -79,22 +79,24 @@ def guarded_read_pairs(spark: SparkSession, path: str, schema: T.StructType,
     give (None, reason) instead of an error; the header is read without a
     data pass."""
     if not path_exists(spark, path):
-        return None, f"Skipping {path} (file not found)"
+        return None, f"{path} not found, left out"
     try:
         header = spark.read.option("header", True).csv(path).columns
     except AnalysisException as e:  # unreadable
-        return None, f"Error loading {path}: {e}"
+        return None, f"{path} is unreadable, left out: {e}"
     missing = [c for c in required if c not in header]
     if missing:
-        return None, f"Skipping {path} (missing columns {', '.join(missing)})"
+        return None, f"{path} lacks {', '.join(missing)}, left out"
     return read_csv(spark, path, schema), "ok"
 
 
 def read_log_json(spark: SparkSession, path: str) -> tuple[DataFrame | None, str]:
     """One JSON log document per file; distinct messages for a
-    missing file, a file that is not JSON and an empty log history."""
+    missing file, a file that is not JSON and an empty log history.  The id
+    of a document is its file.  PERMISSIVE, so that a file that is not JSON
+    is told by its row and not by a failed job."""
     if not path_exists(spark, path):
-        return None, f"Error: file '{path}' not found"
+        return None, f"training log not found at {path}"
     schema = T.StructType(LOG_DOC.fields + [T.StructField("_corrupt", T.StringType())])
     df = (
         spark.read.schema(schema)
@@ -108,10 +110,10 @@ def read_log_json(spark: SparkSession, path: str) -> tuple[DataFrame | None, str
         F.max(F.coalesce(F.size("log_history"), F.lit(0))).alias("n"),
     ).first()
     if probe is None or probe["bad"] == 1:
-        return None, f"Error: could not decode JSON from '{path}'"
+        return None, f"training log at {path} is not valid JSON"
     if not probe["n"]:
-        return None, "No 'log_history' found in the file."
-    return df.drop("_corrupt").withColumn("doc_id", F.lit(0).cast("long")), "ok"
+        return None, f"training log at {path} has no entries"
+    return df.drop("_corrupt").withColumn("doc_id", F.input_file_name()), "ok"
 
 
 def read_splits(spark: SparkSession, base_dir: str, names: dict[str, str], schema: T.StructType) -> DataFrame:

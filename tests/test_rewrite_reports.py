@@ -1,6 +1,8 @@
 import math
+import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pairloom.operators import report as RP
@@ -178,3 +180,75 @@ def test_missing_judge_and_vectors_score_zero(spark):
     ev = Evaluation(Corpus(spark, SF01), with_judge=False, embeddings_table="absent_table")
     board = RP.leaderboard(ev.scores()).collect()
     assert board and all(r.style_acc == 0.0 and r.content_sim == 0.0 and r.composite == 0.0 for r in board)
+
+
+def test_model_is_built_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda xs: [x.upper() for x in xs]
+
+    df = spark.range(640).selectExpr("id", "concat('t', id) AS t").repartition(32)
+    got = {r.id: r.o for r in R.map_text(df, "t", "o", factory).collect()}
+    assert got == {i: f"T{i}" for i in range(640)}
+    workers = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(workers) == len(set(workers)) < 32
+
+
+def test_full_dictionary_equals_plain_ranks(spark):
+    import random
+
+    from pyspark.sql import Window
+
+    rnd = random.Random(3)
+    docs = spark.createDataFrame(
+        [("en" if i % 3 else "fr", " ".join(f"w{min(rnd.randint(0, 80), rnd.randint(0, 80))}" for _ in range(20))) for i in range(120)]
+        + [(None, "x y"), ("fr", None), ("en", "  ")],
+        "lang string, text string",
+    )
+    order = [F.desc("n"), F.asc("word")]
+    counts = docs.where("lang IS NOT NULL").selectExpr("lang", "explode(split(text, ' ')) AS word").where("word <> ''")
+    counts = counts.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    exp = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    cols = ["lang", "word", "n", "rank"]
+    assert sorted(R.word_ranks(docs).select(cols).collect()) == sorted(exp.select(cols).collect())
+    top = exp.where("rank <= 7").select(cols)
+    assert sorted(R.word_ranks(docs, 7).select(cols).collect()) == sorted(top.collect())
+
+
+def test_evaluation_over_a_callers_tables(spark):
+    from conftest import SF001
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import Evaluation
+
+    gold = spark.createDataFrame(
+        [(1, "fr", "le tres bon chat", "le chat"), (2, "fr", "un chien", "un chien")],
+        "id long, lang string, input string, gold string",
+    )
+
+    def broken(examples):
+        raise RuntimeError("no weights")
+
+    def copy(examples):
+        return examples.select("id", F.col("gold").alias("prediction"))
+
+    ev = Evaluation(Corpus(spark, SF001), shipped=[], custom_models={"broken": broken, "copy": copy}, examples=gold)
+    rows = {(r.model, r.id): r for r in ev.scores().collect()}
+    assert set(rows) == {(m, i) for m in ("broken", "copy") for i in (1, 2)}
+    assert rows["broken", 1].prediction == "Error" and rows["copy", 1].prediction == "le chat"
+    assert [r.model for r in RP.leaderboard(ev.scores()).collect()] == ["copy"]
+
+
+def test_spark_failures_of_a_model_surface(spark):
+    from conftest import SF001
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import Evaluation
+
+    gold = spark.createDataFrame([(1, "fr", "a", "b")], "id long, lang string, input string, gold string")
+    bad = {"typo": lambda examples: examples.select("no_such_column")}
+    with pytest.raises(AnalysisException):
+        Evaluation(Corpus(spark, SF001), shipped=[], custom_models=bad, examples=gold).outputs()

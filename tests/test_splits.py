@@ -70,3 +70,31 @@ def test_ties_in_the_sort_key(spark):
     assert (count["train"], count["val"], count["test"]) == sizes(30)
     assert sorted(a.collect()) == sorted(b.collect())
     assert sample_n(df, 10, "pid").count() == 10
+
+
+def test_repeated_and_null_ids_split_alike(spark):
+    """Rows with equal or no ids are told apart by their content, whatever
+    the partitions, and rows without an id are spread."""
+    from pairloom.operators.splits import global_rank, split_80_10_10
+
+    rows = [(None if i % 3 == 0 else i % 7, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    runs = [
+        sorted(map(tuple, split_80_10_10(df.repartition(n, "text"), "id", tie_cols=["id", "text"]).select("text", "split").collect()))
+        for n in (1, 5, 9)
+    ]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 300
+    ranked = global_rank(df, "id", tie_cols=["id", "text"]).where("id IS NULL")
+    assert ranked.select("_h").distinct().count() == 100
+
+
+def test_grouped_split_keeps_groups_whole(spark):
+    from pairloom.operators.splits import split_90_10
+
+    df = spark.createDataFrame([(i % 25 if i % 25 else None, i) for i in range(200)], "g long, id long")
+    got = split_90_10(df, "id", group_cols=["g"])
+    assert got.columns == ["g", "id", "split"] and got.count() == 200
+    sides = {}
+    for r in got.collect():
+        sides.setdefault(r.g, set()).add(r.split)
+    assert all(len(s) == 1 for s in sides.values()) and sum(s == {"val"} for s in sides.values()) == 3
