@@ -2,8 +2,8 @@
 
 Corpus curation, exact deterministic splits and samples, batch text
 rewriting and distributed text-quality scoring, all written as DataFrame
-plans.  Public functions take and return DataFrames; nothing is collected
-to the driver.
+plans.  Public functions take and return DataFrames; nothing that grows
+with the data is collected to the driver.
 """
 
 import sys
