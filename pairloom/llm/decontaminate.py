@@ -9,10 +9,12 @@ is a locality-sensitive hash.  Several walks with several tables each reach the
 target recall (measured in the tests), and each hit is verified by the exact
 edit distance of the item to the best stretch of the document.
 
-Windows start at every ``STRIDE``-th word of a document; items are embedded from
-each of their first ``STRIDE`` words on, so an aligned window always exists.
-How many steps are sampled follows the item's size.  Items shorter than
-``SHORT`` words must occur exactly.
+Windows start at every ``STRIDE``-th word of a document.  An item is embedded
+by windows spread over all of its words (`windows`), each from ``STRIDE``
+successive words on, so an aligned one always exists; edits that crowd one end
+of the item leave the windows of the other end alone.  Where a window stands in
+its item tells where the item begins.  How many steps are sampled follows the
+item's size.  Items shorter than ``SHORT`` words must occur exactly.
 
 The benchmark is worked through in blocks of a bounded number of words, each
 shipped to the tasks; documents are never shuffled."""
@@ -20,6 +22,7 @@ shipped to the tasks; documents are never shuffled."""
 from __future__ import annotations
 
 import re
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +50,20 @@ def words(text: str) -> list[str]:
     return _WORDS(text.lower())
 
 
+#: odd factor of each step of a walk; a table's key is the sum over its places
+FACTORS = mix(np.arange(1, 1 + max(s for s, _, _ in CLASSES), dtype=np.uint64)) | np.uint64(1)
+
+
 def walk(tokens: np.ndarray, starts: np.ndarray, seed: int, steps: int) -> np.ndarray:
-    """Emitted words (steps x starts) of one walk from each start; ``tokens``
-    must go on for ``steps`` words after the last start."""
-    coin = mix(tokens ^ mix(np.asarray([seed + 1], np.uint64))[0])
+    """Emitted words (steps x starts) of one walk from each start, each times
+    its step's factor; ``tokens`` must go on for ``steps`` words after the last
+    start."""
+    coin = mix(tokens ^ mix(np.asarray([seed + 1], np.uint64))[0]).view(np.int64)
     out = np.empty((steps, len(starts)), np.uint64)
     at = starts.astype(np.int64)
     for j in range(steps):
-        out[j] = tokens[at]
-        at = at + ((coin[at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
+        np.multiply(tokens[at], FACTORS[j], out=out[j])
+        at += (coin[at] >> j) & 1
     return out
 
 
@@ -65,11 +73,10 @@ def places(seed: int) -> list[list[np.ndarray]]:
     return [[np.sort(rng.choice(steps, m, replace=False)) for _ in range(tables)] for steps, m, tables in CLASSES]
 
 
-def keys(emitted: np.ndarray, where: np.ndarray, table: int) -> np.ndarray:
-    x = np.full(emitted.shape[1], table + 1, np.uint64)
-    for p in where:
-        x = (x ^ emitted[p]) * np.uint64(0x9E3779B97F4A7C15)
-        x = x ^ (x >> np.uint64(31))
+def keys(emitted: np.ndarray, where: np.ndarray) -> np.ndarray:
+    x = emitted[where[0]].copy()
+    for p in where[1:]:
+        x += emitted[p]
     return x
 
 
@@ -78,6 +85,19 @@ def class_of(n: int) -> int:
     return max((c for c, (steps, _, _) in enumerate(CLASSES) if steps <= 1.25 * n), default=0)
 
 
+def windows(n: int) -> list[tuple[int, int]]:
+    """(class, first word) of the windows of an item of n words: one after the
+    other over the whole item, the last one read nearly always within it, each
+    from STRIDE words on."""
+    c = class_of(n)
+    steps = CLASSES[c][0]
+    last = max(0, n - steps // 2 - isqrt(steps) - STRIDE + 1)
+    found = {(class_of(n - o), o) for o in range(STRIDE)}
+    for p in (*range(0, last, steps // 2), last):
+        found.update((c, p + o) for o in range(STRIDE))
+    return sorted(found)
+
+
 def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(distance, first, end) of the stretch of ``region`` at the smallest
     edit distance to ``item``."""
@@ -101,32 +121,37 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], share: float = MAX_SHARE):
         self.items, self.share = items, share
         self.places = [places(w) for w in range(WALKS)]
-        self.tables = []  # (walk, class, table), sorted keys, STRIDE * item + offset of each, filter
+        #: (walk, class, table), sorted keys, row of each, filter
+        self.tables: list[tuple] = []
         longest = max(s for s, _, _ in CLASSES)
-        rows: dict[tuple, list] = {}
-        self.embedded = [np.zeros((longest, STRIDE * len(items)), np.uint64) for _ in range(WALKS)]
         self.short: dict[int, dict[int, list[int]]] = {}
+        gap, parts, at = np.full(longest, PAD, np.uint64), [], 0
+        rows: list[list] = [[] for _ in CLASSES]  # per class: item, first word, place in all
         for k, (_, t) in enumerate(items):
             if len(t) < SHORT:
                 if len(t):
                     self.short.setdefault(len(t), {}).setdefault(int(run_hash(t, len(t))[0]), []).append(k)
                 continue
-            padded = np.concatenate([t, np.full(longest, PAD, np.uint64)])
+            for c, p in windows(len(t)):
+                rows[c].append((k, p, at + p))
+            parts += (t, gap)
+            at += len(t) + longest
+        tokens = np.concatenate(parts or [gap])
+        self.item, self.first, self.embedded = {}, {}, {}
+        for c, found in enumerate(rows):
+            if not found:
+                continue
+            self.item[c], self.first[c], starts = np.asarray(found, np.int64).T
             for w in range(WALKS):
-                emitted = walk(padded, np.arange(STRIDE), w, longest)
-                self.embedded[w][:, STRIDE * k : STRIDE * (k + 1)] = emitted
-                for o in range(STRIDE):
-                    c = class_of(len(t) - o)
-                    for i, where in enumerate(self.places[w][c]):
-                        rows.setdefault((w, c, i), []).append((int(keys(emitted[:, o : o + 1], where, i)[0]), STRIDE * k + o))
-        for at, found in sorted(rows.items()):
-            found.sort()
-            key = np.asarray([f[0] for f in found], np.uint64)
-            seen = np.zeros(FILTER, bool)
-            seen[(key & np.uint64(FILTER - 1)).astype(np.int64)] = True
-            self.tables.append((at, key, np.asarray([f[1] for f in found], np.int64), seen))
-        used = {c for (_, c, _), *_ in self.tables}
-        self.steps = max((CLASSES[c][0] for c in used), default=0)
+                emitted = walk(tokens, starts, w, CLASSES[c][0])
+                self.embedded[w, c] = emitted.astype(np.uint8)  # the last byte is enough to count agreement
+                for i, where in enumerate(self.places[w][c]):
+                    key = keys(emitted, where)
+                    order = np.argsort(key, kind="stable").astype(np.int32)
+                    seen = np.zeros(FILTER, bool)
+                    seen[(key & np.uint64(FILTER - 1)).astype(np.int64)] = True
+                    self.tables.append(((w, c, i), key[order], order, seen))
+        self.steps = max((CLASSES[c][0] for c in self.item), default=0)
 
     def search(self, docs: list[np.ndarray]) -> list[list[tuple]]:
         """Verified matches (item, distance, first, last word) per document."""
@@ -136,6 +161,7 @@ class Index:
         size = np.asarray([len(d) for d in docs], np.int64)
         first = np.cumsum(size + len(gap)) - size - len(gap)
         found: dict[tuple[int, int], set[int]] = {}
+        met = []  # document, item, first word of the item there
         if self.tables and len(docs):
             per = (size + STRIDE - 1) // STRIDE
             owner = np.repeat(np.arange(len(docs)), per)
@@ -146,7 +172,7 @@ class Index:
                 for (walk_, c, i), key, rows, seen in self.tables:
                     if walk_ != w:
                         continue
-                    mine = keys(emitted, self.places[w][c][i], i)
+                    mine = keys(emitted, self.places[w][c][i])
                     hit = np.flatnonzero(seen[(mine & np.uint64(FILTER - 1)).astype(np.int64)])
                     lo, hi = np.searchsorted(key, mine[hit]), np.searchsorted(key, mine[hit], "right")
                     many = hi - lo
@@ -154,9 +180,17 @@ class Index:
                     row = rows[np.repeat(lo, many) + np.arange(len(col)) - np.repeat(np.cumsum(many) - many, many)]
                     # Hamming distance of the embeddings, then the edit distance
                     steps = CLASSES[c][0]
-                    near = (emitted[:steps, col] == self.embedded[w][:steps, row]).sum(axis=0) >= AGREE * steps
-                    for h, r in zip(col[near].tolist(), row[near].tolist()):
-                        found.setdefault((int(owner[h]), r // STRIDE), set()).add(STRIDE * int(nth[h]) - r % STRIDE)
+                    near = (emitted[:steps, col].astype(np.uint8) == self.embedded[w, c][:, row]).sum(axis=0) >= AGREE * steps
+                    col, row = col[near], row[near]
+                    met.append(np.stack([owner[col], self.item[c][row], STRIDE * nth[col] - self.first[c][row]]))
+        if met:
+            d, k, b = np.concatenate(met, axis=1)
+            order = np.lexsort((b, k, d))
+            d, k, b = d[order], k[order], b[order]
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+            for x, y, z in zip(d[new].tolist(), k[new].tolist(), b[new].tolist()):
+                found.setdefault((x, y), set()).add(z)
         for (d, k), begins in sorted(found.items()):
             best = self.verify(docs[d], self.items[k][1], begins)
             if best:
@@ -175,16 +209,18 @@ class Index:
 
     def verify(self, doc: np.ndarray, item: np.ndarray, begins: set[int]):
         n, most = len(item), int(self.share * len(item))
-        best, reach = None, -1
-        for b in sorted(begins):
-            lo, hi = max(0, b - most), min(len(doc), b + n + most)
-            if hi <= reach:
-                continue  # looked at already
+        best, groups = None, []
+        for b in sorted(begins):  # begins that lie close are looked at together
+            if groups and b - groups[-1][0] <= most:
+                groups[-1][1] = b
+            else:
+                groups.append([b, b])
+        for b, last in groups:
+            lo, hi = max(0, b - most), min(len(doc), last + n + most)
             region = doc[lo:hi]
             there = set(region.tolist())
             if sum(w in there for w in item.tolist()) < n - most:
                 continue
-            reach = hi
             dist, s, e = best_stretch(item, region)
             if dist <= most and (best is None or dist < best[0]):
                 best = (dist, n, lo + s, lo + e - 1)

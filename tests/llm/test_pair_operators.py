@@ -156,6 +156,37 @@ def test_decontamination_recall_and_exactness(spark):
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_edits_at_one_place():
+    """Edits that crowd the head, the middle or the tail of an item, or are
+    spread, replaced, inserted or missing words: items of 15 to 300 words."""
+    from pairloom.llm.common import WordHashes
+    from pairloom.llm.decontaminate import Index, windows
+
+    rnd, known = random.Random(4), WordHashes()
+    vocab = [f"w{i}" for i in range(3000)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items, docs, truth = [], [], []
+    for n in (15, 24, 40, 80, 100, 200, 300):
+        for place in ("head", "middle", "tail", "spread"):
+            for kind in ("replaced", "inserted", "missing"):
+                for _ in range(5):
+                    w, k = some(n), n // 5
+                    at = set(rnd.sample(range(n), k)) if place == "spread" else set(
+                        range(k) if place == "head" else range(n - k, n) if place == "tail" else range((n - k) // 2, (n + k) // 2))
+                    e = [x for i, t in enumerate(w) for x in ([t] if i not in at else some(1) + [t] * (kind == "inserted") if kind != "missing" else [])]
+                    items.append((len(items), known.array(w)))
+                    docs.append(known.array(some(rnd.randrange(60)) + e + some(rnd.randrange(60))))
+                    truth.append((n, place, kind))
+    found = Index(items).search(docs)
+    hits = {}
+    for k, (key, rows) in enumerate(zip(truth, found)):
+        for group in key:
+            hits.setdefault(group, []).append(any(r[0] == k for r in rows))
+    assert all(sum(h) >= 0.95 * len(h) for h in hits.values()), {g: sum(h) / len(h) for g, h in hits.items()}
+    # the last window reaches the item's last words
+    assert all(max(p for _, p in windows(n)) >= n - 48 for n in range(15, 400))
+
+
 def test_best_stretch_is_the_edit_distance():
     from pairloom.llm.decontaminate import best_stretch
 
