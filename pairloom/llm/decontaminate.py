@@ -14,7 +14,8 @@ by windows spread over all of its words (`windows`), each from ``STRIDE``
 successive words on, so an aligned one always exists; edits that crowd one end
 of the item leave the windows of the other end alone.  Where a window stands in
 its item tells where the item begins.  How many steps are sampled follows the
-item's size.  Items shorter than ``SHORT`` words must occur exactly.
+item's size.  Items shorter than ``SHORT`` words are cut into one piece
+more than the edits allowed: one of the pieces occurs exactly.
 
 The benchmark is worked through in blocks of a bounded number of words, each
 shipped to the tasks; documents are never shuffled."""
@@ -115,6 +116,15 @@ def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(begin[end]), end
 
 
+def matches(key: np.ndarray, mine: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in ``mine``, place in the sorted ``key``) of equal values;
+    only the places ``hit`` of ``mine`` are looked up."""
+    lo, hi = np.searchsorted(key, mine[hit]), np.searchsorted(key, mine[hit], "right")
+    many = hi - lo
+    col = np.repeat(hit, many)
+    return col, np.repeat(lo, many) + np.arange(len(col)) - np.repeat(np.cumsum(many) - many, many)
+
+
 class Index:
     """Tables of one block of items."""
 
@@ -124,13 +134,15 @@ class Index:
         #: (walk, class, table), sorted keys, row of each, filter
         self.tables: list[tuple] = []
         longest = max(s for s, _, _ in CLASSES)
-        self.short: dict[int, dict[int, list[int]]] = {}
+        pieces: dict[int, list] = {}  # of short items: per length, hash, item, first word
         gap, parts, at = np.full(longest, PAD, np.uint64), [], 0
         rows: list[list] = [[] for _ in CLASSES]  # per class: item, first word, place in all
         for k, (_, t) in enumerate(items):
             if len(t) < SHORT:
-                if len(t):
-                    self.short.setdefault(len(t), {}).setdefault(int(run_hash(t, len(t))[0]), []).append(k)
+                cut = int(share * len(t)) + 1  # more than the edits: one piece stays whole
+                for a, e in ((len(t) * i // cut, len(t) * (i + 1) // cut) for i in range(cut)):
+                    if e > a:
+                        pieces.setdefault(e - a, []).append((int(run_hash(t[a:e], e - a)[0]), k, a))
                 continue
             for c, p in windows(len(t)):
                 rows[c].append((k, p, at + p))
@@ -152,6 +164,10 @@ class Index:
                     seen[(key & np.uint64(FILTER - 1)).astype(np.int64)] = True
                     self.tables.append(((w, c, i), key[order], order, seen))
         self.steps = max((CLASSES[c][0] for c in self.item), default=0)
+        self.short = {}
+        for n, found in pieces.items():
+            found.sort()
+            self.short[n] = (np.asarray([f[0] for f in found], np.uint64), np.asarray([f[1:] for f in found], np.int64).T)
 
     def search(self, docs: list[np.ndarray]) -> list[list[tuple]]:
         """Verified matches (item, distance, first, last word) per document."""
@@ -174,15 +190,19 @@ class Index:
                         continue
                     mine = keys(emitted, self.places[w][c][i])
                     hit = np.flatnonzero(seen[(mine & np.uint64(FILTER - 1)).astype(np.int64)])
-                    lo, hi = np.searchsorted(key, mine[hit]), np.searchsorted(key, mine[hit], "right")
-                    many = hi - lo
-                    col = np.repeat(hit, many)
-                    row = rows[np.repeat(lo, many) + np.arange(len(col)) - np.repeat(np.cumsum(many) - many, many)]
+                    col, row = matches(key, mine, hit)
+                    row = rows[row]
                     # Hamming distance of the embeddings, then the edit distance
                     steps = CLASSES[c][0]
                     near = (emitted[:steps, col].astype(np.uint8) == self.embedded[w, c][:, row]).sum(axis=0) >= AGREE * steps
                     col, row = col[near], row[near]
                     met.append(np.stack([owner[col], self.item[c][row], STRIDE * nth[col] - self.first[c][row]]))
+        for n, (key, (item, a)) in self.short.items():
+            if len(tokens) >= n:
+                h = run_hash(tokens, n)  # no piece holds a gap
+                at, row = matches(key, h, np.flatnonzero(np.isin(h, key)))
+                d = np.searchsorted(first, at, "right") - 1
+                met.append(np.stack([d, item[row], at - first[d] - a[row]]))
         if met:
             d, k, b = np.concatenate(met, axis=1)
             order = np.lexsort((b, k, d))
@@ -195,16 +215,6 @@ class Index:
             best = self.verify(docs[d], self.items[k][1], begins)
             if best:
                 out[d].append((self.items[k][0], *best))
-        for n, table in self.short.items():
-            for d, t in enumerate(docs):
-                if len(t) >= n:
-                    done = set()
-                    h = run_hash(t, n)
-                    for p in np.flatnonzero(np.isin(h, np.asarray(list(table), np.uint64))).tolist():
-                        for k in table[int(h[p])]:
-                            if k not in done:
-                                done.add(k)
-                                out[d].append((self.items[k][0], 0, n, p, p + n - 1))
         return out
 
     def verify(self, doc: np.ndarray, item: np.ndarray, begins: set[int]):
@@ -224,6 +234,8 @@ class Index:
             dist, s, e = best_stretch(item, region)
             if dist <= most and (best is None or dist < best[0]):
                 best = (dist, n, lo + s, lo + e - 1)
+                if not dist:
+                    break
         return best
 
 

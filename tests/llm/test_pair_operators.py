@@ -187,6 +187,26 @@ def test_decontamination_edits_at_one_place():
     assert all(max(p for _, p in windows(n)) >= n - 48 for n in range(15, 400))
 
 
+def test_decontamination_short_items():
+    """Five to seven words allow one edit, which is always found; shorter
+    items occur exactly."""
+    from pairloom.llm.common import WordHashes
+    from pairloom.llm.decontaminate import Index
+
+    known = WordHashes()
+    for n in range(1, 8):
+        w = [f"w{i}" for i in range(n)]
+        forms = [w] + [w[:i] + e for i in range(n) for e in (["x"] + w[i + 1 :], w[i + 1 :], ["x"] + w[i:])]
+        docs = [known.array(a + f + b) for f in forms for a, b in (([], []), (["a", "b"], ["c", "d"]))]
+        docs += [known.array(["a", "b"]), known.array([])]
+        found = Index([(7, known.array(w)), (8, known.array([]))]).search(docs)
+        at = lambda k: k // 2 if k < 2 * len(forms) else None
+        for k, rows in enumerate(found):
+            f = forms[at(k)] if at(k) is not None else None
+            whole = f is not None and any(f[i : i + n] == w for i in range(len(f)))
+            assert [r[:3] for r in rows] == ([(7, 0, n)] if whole else [(7, 1, n)] if f is not None and n > 4 else []), (n, f, rows)
+
+
 def test_best_stretch_is_the_edit_distance():
     from pairloom.llm.decontaminate import best_stretch
 
