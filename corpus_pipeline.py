@@ -23,11 +23,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the
-    smallest id (8); documents without words have no copies."""
-    groups = jaccard_join(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies stays, that with the smallest id
+    (8); documents without words have no copies.
+
+    Rows are known by a 64-bit hash of id and text, so ids may repeat or be
+    null: a row goes only if its own text is a copy, null ids come after all
+    others, and of rows with equal id and text one stays."""
+    row = F.xxhash64("doc_id", "text")
+    groups = jaccard_join(docs.select(row.alias("doc_id"), "text"), size=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    rows = groups.where("n_shingles > 0").groupBy(F.col("doc_id").alias("row_"), "component_id").agg(F.count(F.lit(1)).alias("times"))
+    rows = stored(rows.join(docs.select(row.alias("row_"), "doc_id").distinct(), "row_"), "near-rows")
+    stays = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_")).alias("first")).select("first.row_")
+    gone = rows.join(stays, "row_", "left_anti").select("row_")
+    again = rows.where("times > 1").join(stays, "row_", "left_semi").select("row_")
+    keyed = docs.withColumn("row_", row)
+    kept = keyed.join(gone.union(again), "row_", "left_anti")
+    if not again.isEmpty():
+        kept = kept.unionByName(keyed.join(again, "row_", "left_semi").dropDuplicates(["row_"]))
+    return kept.select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,6 +228,23 @@ def test_best_stretch_is_the_edit_distance():
         assert d == best == dist(a, b[s:e])
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    from corpus_pipeline import near_copies_stage
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (None, a), (None, a),  # copies of 1, two without an id
+            (3, b), (3, b), (3, b),                          # one row three times
+            (2, c), (None, c + " more"),                     # 2 again, over a text of its own
+            (None, "d e f g h i j"), (None, "d e f g h i j"),  # copies, no id at all
+            (4, ""), (4, ""), (None, None), (5, None)]       # without words: no copies
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n int").repartition(3)
+    got = near_copies_stage(spark, df, "")
+    assert got.columns == df.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    exp = [(1, a), (3, b), (2, c), (None, "d e f g h i j"), (4, ""), (4, ""), (None, None), (5, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted(exp, key=key)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from conftest import SF001
