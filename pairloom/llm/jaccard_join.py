@@ -221,10 +221,14 @@ def _across(tiles: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     components: all pairs that share a part, and were not compared yet, are
     among them."""
     comp = tiles.join(labels.select(F.col("v").alias("cls"), "comp"), "cls", "left").select("p", "cls", F.coalesce("comp", "cls").alias("comp"))
-    open_ = (comp.groupBy("p").agg(F.count(F.lit(1)).alias("cnt"), F.sum(F.xxhash64("cls").bitwiseAND(F.lit((1 << 40) - 1))).alias("who"),
+    # who is in a company: two independent 64-bit hashes, one by xor, one by
+    # exact sums of its halves, which end beyond 2^31 classes
+    other = F.xxhash64("cls", F.lit(1))
+    open_ = (comp.groupBy("p").agg(F.count(F.lit(1)).alias("cnt"), F.bit_xor(F.xxhash64("cls")).alias("who"),
+                                   F.sum(F.shiftright(other, 32)).alias("high"), F.sum(other.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
                                    F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where((F.col("cnt") > 1) & (F.col("lo") < F.col("hi")))
-             .groupBy("cnt", "who").agg(F.min("p").alias("p")))  # the same company twice: once
+             .groupBy("cnt", "who", "high", "low").agg(F.min("p").alias("p")))  # the same company twice: once
     open_ = stored(open_.select("p", F.ceil(F.col("cnt") / BLOCK).cast("int").alias("blocks")), "open-tiles")
     rows = (comp.join(open_, "p").join(classes.select("cls", "n", "bits"), "cls")
             .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

@@ -127,6 +127,16 @@ def test_difference_cover():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
 
 
+def test_open_groups_are_told_apart(spark):
+    """Two groups of two whose 40-bit hashes have equal sums are both compared."""
+    from pairloom.llm.jaccard_join import _across
+
+    tiles = spark.createDataFrame([(1, 1100), (1, 2905), (2, 3856), (2, 3939), (3, 1100), (3, 2905)], "p long, cls long")
+    classes = spark.createDataFrame([(c, 600, bytes([255] * 64)) for c in (1100, 2905, 3856, 3939)], "cls long, n long, bits binary")
+    labels = spark.createDataFrame([], "v long, comp long")
+    assert {tuple(r) for r in _across(tiles, classes, labels, 90).collect()} == {(1100, 2905), (3856, 3939)}
+
+
 def test_decontamination_recall_and_exactness(spark):
     from pairloom.llm.decontaminate import MAX_SHARE, contaminated, without_contaminated
 
