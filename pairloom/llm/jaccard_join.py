@@ -139,8 +139,9 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, elements) of the documents in ``wanted`` (rep): ids are looked up
-    in a fixed-size bitmap, so a few others may come along."""
+    """(cls, elements), one row per class, of the documents in ``wanted``
+    (rep): ids are looked up in a fixed-size bitmap, so others may come along;
+    copies among them are reduced inside the tasks, then by class."""
     pos = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
     rows = (wanted.select(pos("rep").alias("pos"))
             .groupBy(F.bitmap_bucket_number("pos").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bits"))
@@ -152,19 +153,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     picked = docs.select(pos("doc_id").alias("doc_id"), "text")
 
     def run(batches):
-        known, held_bits = WordHashes(), np.frombuffer(held, np.uint8)
+        known, held_bits, seen = WordHashes(), np.frombuffer(held, np.uint8), set()
         for batch in batches:
+            if len(seen) > CACHE_ENTRIES:
+                seen.clear()
             p = np.asarray(batch.column(0).fill_null(1)) - 1
             take = np.flatnonzero(held_bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
             for at in range(0, len(take), 256):
                 texts = batch.column(1).take(pa.array(take[at : at + 256])).to_pylist()
                 sets = [shingle_set(known.array(lower_words_of(t)), size) for t in texts]
-                sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "elements"])
+                found = {int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)): s.tobytes() for s in sets if len(s)}
+                new = [c for c in found if c not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[c] for c in new], pa.binary())],
+                                                 names=["cls", "elements"])
 
-    return picked.mapInArrow(run, "cls long, elements binary")
+    return picked.mapInArrow(run, "cls long, elements binary").dropDuplicates(["cls"])
 
 
 def _linked(batches, percent: int):

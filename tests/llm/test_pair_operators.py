@@ -137,6 +137,19 @@ def test_open_groups_are_told_apart(spark):
     assert {tuple(r) for r in _across(tiles, classes, labels, 90).collect()} == {(1100, 2905), (3856, 3939)}
 
 
+def test_sets_of_one_class_are_one_row(spark, monkeypatch):
+    """With a full bitmap every copy of a class is picked; one row stays."""
+    from pyspark.sql import functions as F
+
+    from pairloom.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "FILTER_BITS", 1 << 15)
+    docs = spark.createDataFrame([(i, "a b c d e" if i % 3 else f"x{i} y z") for i in range(600)], "doc_id long, text string").repartition(5)
+    wanted = spark.range(300_000).select(F.col("id").alias("rep"))
+    got = [r["cls"] for r in J._sets(docs, wanted, 3).collect()]
+    assert len(got) == len(set(got)) == 201
+
+
 def test_decontamination_recall_and_exactness(spark):
     from pairloom.llm.decontaminate import MAX_SHARE, contaminated, without_contaminated
 
