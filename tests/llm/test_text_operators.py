@@ -93,6 +93,17 @@ def test_quality_rules_counts_and_filter(spark, docs):
     assert quality_rules(docs.limit(0)).count() == 0
 
 
+def test_one_bad_vote_and_several_good_ones():
+    """The effect of the prior's weight, as the README states it."""
+    from pairloom.llm.weak_labels import fit_patterns
+
+    for share, expected in ((0.01, 0.08), (0.1, 0.23), (0.2, 0.55)):
+        n = round(100_000 * share)
+        m = fit_patterns([((1,) * 6, 100_000 - n), ((0,) + (1,) * 5, n)], list("abcdef"))
+        const, up, down = m.log_odds()
+        assert abs(1 / (1 + np.exp(-(const + down[0] + sum(up[1:])))) - expected) < 0.01
+
+
 def test_label_model_discounts_noise_and_trusts_symptoms():
     from pairloom.llm.weak_labels import fit_patterns
 
