@@ -12,6 +12,7 @@ from pairloom.llm.substring_dedup import op10_substring_dedup
 from pairloom.llm.token_counts import op1_token_counts
 from pairloom.llm.toxicity import op6_toxicity
 from pairloom.llm.url_filter import op9_url_filter
+from pairloom.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {}
