@@ -52,13 +52,13 @@ def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the shared checkpoint folder and
     read it back: cuts lineage, survives lost executors, keeps statistics."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairloom-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 

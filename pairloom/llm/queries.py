@@ -5,6 +5,7 @@ from __future__ import annotations
 from pairloom.llm.bpe import op3_bpe_round_trip
 from pairloom.llm.decontaminate import op4_decontamination
 from pairloom.llm.jaccard_join import op8_jaccard_join
+from pairloom.llm.merkle import op12_document_fingerprints
 from pairloom.llm.pii import op7_pii
 from pairloom.llm.quality_classifier import op2_quality_classifier
 from pairloom.llm.quality_rules import op5_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_document_fingerprints": op12_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
