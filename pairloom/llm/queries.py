@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairloom.llm.bpe import op3_bpe_round_trip
+from pairloom.llm.conversations import op13_conversation_repair
 from pairloom.llm.decontaminate import op4_decontamination
 from pairloom.llm.jaccard_join import op8_jaccard_join
 from pairloom.llm.merkle import op12_document_fingerprints
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {}
