@@ -25,6 +25,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -153,8 +154,11 @@ def _follow(text: str, after: str) -> str:
     return text[:len(text) - half] + after[:half]
 
 
-_PAIR = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+#: the edited text's tree begins as the text's own does: its fingerprint is
+#: kept as root, characters shared after the root, and the rest
+_PAIR = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_root string, shared int, edited_rest string, "
          "near_edited double, near_next double, n_leaves long, edit_from long")
+ROOT = 32
 _OUT = f"{_PAIR}, kind int, part int, text string"
 DONE, FIRST, LAST = 0, 1, 2
 
@@ -165,8 +169,22 @@ def _compared(doc_id, text: str, tree: Tree, after: str, next_print: str) -> tup
     own, changed = tree.fingerprint(), Tree(edited)
     other = changed.fingerprint()
     span = differing(tree, changed)
-    return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, likeness(own, other), likeness(own, next_print),
-            sum(map(_leaves, tree._tags)), span and span[0][0])
+    shared = _shared(own[ROOT:], other[ROOT:])
+    return (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed.root, shared, other[ROOT + shared:],
+            likeness(own, other), likeness(own, next_print), sum(map(_leaves, tree._tags)), span and span[0][0])
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning of two ASCII strings."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a.encode(), np.uint8, n) != np.frombuffer(b.encode(), np.uint8, n))
+    return int(differ[0]) if differ.size else n
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    edited = F.concat("edited_root", F.expr(f"substring(fingerprint, {ROOT + 1}, shared)"), "edited_rest")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited.alias("edited_fingerprint"), "near_edited", "near_next",
+                       "n_leaves", "edit_from")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -216,14 +234,14 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     tree = Tree(text)
                     if last is None:
-                        out.append((*[None] * 9, FIRST, part, text))
+                        out.append((*[None] * 11, FIRST, part, text))
                     else:
                         out.append((*_compared(*last, text, tree.fingerprint()), DONE, part, None))
                     last = (doc_id, text, tree)
                 yield _batch(out, schema)
                 out = []
         if last is not None:
-            yield _batch([(last[0], *[None] * 8, LAST, part, last[1])], schema)
+            yield _batch([(last[0], *[None] * 10, LAST, part, last[1])], schema)
 
     def pairs(batches):
         for batch in batches:
@@ -238,11 +256,11 @@ def compared_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # one number per range of the shuffle
     parts = sorted(r[0] for r in found.where(F.col("kind") == LAST).select("part").collect())
     if not parts:
-        return done
+        return _whole(done)
     follows = df.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, after int")
     first = found.where(F.col("kind") == FIRST).select(F.col("part").alias("after"), F.col("text").alias("next_text"))
     last = found.where(F.col("kind") == LAST).select("part", "doc_id", "text").join(follows, "part").join(first, "after")
-    return done.unionByName(last.select("doc_id", "text", "next_text").mapInArrow(pairs, _PAIR))
+    return _whole(done.unionByName(last.select("doc_id", "text", "next_text").mapInArrow(pairs, _PAIR)))
 
 
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
