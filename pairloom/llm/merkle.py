@@ -137,7 +137,8 @@ def differing(a: Tree, b: Tree) -> tuple[tuple[int, int], tuple[int, int]] | Non
             left, right = [x for p in left for x in (*p, b"\n")], [x for p in right for x in (*p, b"\n")]
     # every line counts with a line end; the last has none
     (m, n) = (sum(_chars(s, 0) for s in t.sections) - 1 for t in (a, b))
-    return (min(lead, m), min(m, m + 1 - tail)), (min(lead, n), min(n, n + 1 - tail))
+    lead = min(lead, m, n)
+    return (lead, min(m, m + 1 - tail)), (lead, min(n, n + 1 - tail))
 
 
 def _chars(part, level: int) -> int:

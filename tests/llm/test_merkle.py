@@ -26,7 +26,7 @@ def leaves(text):
 texts = st.text(alphabet="ab .\né漢。", max_size=300)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(texts, texts)
 def test_likeness_is_that_of_the_leaves(a, b):
     """Going down only where branches differ gives what comparing all leaves
@@ -42,7 +42,7 @@ def test_likeness_is_that_of_the_leaves(a, b):
         assert got == min(plain, 1 - 1 / (len(la) + len(lb) + 1))
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(texts, texts, texts, texts)
 def test_edits_lie_within_the_located_spans(head, tail, one, other):
     a, b = head + one + tail, head + other + tail
