@@ -163,8 +163,10 @@ def hash_key(*cols, seed: int = 42) -> Column:
 
 
 def argmax_class(scores: dict[int, Column]) -> Column:
-    """Class with the highest score; ties go to the lowest class."""
+    """Class with the highest score; ties go to the lowest class, and a
+    null score (a class without rows) loses to every other."""
     best = None
+    scores = {cls: F.coalesce(s, F.lit(float("-inf"))) for cls, s in scores.items()}
     for cls in sorted(scores, reverse=True):
         cand = F.lit(cls)
         if best is None:

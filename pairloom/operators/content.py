@@ -8,15 +8,16 @@ cosine with any reference word, R the mirror, F1 = 2PR / (P + R), and 0
 when a side has no vectors or P + R = 0.
 
 Words with one vector share one maximum, so each side is reduced to
-(vector, multiplicity) before the vectors are joined; the cosine matrix
-of a pair is then computed inside the task with numpy, block by block, so
-no (word, word) rows are ever emitted.
+(vector id, multiplicity).  Rows are dealt to groups by a hash of their ids;
+a group is joined (as a cogroup) with the vectors that its texts name, each
+vector once per group and not once per text, and the cosine matrix of a pair
+is computed inside the task in tiles, so no (word, word) rows are ever emitted
+and a pair of any size needs one tile besides its own vectors.  The number of
+groups follows the number of (text, vector) rows.
 
 Only non-null vectors without null elements and other than zero count;
 of several vectors with one id the smallest (element by element) does.  A
-word whose vector does not count is left out of its text.  There is one
-path: the vectors are joined in by id, and Catalyst and AQE choose how.
-A frequent word stands in every text, so both sides carry a salt."""
+word whose vector does not count is left out of its text."""
 
 from __future__ import annotations
 
@@ -24,12 +25,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom.functions.text import hash_key, words
 
-BLOCK = 2048
-SALTS = 16  # tasks among which the texts that hold one word are dealt
+TILE = 1024
+#: (text, vector) rows that a group holds on average
+GROUP_ROWS = 1 << 15
 
 
 def usable_vectors(embeddings: DataFrame) -> DataFrame:
@@ -39,54 +40,73 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
     return e.groupBy("vec_id").agg(F.min("embedding").alias("e"))
 
 
-def _unit(flat, n: int) -> np.ndarray:
-    m = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+def _units(vectors) -> np.ndarray:
+    m = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _greedy(cv, ck, rv, rk) -> tuple[float, float, float]:
-    """Scores of one pair from both sides' vectors (one after the other) and
-    multiplicities."""
-    if len(ck) == 0 or len(rk) == 0:
+def _best(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best cosine of every row of ``a`` in ``b`` and the mirror, tile by tile."""
+    best_a, best_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            sim = a[i : i + TILE] @ b[j : j + TILE].T
+            np.maximum(best_a[i : i + TILE], sim.max(axis=1), out=best_a[i : i + TILE])
+            np.maximum(best_b[j : j + TILE], sim.max(axis=0), out=best_b[j : j + TILE])
+    return best_a, best_b
+
+
+def _greedy(a, wa, b, wb) -> tuple[float, float, float]:
+    """Scores of one pair from both sides' unit vectors and multiplicities."""
+    if len(a) == 0 or len(b) == 0:
         return 0.0, 0.0, 0.0
-    a, b = _unit(cv, len(ck)), _unit(rv, len(rk))
-    wa, wb = np.asarray(ck, dtype=np.float64), np.asarray(rk, dtype=np.float64)
-    best_a = np.empty(len(a))
-    best_b = np.full(len(b), -np.inf)
-    for i in range(0, len(a), BLOCK):
-        sim = a[i : i + BLOCK] @ b.T
-        best_a[i : i + BLOCK] = sim.max(axis=1)
-        np.maximum(best_b, sim.max(axis=0), out=best_b)
+    best_a, best_b = _best(a, b)
     p = float((wa * best_a).sum() / wa.sum())
     r = float((wb * best_b).sum() / wb.sum())
-    f1 = 2 * p * r / (p + r) if p + r != 0 else 0.0
-    return p, r, f1
-
-
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("p", "r", "f1")]))
-def _greedy_udf(cv: pd.Series, ck: pd.Series, rv: pd.Series, rk: pd.Series) -> pd.DataFrame:
-    out = [_greedy(a, b, c, d) for a, b, c, d in zip(cv, ck, rv, rk)]
-    return pd.DataFrame(out, columns=["p", "r", "f1"])
-
-
-def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str, salts: int = SALTS) -> DataFrame:
+    return p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0
+
+
+def _group_scores(rows: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+    """(_row, p, r, f1) of one group: rows (_row, _side, vec_id, _k) and the
+    vectors (_vec, e) that they name."""
+    vectors = vectors.sort_values("_vec")
+    known = vectors["_vec"].to_numpy()
+    at = np.searchsorted(known, rows["vec_id"].to_numpy())
+    there = at < len(known)
+    there[there] = known[at[there]] == rows["vec_id"].to_numpy()[there]
+    rows = rows.assign(_at=at)[there].sort_values(["_row", "_side", "vec_id"])
+    if rows.empty:
+        return pd.DataFrame({"_row": pd.Series(dtype=object), "p": [], "r": [], "f1": []})
+    units = _units(vectors["e"])
+    out = []
+    for row, one in rows.groupby("_row", sort=False):
+        side, at, k = (one[c].to_numpy() for c in ("_side", "_at", "_k"))
+        c, r = side == 0, side == 1
+        out.append((row, *_greedy(units[at[c]], k[c].astype(float), units[at[r]], k[r].astype(float))))
+    return pd.DataFrame(out, columns=["_row", "p", "r", "f1"])
+
+
+def content_f1(df: DataFrame, embeddings: DataFrame, id_cols, cand: str, ref: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds p, r, f1 (candidate ``cand`` against reference ``ref``) to
     every row of ``df``, in place of columns of these names; ``id_cols``
     identify a row.  All vectors have one length."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    # the ids as one text, nulls told from any value: the cogroup carries it
+    row = F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(ids)]))
     size = embeddings.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    sides = df.select(*ids, F.expr(f"stack(2, 0, `{cand}`, 1, `{ref}`) AS (_side, _txt)"))
+    sides = df.select(row.alias("_row"), F.expr(f"stack(2, 0, `{cand}`, 1, `{ref}`) AS (_side, _txt)"))
     toks = (
-        sides.select(*ids, "_side", F.explode(words("_txt")).alias("_word"))
-        .select(*ids, "_side", F.pmod(hash_key("_word"), size).alias("vec_id"))
-        .groupBy(*ids, "_side", "vec_id")
+        sides.select("_row", "_side", F.explode(words("_txt")).alias("_word"))
+        .select("_row", "_side", F.pmod(hash_key("_word"), size).alias("vec_id"))
+        .groupBy("_row", "_side", "vec_id")
         .agg(F.count(F.lit(1)).alias("_k"))
-        .withColumn("_salt", F.pmod(F.xxhash64(*ids), F.lit(salts)))
     )
-    vecs = usable_vectors(embeddings).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    side = lambda k: F.collect_list(F.when(F.col("_side") == k, F.struct(F.col("_k").alias("k"), "e")))
-    per = toks.join(vecs, ["vec_id", "_salt"]).groupBy(*ids).agg(side(0).alias("_c"), side(1).alias("_r"))
-    flat = [x for c in ("_c", "_r") for x in (F.flatten(F.transform(c, lambda v: v["e"])), F.transform(c, lambda v: v["k"]))]
-    scored = per.select(*ids, _greedy_udf(*flat).alias("_s")).select(*ids, "_s.*")
-    out = df.drop("p", "r", "f1").join(scored, ids, "left")
+    # about 5 characters and a blank a word, known without a pass over the words
+    length = F.coalesce(F.length(cand), F.lit(0)) + F.coalesce(F.length(ref), F.lit(0))
+    groups = df.agg(F.greatest(F.lit(1), F.ceil(F.sum(length.cast("long")) / (6 * group_rows))).alias("g")).select("g").scalar()
+    toks = toks.withColumn("_g", F.pmod(F.xxhash64("_row"), F.coalesce(groups, F.lit(1))))
+    wanted = toks.select(F.col("_g").alias("_h"), F.col("vec_id").alias("_vec")).distinct()
+    vecs = wanted.join(usable_vectors(embeddings), F.col("_vec") == F.col("vec_id")).select("_h", "_vec", "e")
+    scored = toks.groupBy("_g").cogroup(vecs.groupBy("_h")).applyInPandas(_group_scores, "_row string, p double, r double, f1 double")
+    out = df.drop("p", "r", "f1").withColumn("_row", row).join(scored, "_row", "left").drop("_row")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("p", "r", "f1")})

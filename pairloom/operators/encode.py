@@ -88,7 +88,7 @@ def token_losses(encoded: DataFrame, lm: FL.BigramModel) -> DataFrame:
         F.get(F.col("tgt_words"), F.col("pos")).alias("w"),
         F.get(F.col("src_words"), F.col("pos")).alias("_sw"),
     )
-    x = FL.with_contexts(x.join(lm.bigrams, ["u", "w"], "left"), lm, ["pair_id", "pos"])
+    x = FL.with_contexts(x.join(lm.bigrams, ["u", "w"], "left"), lm)
     lp = F.ln(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.ln(F.coalesce(F.col("cu"), F.lit(0)) + lm.vocab)
     weight = F.when(masked, F.lit(0.0)).when(F.col("_sw").eqNullSafe(F.col("w")), F.lit(1.0)).otherwise(F.lit(2.0))
     return x.select("pair_id", "pos", "label", F.when(masked, F.lit(0.0)).otherwise(-lp).alias("loss"), weight.alias("weight"))

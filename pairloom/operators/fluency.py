@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import words
+from pairloom.session import materialized
 
 BOS, EOS = "<s>", "</s>"
-SALTS = 16  # tasks among which the rows of one context are dealt
 
 
 def bigram_rows(df: DataFrame, ids, text: str = "text") -> DataFrame:
@@ -40,35 +40,34 @@ class BigramModel:
         """Save the counts as parquet (a shared folder on a cluster), so
         later jobs score without recounting the corpus."""
         self.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+        self.contexts.write.mode("overwrite").parquet(f"{path}/contexts")
 
     @staticmethod
     def read(spark, path: str) -> "BigramModel":
-        bg = spark.read.parquet(f"{path}/bigrams")
-        ctx = bg.groupBy("u").agg(F.sum("c").alias("cu"))
-        v = bg.agg(F.countDistinct("w").alias("v")).select("v").scalar()
-        return BigramModel(bg, ctx, v)
+        return _model(spark.read.parquet(f"{path}/bigrams"), spark.read.parquet(f"{path}/contexts"))
+
+
+def _model(bigrams: DataFrame, contexts: DataFrame) -> BigramModel:
+    return BigramModel(bigrams, contexts, bigrams.agg(F.countDistinct("w").alias("v")).select("v").scalar())
 
 
 def train_bigram(corpus: DataFrame, text: str = "text", materialize: bool = True) -> BigramModel:
-    """Counts of every bigram of the corpus.  The model feeds several
-    joins and two scalar totals, so it is written once to the checkpoint
-    folder (``materialize``) instead of being recounted by each."""
+    """Counts of every bigram and context of the corpus.  Both feed several
+    joins and are written once (``materialize``) instead of being recounted
+    by each; as stored tables they also leave a skewed join free to be split."""
     bg = bigram_rows(corpus, [], text).groupBy("u", "w").agg(F.count(F.lit(1)).alias("c"))
     if materialize:
-        bg = bg.checkpoint(eager=True)
+        bg = materialized(bg, "bigrams")
     ctx = bg.groupBy("u").agg(F.sum("c").alias("cu"))
-    v = bg.agg(F.countDistinct("w").alias("v")).select("v").scalar()
-    return BigramModel(bg, ctx, v)
+    return _model(bg, materialized(ctx, "contexts") if materialize else ctx)
 
 
-def with_contexts(rows: DataFrame, model: BigramModel, salt_cols) -> DataFrame:
+def with_contexts(rows: DataFrame, model: BigramModel) -> DataFrame:
     """Left join of the context counts (``cu``) on ``u``.  Every text holds
-    the start mark and the commonest words, so both sides carry a salt: a
-    context is dealt among ``SALTS`` tasks."""
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    contexts = model.contexts.withColumn("_salt", salts)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_cols), F.lit(SALTS)))
-    return salted.join(contexts, ["u", "_salt"], "left").drop("_salt")
+    the start mark and the commonest words: both sides are plain scans or
+    shuffles, so Spark broadcasts a small context table, and splits the hot
+    contexts of a large one."""
+    return rows.join(model.contexts, "u", "left")
 
 
 def perplexity(texts: DataFrame, model: BigramModel, id_cols, text: str = "text") -> DataFrame:
@@ -77,7 +76,7 @@ def perplexity(texts: DataFrame, model: BigramModel, id_cols, text: str = "text"
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     bg = bigram_rows(texts, ids, text).groupBy(*ids, "u", "w").agg(F.count(F.lit(1)).alias("k"))
     scored = (
-        with_contexts(bg.join(model.bigrams, ["u", "w"], "left"), model, ids)
+        with_contexts(bg.join(model.bigrams, ["u", "w"], "left"), model)
         .select(
             *ids,
             "k",

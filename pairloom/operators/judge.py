@@ -6,7 +6,9 @@ classifier: same inputs (text, label 1 biased / 0 neutral) and output
 Model: add-one smoothed word likelihoods per class and log priors.
 Scoring: sum of k * log P(word | class) over the text's known words (k =
 occurrences; unknown words are ignored) plus the log prior; the class
-with the higher score wins, ties go to class 0."""
+with the higher score wins, ties go to class 0.  A class without a row in
+training has the prior minus infinity and is never chosen; without any rows
+all is class 0."""
 
 from __future__ import annotations
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import argmax_class, words
+from pairloom.session import materialized
 
 
 @dataclass
@@ -52,7 +55,7 @@ def train_judge(labelled: DataFrame, text: str = "text", label: str = "label", m
         F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).cast("bigint").alias("c1"),
     )
     if materialize:
-        counts = counts.checkpoint(eager=True)
+        counts = materialized(counts, "judge")
     tot = counts.agg(
         F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), F.count(F.lit(1)).alias("v")
     )
@@ -69,7 +72,8 @@ def train_judge(labelled: DataFrame, text: str = "text", label: str = "label", m
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n1"),
     )
     n0, n1 = pri.select("n0").scalar(), pri.select("n1").scalar()
-    return JudgeModel(model, F.ln(n0 / (n0 + n1)), F.ln(n1 / (n0 + n1)))
+    prior = lambda n: F.when(n > 0, F.ln(n / (n0 + n1))).otherwise(F.lit(float("-inf")))
+    return JudgeModel(model, prior(n0), prior(n1))
 
 
 def score_judge(texts: DataFrame, model: JudgeModel, id_cols, text: str = "text") -> DataFrame:

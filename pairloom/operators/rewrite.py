@@ -11,7 +11,11 @@ translators and neutralisers, with the same inputs and outputs:
   of the pairs that contain them, with at least ``min_support`` such
   pairs, are dropped from the text.
 * pivot chain (U3): translate to the pivot language, neutralise there,
-  translate back, as one lazy plan.
+  translate back.
+
+All three change words one by one and in place (``rewrite_words``): only the
+distinct words of a text are joined with the table of changes, the text itself
+stays with its row.
 
 ``map_text`` runs a caller's own model (for example a neural one) over
 Arrow batches with ``mapInPandas``; failures are isolated per batch, then
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.functions.text import hash_key, words
+from pairloom.session import materialized
 
 ERROR = "Error"
 
@@ -54,17 +59,20 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols, k: int
 
 def dense_rank_rows(df: DataFrame, group_cols: Sequence[str], order_cols, rank_col: str = "rank") -> DataFrame:
     """Rank 1.. of every row of its group by ``order_cols`` (a total order),
-    with no group in one task: the rows are cut into ranges of (group,
-    order) and written once; the counts per range (groups x partitions, so
-    bounded, and broadcast) give each range its offset."""
+    with no group in one task: the rows are cut into sorted ranges of (group,
+    order), numbered inside their range and written once.  The first number
+    and the count of each group in each range (groups x partitions rows, so
+    bounded, and broadcast) turn a row's number into its rank."""
     g = list(group_cols)
-    cut = df.repartitionByRange(*g, *order_cols).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
-    sizes = cut.groupBy(*g, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    order = [*[F.asc(c) for c in g], *order_cols]
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    cut = materialized(cut.withColumn("_row", F.monotonically_increasing_id()), "ranks")  # range in the upper bits
+    part = F.shiftright("_row", 33)
+    sizes = cut.groupBy(*g, part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*g, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*g, "_part").orderBy(*order_cols))
-    ranked = cut.withColumn("_rn", local).join(F.broadcast(offsets), [*g, "_part"])
-    return ranked.withColumn(rank_col, F.col("_off") + F.col("_rn")).drop("_part", "_off", "_rn")
+    offsets = sizes.select(*g, "_part", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    ranked = cut.withColumn("_part", part).join(F.broadcast(offsets), [*g, "_part"])
+    return ranked.withColumn(rank_col, F.col("_off") + F.col("_row")).drop("_part", "_off", "_row")
 
 
 def word_ranks(documents: DataFrame, k: int | None = None) -> DataFrame:
@@ -92,60 +100,72 @@ def rank_dictionary(documents: DataFrame, pivot: str = "en", k: int | None = Non
     return o.join(p, "rank").select("lang", "pivot_word", "word")
 
 
-def _word_key(ids) -> Column:
-    """The word of an exploded row; header rows have none and get a key of
-    their own each (words hold no space), or a join by word would bring all
-    of them to one task."""
-    return F.coalesce("word", F.concat(F.lit(" "), F.xxhash64(*ids).cast("string")))
-
-
-def _explode_texts(df: DataFrame, ids, keep, texts: Sequence[str], every_row: Sequence[str] = ()) -> DataFrame:
-    """One row per word of every column in ``texts`` (side k, pos >= 1),
-    plus one header row per side (pos 0, no word).  Only the header of
-    side 0 carries the other columns (and the null flags of every side),
-    so long texts are not copied once per word and no join or anti join
-    can lose them.  Columns in ``every_row`` (join keys such as ``lang``)
-    stay on every row."""
-    nulls = [F.col(t).isNull().alias(f"_null{k}") for k, t in enumerate(texts)]
-    if len(texts) > 1:
-        sides = ", ".join(f"{k}, `{t}`" for k, t in enumerate(texts))
-        x = df.select(*ids, *keep, *nulls, F.expr(f"stack({len(texts)}, {sides}) AS (side, _txt)"))
-    else:
-        x = df.select(*ids, *keep, *nulls, F.lit(0).alias("side"), F.col(texts[0]).alias("_txt"))
-    seq = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(words("_txt"), F.array().cast("array<string>")))
-    x = x.select(*ids, *keep, *[f"_null{k}" for k in range(len(texts))], "side", F.posexplode(seq).alias("pos", "word"))
-    head = (F.col("side") == 0) & (F.col("pos") == 0)
-    carried = [F.col(c) if c in every_row else F.when(head, F.col(c)).alias(c) for c in keep]
-    flags = [F.when(head, F.col(f"_null{k}")).alias(f"_null{k}") for k in range(len(texts))]
-    return x.select(*ids, *carried, *flags, "side", "pos", "word")
-
-
-def _rebuild(exploded: DataFrame, ids: Sequence[str], keep: Sequence[str], outs: Sequence[str]) -> DataFrame:
-    """Re-assemble (ids..., side, pos, w) rows into one space-joined text
-    per side; a blank text gives '' and a null text stays null."""
-    lists = [
-        F.array_sort(
-            F.collect_list(F.when((F.col("side") == k) & F.col("w").isNotNull(), F.struct("pos", "w")))
-        ).alias(f"_ws{k}")
-        for k in range(len(outs))
-    ]
-    flags = [F.max(F.col(f"_null{k}").cast("int")).alias(f"_null{k}") for k in range(len(outs))]
-    agg = exploded.groupBy(*ids).agg(*lists, *flags, *[F.first(c, ignorenulls=True).alias(c) for c in keep])
-    texts = [
-        F.when(F.col(f"_null{k}") == 1, F.lit(None).cast("string"))
-        .otherwise(F.array_join(F.transform(f"_ws{k}", lambda x: x["w"]), " "))
-        .alias(o)
-        for k, o in enumerate(outs)
-    ]
-    return agg.select(*ids, *keep, *texts)
-
-
-def _plan_columns(df: DataFrame, ids, text, out):
+# ---- rewriting in place -------------------------------------------------------
+
+@F.pandas_udf(T.StringType())
+def _in_place(text: pd.Series, changed: pd.Series, to: pd.Series) -> pd.Series:
+    """Each text with its changed words replaced (null: dropped), in order;
+    ``str.split`` is the word rule of C1."""
+    out = []
+    for t, keys, values in zip(text, changed, to):
+        if t is None:
+            out.append(None)
+        elif keys is None or not len(keys):
+            out.append(" ".join(t.split()))
+        else:
+            m = dict(zip(keys, values))
+            out.append(" ".join([w for w in (m.get(w, w) for w in t.split()) if w is not None]))
+    return pd.Series(out, dtype=object)
+
+
+def _distinct_words(df: DataFrame, cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """(cols..., word): the distinct words of each row's texts."""
+    sides = [F.coalesce(words(t), F.array().cast("array<string>")) for t in texts]
+    return df.select(*cols, F.explode(F.array_distinct(F.concat(*sides))).alias("word"))
+
+
+def text_words(df: DataFrame, cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """The vocabulary of the texts by ``cols`` (for example per language)."""
+    return _distinct_words(df, cols, texts).distinct()
+
+
+def rewrite_words(df: DataFrame, ids, texts: dict, changes: DataFrame, match_cols: Sequence[str] = (),
+                  variants: dict | None = None) -> DataFrame:
+    """Replace words in place.  ``changes`` is (match_cols..., word, to): words
+    that change, each once, ``to`` null where the word is dropped.  ``texts``
+    maps columns to outputs; other columns of ``df`` are kept (J3).
+
+    Only the distinct words of a row are joined with ``changes``; those that
+    change come back to the row as two short arrays, and one pass over the
+    row's own text replaces them in order, so no word carries a position
+    through a shuffle.  ``variants`` {column: values} gives every row once per
+    value, with the changes of that value (a column of ``changes``).  ``ids``
+    must be unique (null is an id like others); a blank text gives '' and a
+    null text stays null."""
     ids = [ids] if isinstance(ids, str) else list(ids)
-    mapping = dict(text) if isinstance(text, dict) else {text: out or text}
-    ins, outs = list(mapping), list(mapping.values())
-    keep = [c for c in df.columns if c not in ids and c not in outs]
-    return ids, ins, outs, keep
+    [(by, values)] = (variants or {None: None}).items()
+    on = [*match_cols, "word"]
+    x = _distinct_words(df, [*ids, *[c for c in match_cols if c not in ids]], list(texts))
+    key = [*ids, *([by] if by else [])]
+    c = changes.select(*on, *([by] if by else []), "to")
+    hits = x.join(c, on).groupBy(*key).agg(F.collect_list(F.struct("word", "to")).alias("_hits"))
+    hits = hits.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_hits")
+    wide = df.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values]))) if by else df
+    same = [wide[k].eqNullSafe(hits[f"_k{i}"]) for i, k in enumerate(key)]
+    out = wide.join(hits, same, "left")
+    changed, to = F.transform("_hits", lambda h: h["word"]), F.transform("_hits", lambda h: h["to"])
+    keep = [k for k in wide.columns if k not in texts.values()]
+    return out.select(*keep, *[_in_place(F.col(t), changed, to).alias(o) for t, o in texts.items()])
+
+
+def _mapping(text, out) -> dict:
+    return dict(text) if isinstance(text, dict) else {text: out or text}
+
+
+def dictionary_changes(dictionary: DataFrame, lang: str, to_pivot: bool) -> DataFrame:
+    """(lang, word, to): what U1 replaces, out of a (lang, pivot_word, word) dictionary."""
+    src, dst = ("word", "pivot_word") if to_pivot else ("pivot_word", "word")
+    return dictionary.select(F.col("lang").alias(lang), F.col(src).alias("word"), F.col(dst).alias("to"))
 
 
 def translate(df: DataFrame, dictionary: DataFrame, ids, text, lang: str, to_pivot: bool,
@@ -153,17 +173,14 @@ def translate(df: DataFrame, dictionary: DataFrame, ids, text, lang: str, to_piv
     """Word-by-word dictionary translation between the pivot language
     and the language in column ``lang`` (to the pivot when ``to_pivot``).
     ``text`` is one column (written to ``out``) or a {column: output}
-    mapping, translated together in one pass: one explode, one join by
-    language and word (Spark chooses how), one regrouping by ``ids``, which
-    must be unique.  Unknown words pass through; the other columns of ``df``
-    are kept (J3)."""
-    ids, ins, outs, keep = _plan_columns(df, ids, text, out)
-    src, dst = ("word", "pivot_word") if to_pivot else ("pivot_word", "word")
-    d = dictionary.select(F.col("lang").alias("_dl"), F.col(src).alias("_from"), F.col(dst).alias("_to"))
-    x = _explode_texts(df, ids, keep, ins, every_row=[lang]).withColumn("_key", _word_key(ids))
-    x = x.join(d, (x[lang] == d["_dl"]) & (x["_key"] == d["_from"]), "left")
-    x = x.drop("_dl", "_from", "_key").withColumn("w", F.coalesce("_to", "word")).drop("_to", "word")
-    return _rebuild(x, ids, keep, outs)
+    mapping, translated together.  Unknown words pass through."""
+    return rewrite_words(df, ids, _mapping(text, out), dictionary_changes(dictionary, lang, to_pivot), [lang])
+
+
+def translate_to(df: DataFrame, dictionary: DataFrame, ids, text: dict, lang: str, targets: Sequence[str]) -> DataFrame:
+    """U1 from the pivot language into every language of ``targets``: each
+    row once per target (column ``lang``), its words looked up once for all."""
+    return rewrite_words(df, ids, text, dictionary_changes(dictionary, lang, False), (), {lang: list(targets)})
 
 
 # ---- U2: lexicon neutraliser ----------------------------------------------
@@ -183,17 +200,34 @@ def learn_lexicon(pairs: DataFrame, group_cols: Sequence[str] = (), min_support:
     return agg.where((F.col("pairs_with_word") >= min_support) & (F.col("rate") >= min_rate))
 
 
+def lexicon_changes(lexicon: DataFrame, match_cols: Sequence[str] = ()) -> DataFrame:
+    """(match_cols..., word, to): what U2 drops (``to`` null)."""
+    return lexicon.select(*match_cols, "word").distinct().withColumn("to", F.lit(None).cast("string"))
+
+
 def neutralize(df: DataFrame, lexicon: DataFrame, ids, text, out: str | None = None,
                match_cols: Sequence[str] = ()) -> DataFrame:
     """U2 apply: drop lexicon words from ``text`` (one column, or a
     {column: output} mapping); ``match_cols`` (e.g. ``lang``) must also
     match between the row and the lexicon entry; ``ids`` must be unique."""
-    ids, ins, outs, keep = _plan_columns(df, ids, text, out)
-    x = _explode_texts(df, ids, keep, ins, every_row=list(match_cols))
-    lex = lexicon.select(*match_cols, F.col("word").alias("_key")).distinct()
-    x = x.withColumn("_key", _word_key(ids))
-    x = x.join(lex, [*match_cols, "_key"], "left_anti").drop("_key").withColumnRenamed("word", "w")
-    return _rebuild(x, ids, keep, outs)
+    return rewrite_words(df, ids, _mapping(text, out), lexicon_changes(lexicon, match_cols), match_cols)
+
+
+# ---- U3: pivot chain --------------------------------------------------------
+
+def pivot_changes(vocabulary: DataFrame, dictionary: DataFrame, lexicon: DataFrame, lang: str = "lang") -> DataFrame:
+    """(lang, word, to): translate to the pivot language, drop the lexicon's
+    words there, translate back, worked out once per word of the vocabulary
+    (lang, word).  Each step is word by word, so the steps compose; no key of
+    these joins occurs more than once per language."""
+    to = dictionary_changes(dictionary, lang, True).withColumnRenamed("to", "_pivot")
+    x = vocabulary.select(lang, "word").join(to, [lang, "word"], "left")
+    x = x.select(lang, "word", F.coalesce("_pivot", "word").alias("_pivot"))
+    dropped = lexicon.select(F.col("word").alias("_pivot"), F.lit(True).alias("_gone")).distinct()
+    back = dictionary_changes(dictionary, lang, False).select(lang, F.col("word").alias("_pivot"), F.col("to").alias("_back"))
+    x = x.join(dropped, "_pivot", "left").join(back, [lang, "_pivot"], "left")
+    x = x.select(lang, "word", F.when(F.col("_gone"), F.lit(None)).otherwise(F.coalesce("_back", "_pivot")).alias("to"))
+    return x.where(~F.col("to").eqNullSafe(F.col("word")))
 
 
 # ---- U8: callers' models -------------------------------------------------
@@ -272,6 +306,6 @@ def map_text(df: DataFrame, in_col: str, out_col: str, factory: Callable[[], Cal
         return mapped
     # the flag and the rows must come from one model run: materialise the
     # outputs once in the shared checkpoint folder
-    mapped = mapped.checkpoint(eager=True)
+    mapped = materialized(mapped, "model-outputs")
     failed = mapped.agg(F.max((F.col(out_col) == ERROR).cast("int")).alias("_f")).select("_f").scalar()
     return mapped.withColumn(out_col, F.when(failed == 1, F.lit(ERROR)).otherwise(F.col(out_col)))

@@ -16,6 +16,7 @@ from pairloom.operators import judge as J
 from pairloom.operators import rewrite as R
 from pairloom.operators import splits as S
 from pairloom.plans.corpus import Corpus, judge_training
+from pairloom.session import materialized
 
 log = logging.getLogger("pairloom")
 
@@ -55,7 +56,7 @@ class Evaluation:
         """Tables that several branches read are written once to the
         shared checkpoint folder (and lineage is cut there)."""
         if key not in self._memo:
-            self._memo[key] = build().checkpoint(eager=True)
+            self._memo[key] = materialized(build(), key)
         return self._memo[key]
 
     def split_pairs(self) -> DataFrame:
@@ -65,7 +66,10 @@ class Evaluation:
         return self.split_pairs().where(F.col("split") == "train").drop("split")
 
     def dictionary(self) -> DataFrame:
-        return self._once("dictionary", lambda: R.rank_dictionary(self.c.documents(), PIVOT, self.k))
+        """The ranks behind it are written once; the join by rank is lazy."""
+        if "dictionary" not in self._memo:
+            self._memo["dictionary"] = R.rank_dictionary(self.c.documents(), PIVOT, self.k)
+        return self._memo["dictionary"]
 
     def synthetic_pairs(self) -> DataFrame:
         return self._once("synthetic", self._synthetic_pairs)
@@ -74,15 +78,9 @@ class Evaluation:
         """Pivot-language train and val pairs translated into every
         target language (the test split is left out)."""
         en = self.split_pairs().where((F.col("lang") == PIVOT) & F.col("split").isin("train", "val"))
-        x = en.select(
-            "pair_id",
-            "split",
-            F.explode(F.array(*[F.lit(t) for t in TARGETS])).alias("lang"),
-            F.col("src_raw").alias("src_en_original"),
-            F.col("tgt_raw").alias("tgt_en_original"),
-        )
+        x = en.select("pair_id", "split", F.col("src_raw").alias("src_en_original"), F.col("tgt_raw").alias("tgt_en_original"))
         texts = {"src_en_original": "src_raw", "tgt_en_original": "tgt_raw"}
-        x = R.translate(x, self.dictionary(), ["pair_id", "lang"], texts, "lang", to_pivot=False)
+        x = R.translate_to(x, self.dictionary(), "pair_id", texts, "lang", TARGETS)
         return x.select("pair_id", "lang", "split", "src_raw", "tgt_raw", "src_en_original", "tgt_en_original")
 
     def examples(self) -> DataFrame:
@@ -105,25 +103,39 @@ class Evaluation:
         train = self.synthetic_pairs().where(F.col("split") == "train")
         return R.learn_lexicon(S.sample_frac(train, self.frac, ["pair_id", "lang"]), ["lang"])
 
+    def changes(self, models: Sequence[str], vocabulary: DataFrame) -> DataFrame:
+        """(model, lang, word, to): what the shipped models change in the
+        words (lang, word) of the examples; no word is repeated per model."""
+        out = None
+        for m in models:
+            if m == "zero_shot":  # learned in the pivot language, applied to all
+                c = vocabulary.join(R.lexicon_changes(self.pivot_lexicon()), "word").select("lang", "word", "to")
+            elif m == "synthetic":
+                c = R.lexicon_changes(self.synthetic_lexicon(), ["lang"])
+            elif m == "few_shot":
+                c = R.lexicon_changes(self.few_shot_lexicon(), ["lang"])
+            elif m == "pivot":
+                c = R.pivot_changes(vocabulary, self.dictionary(), self.pivot_lexicon())
+            else:
+                raise ValueError(m)
+            c = c.select(F.lit(m).alias("model"), "lang", "word", "to")
+            out = c if out is None else out.unionByName(c)
+        return out
+
+    def rewritten(self, models: Sequence[str]) -> DataFrame:
+        """The examples as the shipped ``models`` rewrite them, all in one
+        pass: the words of an example are looked up once for all models."""
+        ex = self.examples()
+        changes = self.changes(models, R.text_words(ex, ["lang"], ["input"]))
+        out = R.rewrite_words(ex, "id", {"input": "prediction"}, changes, ["lang"], {"model": list(models)})
+        return out.select("id", "lang", "input", "gold", "model", "prediction")
+
     def branch(self, model: str) -> DataFrame:
+        if model not in self.custom:
+            return self.rewritten([model])
         ex = self.examples()
-        if model in self.custom:
-            pred = self.custom[model](ex).select("id", "prediction")
-            out = ex.join(pred, "id", "left")
-        elif model == "zero_shot":
-            out = R.neutralize(ex, self.pivot_lexicon(), "id", "input", "prediction")
-        elif model == "synthetic":
-            out = R.neutralize(ex, self.synthetic_lexicon(), "id", "input", "prediction", ["lang"])
-        elif model == "few_shot":
-            out = R.neutralize(ex, self.few_shot_lexicon(), "id", "input", "prediction", ["lang"])
-        elif model == "pivot":
-            d = self.dictionary()
-            out = R.translate(ex, d, "id", "input", "lang", to_pivot=True, out="_en")
-            out = R.neutralize(out, self.pivot_lexicon(), "id", "_en", "_en_n")
-            out = R.translate(out, d, "id", "_en_n", "lang", to_pivot=False, out="prediction")
-        else:
-            raise ValueError(model)
-        return out.select("id", "lang", "input", "gold", F.lit(model).alias("model"), "prediction")
+        pred = self.custom[model](ex).select("id", "prediction")
+        return ex.join(pred, "id", "left").select("id", "lang", "input", "gold", F.lit(model).alias("model"), "prediction")
 
     def outputs(self, materialize: bool = True) -> DataFrame:
         """U8: every example x every model, as one long table.  It feeds
@@ -131,22 +143,21 @@ class Evaluation:
         checkpoint folder (this also cuts the long lineage)."""
         if materialize and getattr(self, "_outputs", None) is not None:
             return self._outputs
-        out = None
-        for m in self.models():
+        own = [m for m in self.shipped if m not in self.custom]
+        out = self.rewritten(own) if own else None
+        for m in self.custom:
             try:
                 b = self.branch(m)
             except PySparkException:
                 raise
             except Exception:
-                if m not in self.custom:
-                    raise
                 # the caller's model could not even be built: every row fails
                 log.exception("model %s failed", m)
                 ex = self.examples()
                 b = ex.select("id", "lang", "input", "gold", F.lit(m).alias("model"), F.lit(R.ERROR).alias("prediction"))
             out = b if out is None else out.unionByName(b)
         if materialize:
-            out = out.checkpoint(eager=True)
+            out = materialized(out, "outputs")
             self._outputs = out
         return out
 
@@ -168,4 +179,4 @@ class Evaluation:
             s = s.select("*", *[F.lit(0.0).alias(c) for c in ("p", "r", "f1")])
         else:
             s = C.content_f1(s, emb, ids, "prediction", "input")
-        return FL.perplexity(s, lm, ids, text="prediction").checkpoint(eager=True)
+        return materialized(FL.perplexity(s, lm, ids, text="prediction"), "scores")

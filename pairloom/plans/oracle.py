@@ -124,7 +124,8 @@ jc AS (SELECT word, sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::BIGINT AS c0,
               sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS c1 FROM jw GROUP BY word),
 jtot AS (SELECT sum(c0) AS t0, sum(c1) AS t1, count(*) AS v FROM jc),
 jm AS (SELECT word, c0, c1, ln((c0 + 1) / (t0 + v)) AS lp0, ln((c1 + 1) / (t1 + v)) AS lp1 FROM jc, jtot),
-jp AS (SELECT ln(n0 / (n0 + n1)) AS p0, ln(n1 / (n0 + n1)) AS p1 FROM
+jp AS (SELECT CASE WHEN n0 > 0 THEN ln(n0 / (n0 + n1)) ELSE '-Infinity'::DOUBLE END AS p0,
+              CASE WHEN n1 > 0 THEN ln(n1 / (n0 + n1)) ELSE '-Infinity'::DOUBLE END AS p1 FROM
         (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END)::DOUBLE AS n0,
                 sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::DOUBLE AS n1 FROM jt))"""
 
@@ -223,9 +224,10 @@ TARGETS = ["de", "es", "fr"]
 
 DICT = f"""
 wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words('text')}) AS word FROM documents) GROUP BY ALL),
-wr AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM wc),
-dict AS (SELECT o.lang, p.word AS pivot_word, o.word FROM wr o JOIN wr p ON o.rank = p.rank
-         WHERE p.lang = 'en' AND o.lang <> 'en')"""
+wr AS MATERIALIZED (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank
+                    FROM wc WHERE lang IS NOT NULL),
+dict AS MATERIALIZED (SELECT o.lang, p.pivot_word, o.word FROM (SELECT lang, rank, word FROM wr WHERE lang <> 'en') o
+         JOIN (SELECT rank, word AS pivot_word FROM wr WHERE lang = 'en') p ON o.rank = p.rank)"""
 
 
 def _cols(ids):

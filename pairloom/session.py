@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +67,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    read it back.  Lineage is cut and lost executors cost nothing, as with
+    ``checkpoint``; in addition later scans read only their columns, and the
+    size is known when joins are planned."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read one driver table; naming the columns prunes the parquet scan."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
