@@ -118,34 +118,25 @@ def _in_place(text: pd.Series, changed: pd.Series, to: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _distinct_words(df: DataFrame, cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """(cols..., word): the distinct words of each row's texts."""
-    sides = [F.coalesce(words(t), F.array().cast("array<string>")) for t in texts]
-    return df.select(*cols, F.explode(F.array_distinct(F.concat(*sides))).alias("word"))
+def _distinct_words(texts: Sequence[str]) -> Column:
+    return F.array_distinct(F.concat(*[F.coalesce(words(t), F.array().cast("array<string>")) for t in texts]))
 
 
 def text_words(df: DataFrame, cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
-    """The vocabulary of the texts by ``cols`` (for example per language)."""
-    return _distinct_words(df, cols, texts).distinct()
+    """(cols..., word): the vocabulary of the texts (for example per language)."""
+    return df.select(*cols, F.explode(_distinct_words(texts)).alias("word")).distinct()
 
 
-def rewrite_words(df: DataFrame, ids, texts: dict, changes: DataFrame, match_cols: Sequence[str] = (),
+def rewrite_keyed(df: DataFrame, ids, keys: Column, changes: DataFrame, texts: dict, rewrite, match_cols: Sequence[str] = (),
                   variants: dict | None = None) -> DataFrame:
-    """Replace words in place.  ``changes`` is (match_cols..., word, to): words
-    that change, each once, ``to`` null where the word is dropped.  ``texts``
-    maps columns to outputs; other columns of ``df`` are kept (J3).
-
-    Only the distinct words of a row are joined with ``changes``; those that
-    change come back to the row as two short arrays, and one pass over the
-    row's own text replaces them in order, so no word carries a position
-    through a shuffle.  ``variants`` {column: values} gives every row once per
-    value, with the changes of that value (a column of ``changes``).  ``ids``
-    must be unique (null is an id like others); a blank text gives '' and a
-    null text stays null."""
+    """Look up each row's distinct ``keys`` in ``changes`` (match_cols...,
+    word, to) and hand those found back to the row as two short arrays;
+    ``rewrite(text, found, to)`` then makes each output.  The texts stay with
+    their row: through the shuffle go keys, and back come the few that match."""
     ids = [ids] if isinstance(ids, str) else list(ids)
     [(by, values)] = (variants or {None: None}).items()
     on = [*match_cols, "word"]
-    x = _distinct_words(df, [*ids, *[c for c in match_cols if c not in ids]], list(texts))
+    x = df.select(*ids, *[c for c in match_cols if c not in ids], F.explode(keys).alias("word"))
     key = [*ids, *([by] if by else [])]
     c = changes.select(*on, *([by] if by else []), "to")
     hits = x.join(c, on).groupBy(*key).agg(F.collect_list(F.struct("word", "to")).alias("_hits"))
@@ -153,9 +144,24 @@ def rewrite_words(df: DataFrame, ids, texts: dict, changes: DataFrame, match_col
     wide = df.withColumn(by, F.explode(F.array(*[F.lit(v) for v in values]))) if by else df
     same = [wide[k].eqNullSafe(hits[f"_k{i}"]) for i, k in enumerate(key)]
     out = wide.join(hits, same, "left")
-    changed, to = F.transform("_hits", lambda h: h["word"]), F.transform("_hits", lambda h: h["to"])
+    found, to = F.transform("_hits", lambda h: h["word"]), F.transform("_hits", lambda h: h["to"])
     keep = [k for k in wide.columns if k not in texts.values()]
-    return out.select(*keep, *[_in_place(F.col(t), changed, to).alias(o) for t, o in texts.items()])
+    return out.select(*keep, *[rewrite(F.col(t), found, to).alias(o) for t, o in texts.items()])
+
+
+def rewrite_words(df: DataFrame, ids, texts: dict, changes: DataFrame, match_cols: Sequence[str] = (),
+                  variants: dict | None = None) -> DataFrame:
+    """Replace words in place.  ``changes`` is (match_cols..., word, to): words
+    that change, each once, ``to`` null where the word is dropped.  ``texts``
+    maps columns to outputs; other columns of ``df`` are kept (J3).
+
+    Only the distinct words of a row are joined with ``changes``; one pass over
+    the row's own text replaces those that change in order, so no word carries
+    a position through a shuffle.  ``variants`` {column: values} gives every
+    row once per value, with the changes of that value (a column of
+    ``changes``).  ``ids`` must be unique (null is an id like others); a blank
+    text gives '' and a null text stays null."""
+    return rewrite_keyed(df, ids, _distinct_words(list(texts)), changes, texts, _in_place, match_cols, variants)
 
 
 def _mapping(text, out) -> dict:

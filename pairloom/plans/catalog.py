@@ -207,6 +207,7 @@ def content_mean(spark, sf_dir):
 
 # ---- rewriting and reports --------------------------------------------------
 
+from pairloom.operators import edits as ED  # noqa: E402
 from pairloom.operators import report as RP  # noqa: E402
 from pairloom.operators import rewrite as R  # noqa: E402
 from pairloom.plans.evaluation import MODELS, Evaluation  # noqa: E402
@@ -252,6 +253,41 @@ def neutralize_pivot(spark, sf_dir):
     return _ev(spark, sf_dir).branch("pivot").select("id", "lang", "prediction")
 
 
+def _edit_training(c: Corpus) -> DataFrame:
+    """F1 pairs of the training split."""
+    train = c.split_pairs().where("split = 'train'").select("pair_id")
+    return P.structural_filter(c.pairs()).join(train, "pair_id").select("pair_id", "lang", "src_raw", "tgt_raw")
+
+
+def _edit_rules(c: Corpus) -> DataFrame:
+    # one place is enough here: at small scale factors no edit occurs twice
+    return ED.learn_rules(_edit_training(c), ["lang"], min_support=1)
+
+
+@query
+def edit_ops(spark, sf_dir):
+    """The aligned edits of every pair that F1 keeps."""
+    ops = ED.edit_ops(P.structural_filter(Corpus(spark, sf_dir).pairs()))
+    phrase = lambda c: F.array_join(c, " ").alias(c)
+    return ops.select("pair_id", "idx", "pos", "kind", F.col("left").alias("left_word"), phrase("src"), phrase("tgt"))
+
+
+@query
+def edit_rules(spark, sf_dir):
+    """Rules learned from the edits of the training pairs."""
+    r = _edit_rules(Corpus(spark, sf_dir))
+    return r.select("lang", F.col("left").alias("left_word"), "phrase", F.col("to").alias("becomes"), "hits", "places",
+                    F.round("rate", 6).alias("rate"))
+
+
+@query
+def neutralize_rules(spark, sf_dir):
+    """The sources of all pairs rewritten by the rules of their language."""
+    c = Corpus(spark, sf_dir)
+    out = ED.apply_rules(c.pairs(), _edit_rules(c), "pair_id", "src_raw", "prediction", ["lang"])
+    return out.select("pair_id", "lang", "prediction")
+
+
 @query
 def model_outputs(spark, sf_dir):
     return _ev(spark, sf_dir).outputs().select("id", "model", "prediction")

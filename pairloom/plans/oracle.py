@@ -484,3 +484,118 @@ FROM (SELECT model, arg_min(prediction, id) AS first_pred, avg(CASE WHEN style =
       FROM scores GROUP BY model)
 WHERE first_pred IS NULL OR first_pred <> 'Error'"""
 )
+
+# ---- edit operations and rules (U2) ------------------------------------------
+
+# A pair whose sides share few words is further apart than F1 allows: the
+# distance is at least the longer side less the words in common.
+NEAR = """
+nw AS (SELECT pair_id, unnest(s) AS word, 1 AS a, 0 AS b FROM stats UNION ALL SELECT pair_id, unnest(t), 0, 1 FROM stats),
+nc AS (SELECT pair_id, sum(least(a, b)) AS common FROM (SELECT pair_id, word, sum(a) AS a, sum(b) AS b FROM nw GROUP BY ALL) GROUP BY ALL),
+near AS (SELECT stats.* FROM stats JOIN nc USING (pair_id) WHERE 10 * common >= 6 * n_max)"""
+NEAR_DIST = DIST.replace("FROM stats", "FROM near").replace("stats.", "near.")
+
+# The whole distance table of every kept pair, one row per anti-diagonal; a
+# letter per cell says where the alignment comes from (match or substitution
+# before deletion before insertion), and a fold from the last diagonal to the
+# first reads the path.
+EDITS = """
+eq AS (SELECT k.pair_id, k.lang, df.pre, dq.s, dq.t, len(dq.s) AS n, len(dq.t) AS m, k.s AS ws, k.t AS wt
+       FROM kept k JOIN df USING (pair_id) JOIN dq USING (pair_id)),
+es AS MATERIALIZED (SELECT pair_id, s::INTEGER[] AS s, t::INTEGER[] AS t, n, m FROM eq),
+ft(pair_id, d, p1, p2) AS (
+  SELECT pair_id, 1, [1, 1]::INTEGER[], [0]::INTEGER[] FROM es WHERE n > 0 AND m > 0
+  UNION ALL
+  SELECT f.pair_id, d + 1,
+    list_transform(range(greatest(0, d + 1 - m), least(n, d + 1) + 1),
+      lambda i: CASE WHEN i = 0 OR i = d + 1 THEN d + 1
+        ELSE least(p1[i - greatest(0, d - m)] + 1,
+                   p1[i - greatest(0, d - m) + 1] + 1,
+                   p2[i - greatest(0, d - 1 - m)] + CASE WHEN s[i] = t[d + 1 - i] THEN 0 ELSE 1 END) END)::INTEGER[],
+    p1
+  FROM ft f JOIN es USING (pair_id) WHERE d < n + m
+),
+fo AS (SELECT a.pair_id, a.d, n, m, array_to_string(list_transform(range(greatest(0, a.d - m), least(n, a.d) + 1),
+      lambda i: CASE WHEN i = 0 THEN 'I' WHEN i = a.d THEN 'D'
+        WHEN s[i] = t[a.d - i] AND b.p2[i - greatest(0, a.d - 2 - m)] = a.p1[i - greatest(0, a.d - m) + 1] THEN 'M'
+        WHEN s[i] <> t[a.d - i] AND b.p2[i - greatest(0, a.d - 2 - m)] + 1 = a.p1[i - greatest(0, a.d - m) + 1] THEN 'S'
+        WHEN a.p2[i - greatest(0, a.d - 1 - m)] + 1 = a.p1[i - greatest(0, a.d - m) + 1] THEN 'D' ELSE 'I' END), '') AS ops
+    FROM ft a JOIN es USING (pair_id) LEFT JOIN ft b ON b.pair_id = a.pair_id AND b.d = a.d - 1),
+fl AS (SELECT pair_id, n, m, list({'i': d::BIGINT, 'j': 0::BIGINT, 'p': ops} ORDER BY d DESC) AS ds FROM fo GROUP BY ALL),
+fp AS (SELECT pair_id, list_reduce(ds, lambda acc, x: CASE WHEN acc.i + acc.j <> x.i THEN acc ELSE
+          {'i': acc.i - (substr(x.p, (acc.i - greatest(0, x.i - m) + 1)::BIGINT, 1) <> 'I')::BIGINT,
+           'j': acc.j - (substr(x.p, (acc.i - greatest(0, x.i - m) + 1)::BIGINT, 1) <> 'D')::BIGINT,
+           'p': substr(x.p, (acc.i - greatest(0, x.i - m) + 1)::BIGINT, 1) || acc.p} END,
+          {'i': n::BIGINT, 'j': m::BIGINT, 'p': ''}).p AS path FROM fl
+       UNION ALL SELECT pair_id, repeat('D', n) || repeat('I', m) FROM eq WHERE n = 0 OR m = 0),
+fc AS (SELECT pair_id, unnest(string_split(path, '')) AS c, unnest(range(1, len(path) + 1)) AS k FROM fp),
+fr AS (SELECT *, count(*) FILTER (WHERE c <> 'I') OVER w - (c <> 'I')::INTEGER AS i0,
+              count(*) FILTER (WHERE c <> 'D') OVER w - (c <> 'D')::INTEGER AS j0,
+              count(*) FILTER (WHERE c = 'M') OVER w AS hunk
+       FROM fc WINDOW w AS (PARTITION BY pair_id ORDER BY k)),
+fh AS (SELECT pair_id, hunk, min(i0) AS i0, min(j0) AS j0, count(*) FILTER (WHERE c <> 'I') AS ns, count(*) FILTER (WHERE c <> 'D') AS nt
+       FROM fr WHERE c <> 'M' GROUP BY ALL),
+ops AS (SELECT pair_id, lang, (row_number() OVER (PARTITION BY pair_id ORDER BY hunk) - 1)::INTEGER AS idx, (pre + i0)::INTEGER AS pos,
+               CASE WHEN ns = 0 THEN 'insert' WHEN nt = 0 THEN 'delete' ELSE 'replace' END AS kind,
+               CASE WHEN pre + i0 > 0 THEN ws[pre + i0] ELSE '' END AS "left", ns, nt,
+               array_to_string(ws[pre + i0 + 1:pre + i0 + ns], ' ') AS src, array_to_string(wt[pre + j0 + 1:pre + j0 + nt], ' ') AS tgt
+        FROM fh JOIN eq USING (pair_id))"""
+
+
+def places_sql(name: str, src: str, ids: str) -> str:
+    """Phrases of up to three words at every place of ``src``.ws, with the word before."""
+    return f"""
+{name}_i AS (SELECT {ids}, ws, unnest(range(0, len(ws) + 1)) AS i FROM {src}),
+{name}_l AS (SELECT *, unnest(range(0, least(3, len(ws) - i) + 1)) AS l FROM {name}_i),
+{name} AS (SELECT {ids}, i, l, CASE WHEN i = 0 THEN '' ELSE ws[i] END AS "left", array_to_string(ws[i + 1:i + l], ' ') AS phrase FROM {name}_l)"""
+
+
+RULES = (
+    """
+lo AS (SELECT ops.* FROM ops JOIN split USING (pair_id) WHERE split.split = 'train' AND ns <= 3 AND nt <= 3),
+lc AS (SELECT lang, "left", src AS phrase, tgt AS "to" FROM lo UNION ALL SELECT lang, NULL, src, tgt FROM lo WHERE src <> ''),
+lh AS (SELECT lang, "left", phrase, "to", count(*) AS hits FROM lc GROUP BY ALL),
+lb AS (SELECT * FROM lh QUALIFY row_number() OVER (PARTITION BY lang, "left", phrase ORDER BY hits DESC, "to") = 1),
+lt0 AS (SELECT lang, kept.s AS ws FROM kept JOIN split USING (pair_id, lang) WHERE split.split = 'train'),"""
+    + places_sql("lp", "lt0", "lang")
+    + """,
+ln AS (SELECT lang, "left", phrase, count(*) AS n FROM lp GROUP BY ALL
+       UNION ALL SELECT lang, NULL, phrase, count(*) FROM lp WHERE l > 0 GROUP BY lang, phrase),
+rules AS (SELECT lb.lang, lb."left", lb.phrase, lb."to", hits, n AS places, hits / n AS rate
+          FROM lb JOIN ln ON lb.lang = ln.lang AND lb."left" IS NOT DISTINCT FROM ln."left" AND lb.phrase = ln.phrase
+          WHERE hits >= 1 AND hits / n >= 0.5)"""
+)
+
+# At each place the longest phrase that fits, its context before none; places
+# inside a chosen phrase are passed over.
+RULED = (
+    f"""
+ru AS (SELECT pair_id, lang, src_raw, {words('src_raw')} AS ws FROM pairs),"""
+    + places_sql("rp", "ru", "pair_id, lang")
+    + """,
+rb AS (SELECT pair_id, i, l, r."to" FROM rp JOIN rules r ON r.lang = rp.lang AND r.phrase = rp.phrase
+            AND (r."left" = rp."left" OR (r."left" IS NULL AND l > 0))
+       QUALIFY row_number() OVER (PARTITION BY pair_id, i ORDER BY l DESC, r."left" IS NULL) = 1),
+rm AS (SELECT * FROM rb WHERE l > 0),
+rs(pair_id, i, l) AS (
+  SELECT pair_id, min(i), arg_min(l, i) FROM rm GROUP BY pair_id
+  UNION ALL
+  SELECT rs.pair_id, min(rm.i), arg_min(rm.l, rm.i) FROM rs JOIN rm ON rm.pair_id = rs.pair_id AND rm.i >= rs.i + rs.l
+  GROUP BY rs.pair_id
+),
+rc AS (SELECT pair_id, i + unnest(range(0, l)) AS i FROM rs),
+rw AS (SELECT u.pair_id, i, 1 AS part, ws[i + 1] AS w FROM (SELECT pair_id, ws, unnest(range(0, len(ws))) AS i FROM ru) u ANTI JOIN rc USING (pair_id, i)
+       UNION ALL SELECT pair_id, i, 0, "to" FROM rb JOIN rs USING (pair_id, i) WHERE rb.l > 0 AND "to" <> ''
+       UNION ALL SELECT pair_id, i, 0, "to" FROM rb ANTI JOIN rc USING (pair_id, i) WHERE l = 0),
+rt AS (SELECT pair_id, string_agg(w, ' ' ORDER BY i, part) AS t FROM rw GROUP BY pair_id)"""
+)
+
+ORACLE_SQL.update(
+    {
+        "edit_ops": w(PAIRS, STATS, NEAR, NEAR_DIST, KEPT, EDITS) + """SELECT pair_id, idx, pos, kind, "left" AS left_word, src, tgt FROM ops""",
+        "edit_rules": w(PAIRS, STATS, NEAR, NEAR_DIST, KEPT, SPLIT, EDITS, RULES)
+        + """SELECT lang, "left" AS left_word, phrase, "to" AS becomes, hits, places, round(rate, 6) AS rate FROM rules""",
+        "neutralize_rules": w(PAIRS, STATS, NEAR, NEAR_DIST, KEPT, SPLIT, EDITS, RULES, RULED)
+        + "SELECT pair_id, lang, CASE WHEN src_raw IS NOT NULL THEN coalesce(t, '') END AS prediction FROM ru LEFT JOIN rt USING (pair_id)",
+    }
+)
