@@ -130,7 +130,9 @@ def budget(spark, sf_dir):
 
 from pairloom.operators import content as C  # noqa: E402
 from pairloom.operators import fluency as FL  # noqa: E402
+from pairloom.operators import fluency_kn as KN  # noqa: E402
 from pairloom.operators import judge as J  # noqa: E402
+from pairloom.operators import learner as LE  # noqa: E402
 from pairloom.plans.corpus import judge_training  # noqa: E402
 
 
@@ -151,6 +153,17 @@ def style_judge(spark, sf_dir):
     return J.score_judge(_conversations(c), m, ["conv_id", "turn"]).select("conv_id", "turn", "style")
 
 
+@query
+def judge_validation(spark, sf_dir):
+    """U4 with D2: losses and accuracy of the iterative judge on both sides of
+    the 90/10 split, epoch by epoch."""
+    lt = P.labelled_texts(Corpus(spark, sf_dir).pairs())
+    sides = S.split_90_10(lt, ["pair_id", "label"])
+    _, history = LE.train_linear(sides, F.col("split") == "val", epochs=3, dim=1 << 10)
+    found = spark.createDataFrame([tuple(h.values()) for h in history], "epoch int, train_loss double, val_loss double, val_accuracy double")
+    return found.select("epoch", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
 @query
 def style_accuracy(spark, sf_dir):
     c = Corpus(spark, sf_dir)
@@ -167,6 +180,14 @@ def fluency_ppl(spark, sf_dir):
     )
 
 
+@query
+def fluency_kn(spark, sf_dir):
+    """U6 by interpolated Kneser-Ney of order 3."""
+    c = Corpus(spark, sf_dir)
+    out = KN.perplexity_kn(_conversations(c), KN.train_kn(c.documents()), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.round("ppl_kn", 4).alias("ppl_kn"))
+
+
 @query
 def fluency_mean(spark, sf_dir):
     c = Corpus(spark, sf_dir)

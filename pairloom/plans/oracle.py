@@ -599,3 +599,64 @@ ORACLE_SQL.update(
         + "SELECT pair_id, lang, CASE WHEN src_raw IS NOT NULL THEN coalesce(t, '') END AS prediction FROM ru LEFT JOIN rt USING (pair_id)",
     }
 )
+
+# ---- iterative judge with validation (U4, D2) ----------------------------------
+
+VALIDATION = (
+    LABELLED
+    + f""",
+vs AS (SELECT pair_id, label, text, rnk >= n - (n + 9) // 10 AS val FROM
+       (SELECT *, row_number() OVER (ORDER BY {hkey('pair_id', 'label')}, pair_id, label) - 1 AS rnk, count(*) OVER () AS n FROM lt)),
+vw AS (SELECT pair_id, label, unnest({words('text')}) AS word FROM vs),
+vf AS MATERIALIZED (SELECT pair_id, label, {HASH.format(x="'42:' || word")} % 1024 AS f, count(*) AS k FROM vw GROUP BY ALL),
+vx AS MATERIALIZED (SELECT pair_id, label, f, k / sum(k) OVER (PARTITION BY pair_id, label) AS x FROM vf),
+w0 AS (SELECT 0::BIGINT AS f, 0.0::DOUBLE AS w), b0 AS (SELECT 0.0::DOUBLE AS b)"""
+    + "".join(
+        f""",
+z{e} AS MATERIALIZED (SELECT vs.pair_id, vs.label, val, b + coalesce(s, 0) AS z FROM vs, b{e} LEFT JOIN
+        (SELECT pair_id, label, sum(x * w) AS s FROM vx JOIN w{e} USING (f) GROUP BY ALL) q ON q.pair_id = vs.pair_id AND q.label = vs.label),
+e{e} AS (SELECT pair_id, label, 1 / (1 + exp(-z)) - label AS d FROM z{e} WHERE NOT val),
+b{e + 1} AS (SELECT b - 20.0 * (SELECT avg(d) FROM e{e}) AS b FROM b{e}),
+w{e + 1} AS MATERIALIZED (SELECT f, coalesce(w, 0) - 20.0 * g / (SELECT count(*) FROM e{e}) AS w FROM
+        (SELECT f, sum(d * x) AS g FROM e{e} JOIN vx USING (pair_id, label) GROUP BY f) LEFT JOIN w{e} USING (f))"""
+        for e in range(4)
+    )
+)
+
+# ---- Kneser-Ney (U6) --------------------------------------------------------------
+
+KNSQL = f"""
+ks AS (SELECT ['<s>', '<s>'] || ws || ['</s>'] AS q FROM (SELECT {words('text')} AS ws FROM documents) WHERE len(ws) > 0),
+ki AS (SELECT q, unnest(range(1, len(q) - 1)) AS i FROM ks),
+k3 AS MATERIALIZED (SELECT q[i] AS u, q[i + 1] AS v, q[i + 2] AS w, count(*) AS n FROM ki GROUP BY ALL),
+k2 AS MATERIALIZED (SELECT v, w, count(*) AS n FROM k3 GROUP BY ALL),
+k1 AS MATERIALIZED (SELECT w, count(*) AS n FROM k2 GROUP BY ALL),""" + ",".join(
+    f"""
+kd{o} AS (SELECT CASE WHEN n1 * n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS d FROM
+       (SELECT count(*) FILTER (WHERE n = 1) AS n1, count(*) FILTER (WHERE n = 2) AS n2 FROM k{o}))"""
+    for o in (1, 2, 3)
+) + """,
+kp1 AS MATERIALIZED (SELECT w, (n - d) / sum(n) OVER () + d * count(*) OVER () / sum(n) OVER () / (count(*) OVER () + 1) AS p FROM k1, kd1),
+ku AS (SELECT any_value(d) * count(*) / sum(n) / (count(*) + 1) AS p FROM k1, kd1),
+kg2 AS MATERIALIZED (SELECT v, sum(n) AS t, any_value(d) * count(*) / sum(n) AS g FROM k2, kd2 GROUP BY v),
+kp2 AS MATERIALIZED (SELECT v, w, (n - d) / t + g * p AS p FROM k2 JOIN kg2 USING (v) JOIN kp1 USING (w), kd2),
+kg3 AS MATERIALIZED (SELECT u, v, sum(n) AS t, any_value(d) * count(*) / sum(n) AS g FROM k3, kd3 GROUP BY u, v),
+kp3 AS MATERIALIZED (SELECT u, v, w, (n - d) / t + g * p AS p FROM k3 JOIN kg3 USING (u, v) JOIN kp2 USING (v, w), kd3),
+kt AS (SELECT conv_id, turn, ['<s>', '<s>'] || ws || ['</s>'] AS q FROM (SELECT conv_id, turn, """ + words("text") + """ AS ws FROM conversations) WHERE len(ws) > 0),
+kj AS (SELECT conv_id, turn, q[i] AS u, q[i + 1] AS v, q[i + 2] AS w FROM (SELECT conv_id, turn, q, unnest(range(1, len(q) - 1)) AS i FROM kt)),
+kl AS (SELECT conv_id, turn, coalesce(kp3.p, coalesce(kg3.g, 1) * coalesce(kp2.p, coalesce(kg2.g, 1) * coalesce(kp1.p, ku.p))) AS p
+       FROM kj LEFT JOIN kp3 USING (u, v, w) LEFT JOIN kg3 USING (u, v) LEFT JOIN kp2 USING (v, w) LEFT JOIN kg2 USING (v) LEFT JOIN kp1 USING (w), ku),
+kn AS (SELECT conv_id, turn, exp(-avg(ln(p))) AS ppl FROM kl GROUP BY ALL)"""
+
+ORACLE_SQL.update(
+    {
+        "judge_validation": w(PAIRS, VALIDATION)
+        + " UNION ALL ".join(
+            f"""SELECT {e}::INTEGER AS epoch, round(avg(loss) FILTER (WHERE NOT val), 6) AS train_loss, round(avg(loss) FILTER (WHERE val), 6) AS val_loss,
+       round(avg(((z > 0) = (label = 1))::INTEGER) FILTER (WHERE val), 6) AS val_accuracy
+FROM (SELECT *, ln(1 + exp(CASE WHEN label = 1 THEN -z ELSE z END)) AS loss FROM z{e})"""
+            for e in range(4)
+        ),
+        "fluency_kn": w(KNSQL) + "SELECT conv_id, turn, round(ppl, 4) AS ppl_kn FROM conversations LEFT JOIN kn USING (conv_id, turn)",
+    }
+)
