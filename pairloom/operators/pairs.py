@@ -96,6 +96,20 @@ def structural_filter(pairs: DataFrame, min_diff: int = 2, max_diff_ratio: float
     return p.where((F.col("dist") >= min_diff) & (F.col("ratio") <= max_diff_ratio)).drop("s", "t", "n_max")
 
 
+def structural_flags(pairs: DataFrame, min_diff: int = 2, max_diff_ratio: float = 0.4) -> DataFrame:
+    """F1 as a column: every pair with ``kept``.  Only pairs that pass the
+    cheap predicates hand their words to the distance."""
+    p = with_word_stats(pairs)
+    gap = F.abs(F.col("n_src") - F.col("n_tgt")) <= F.lit(max_diff_ratio) * F.col("n_max")
+    cand = (F.col("n_src") > 0) & (F.col("n_tgt") > 0) & gap & ((F.col("s") != F.col("t")) | F.lit(min_diff <= 0))
+    p = p.withColumns({"_s": F.when(cand, F.col("s")), "_t": F.when(cand, F.col("t"))}).drop("s", "t")
+    thr = F.floor(F.lit(max_diff_ratio) * F.col("n_max")).cast("int") + F.lit(1)
+    p = word_edit_distance(p.withColumn("_thr", thr), "_s", "_t", out="_d", threshold=F.col("_thr"))
+    p = computed_once(p.drop("_s", "_t", "_thr"), dist=F.col("_d")).drop("_d")
+    kept = (F.col("dist") >= max(min_diff, 0)) & (change_ratio("dist", "n_src", "n_tgt") <= max_diff_ratio)
+    return p.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*pairs.columns, "kept")
+
+
 def edit_distances(pairs: DataFrame) -> DataFrame:
     """C3/C4 for every pair: exact distance and change ratio."""
     p = with_word_stats(pairs)

@@ -94,14 +94,19 @@ def sample_frac(spark, sf_dir):
 
 @query
 def stage_counts(spark, sf_dir):
+    """A1: every count from one pass; what a pair passed travels with it."""
     c = Corpus(spark, sf_dir)
-    docs = c.documents().agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("stage"), "n")
-    pairs = c.pairs().agg(F.count(F.lit(1)).alias("n")).select(F.lit("pairs").alias("stage"), "n")
-    kept = P.structural_filter(c.pairs()).agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("stage"), "n")
-    splits = c.split_pairs().groupBy(F.col("split").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
-    return docs.unionByName(pairs).unionByName(kept).unionByName(splits).select(
-        "stage", F.col("n").cast("bigint").alias("n")
+    flags = S.split_80_10_10(P.structural_flags(c.pairs()), "pair_id")
+    counts = flags.agg(
+        F.count(F.lit(1)).alias("pairs"),
+        F.count(F.when(F.col("kept"), 1)).alias("kept"),
+        *[F.count(F.when(F.col("split") == s, 1)).alias(s) for s in ("train", "val", "test")],
     )
+    docs = c.documents().agg(F.count(F.lit(1)).alias("n")).select("n").scalar()  # from the files' footers
+    stages = ["documents", *counts.columns]
+    rows = counts.withColumn("documents", docs).select(F.expr(f"stack({len(stages)}, {', '.join(f"'{s}', `{s}`" for s in stages)}) AS (stage, n)"))
+    # a split without rows has no count, as in a count by split
+    return rows.where((F.col("n") > 0) | ~F.col("stage").isin("train", "val", "test")).select("stage", F.col("n").cast("bigint").alias("n"))
 
 
 @query
@@ -393,6 +398,8 @@ from pyspark.sql import Window  # noqa: E402
 from pairloom.functions.text import hash_key  # noqa: E402
 from pairloom.operators import encode as EN  # noqa: E402
 from pairloom.operators import logs as LG  # noqa: E402
+from pairloom.session import ensure_checkpoint_dir  # noqa: E402
+from pairloom.sources import sinks as SI  # noqa: E402
 from pairloom.sources import text_tables as TT  # noqa: E402
 
 
@@ -458,3 +465,44 @@ def log_union(spark, sf_dir):
 def tsv_scan(spark, sf_dir):
     """S1 over the lines of every document."""
     return TT.parse_tsv_lines(TT.text_lines(Corpus(spark, sf_dir).documents()))
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """K1 and S3: all pairs written as CSV, with quotes, line breaks and outer
+    blanks in the fields and the columns in another order, read back by name;
+    the raw layout's other columns are absent, hence null."""
+    import uuid
+
+    from pyspark.sql import types as T
+
+    c = Corpus(spark, sf_dir)
+    odd = lambda t: F.concat(F.lit(' "'), F.col(t), F.lit('",\n\t"" ')).alias(t)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairloom-csv-{uuid.uuid4().hex}"
+    SI.write_csv(c.pairs().select(odd("tgt_raw"), F.lit("x").alias("extra"), odd("src_raw"), F.col("pair_id").alias("id")), path)
+    table, message = TT.guarded_read_pairs(spark, path, T.StructType([T.StructField(n, T.StringType()) for n in TT.RAW_COLUMNS]))
+    if table is None:
+        raise RuntimeError(message)
+    return table
+
+
+@query
+def file_status(spark, sf_dir):
+    """The log documents written as one file each, some of them
+    spoiled by rule, read in one scan; how each file fared, and the training
+    steps of the good ones."""
+    import uuid
+
+    c = Corpus(spark, sf_dir)
+    docs = LG.log_documents(_events(spark, sf_dir)).repartition("doc_id")
+    k = F.col("doc_id") % 7
+    spoiled = F.when(k == 1, F.lit("{not json")).when(k == 2, F.lit('{"global_step": 1, "log_history": []}')).otherwise(F.col("json"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairloom-logs-{uuid.uuid4().hex}"
+    docs.where(k != 3).select("doc_id", spoiled.alias("value")).write.partitionBy("doc_id").text(path)
+    # one name per log file, as a caller has them
+    names = [r[0] for r in c.t("events", "event_id").select(F.floor(F.col("event_id") / 1024)).distinct().collect()]
+    good, status = TT.read_logs(spark, {str(n): f"{path}/doc_id={n}" for n in names})
+    steps = LG.explode_log(good.select("name", F.struct("global_step", "log_history").alias("doc")), ["name"])
+    steps = steps.groupBy("name").agg(F.count(F.lit(1)).alias("steps"))
+    out = status.join(steps, "name", "left")
+    return out.select(F.col("name").cast("bigint").alias("doc_id"), "status", "entries", F.coalesce("steps", F.lit(0)).cast("bigint").alias("steps"))

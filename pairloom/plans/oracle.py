@@ -660,3 +660,16 @@ FROM (SELECT *, ln(1 + exp(CASE WHEN label = 1 THEN -z ELSE z END)) AS loss FROM
         "fluency_kn": w(KNSQL) + "SELECT conv_id, turn, round(ppl, 4) AS ppl_kn FROM conversations LEFT JOIN kn USING (conv_id, turn)",
     }
 )
+
+ORACLE_SQL.update(
+    {
+        "csv_round_trip": w(PAIRS)
+        + """SELECT pair_id::VARCHAR AS id, NULL::VARCHAR AS src_tok, NULL::VARCHAR AS tgt_tok, ' "' || src_raw || '",' || chr(10) || chr(9) || '"" ' AS src_raw,
+       ' "' || tgt_raw || '",' || chr(10) || chr(9) || '"" ' AS tgt_raw, NULL::VARCHAR AS pos, NULL::VARCHAR AS parse FROM pairs""",
+        "file_status": w(EVENTS)
+        + """SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'corrupt' WHEN 2 THEN 'empty' WHEN 3 THEN 'missing' ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 7 IN (1, 2, 3) THEN 0 ELSE count(*) END AS entries,
+       CASE WHEN doc_id % 7 IN (1, 2, 3) THEN 0 ELSE count(*) FILTER (WHERE loss IS NOT NULL AND step IS NOT NULL) END AS steps
+FROM ev GROUP BY doc_id""",
+    }
+)

@@ -16,17 +16,20 @@ def write_csv(df: DataFrame, out_dir: str, partition_by: Sequence[str] = ()) ->
     absent), quotes doubled; ``partition_by`` writes one folder per
     value (e.g. split=train) in the same job."""
     w = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    # fields come back as they were: by default the writer trims them
+    w = w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(out_dir)
 
 
 def write_report_csv(df: DataFrame, out_dir: str) -> None:
-    """K2: a small report as one CSV part whose header starts with a UTF-8
-    byte-order mark (for spreadsheets).  Reports only: one task writes, the report itself is
-    computed by as many tasks as before."""
+    """K2: a report as CSV parts whose headers start with a UTF-8 byte-order
+    mark, so each opens in a spreadsheet.  The parts are written in parallel;
+    Spark merges small ones and splits large ones, so a small report is one
+    file and no report has to pass through one task."""
     first = df.columns[0]
-    write_csv(df.withColumnRenamed(first, BOM + first).repartition(1), out_dir)
+    write_csv(df.withColumnRenamed(first, BOM + first).hint("rebalance"), out_dir)
 
 
 def union_ragged(frames: Sequence[DataFrame]) -> DataFrame:

@@ -4,9 +4,11 @@ inference costs a pass over the data."""
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -116,11 +118,97 @@ def read_log_json(spark: SparkSession, path: str) -> tuple[DataFrame | None, str
     return df.drop("_corrupt").withColumn("doc_id", F.input_file_name()), "ok"
 
 
-def read_splits(spark: SparkSession, base_dir: str, names: dict[str, str], schema: T.StructType) -> DataFrame:
-    """Several files in one read, tagged with their split name (only
-    the splits listed are read; the caller leaves out test)."""
+# ---- many files in one scan (S5, S4) -------------------------------------------
+
+def _files(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """(path, uri, bytes) of a file, or of a folder's data files; none if absent."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    found = fs.listStatus(p)
+    out = [(f.getPath(), f.getLen(), f.isFile()) for f in found]
+    return sorted((q.toString(), q.toUri().toString(), size) for q, size, file in out if file and not q.getName().startswith(("_", ".")))
+
+
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The first line of a file, opened through Hadoop, as CSV fields."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")], quotechar='"', doublequote=True), []))
+
+
+def _tag(uris: dict[str, str]) -> Column:
+    """The name under which a row's file was asked for (a local file's uri is
+    written with one slash or with three)."""
+    names = F.create_map(*[F.lit(x) for uri, name in uris.items() for x in (re.sub("^file:/+", "file:/", uri), name)])
+    return F.element_at(names, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"))
+
+
+def read_splits(spark: SparkSession, base_dir: str, names: dict[str, str], schema: T.StructType,
+                required: Sequence[str] = ()) -> DataFrame:
+    """Several CSV files (or folders of parts) as one table, tagged with
+    their split name; the caller leaves out test.  Files with one header are
+    one scan, whatever their number: the tag comes from each row's
+    ``_metadata.file_path``.  Columns are bound by header name; columns that a
+    file lacks are null.  Files that are absent, empty or lack a ``required``
+    column are left out; ``split_status`` says which."""
+    layouts: dict[tuple, list] = {}
+    for split, status, header, files in _layouts(spark, base_dir, names, required):
+        if status == "ok":
+            layouts.setdefault(header, []).extend((path, uri, split) for path, uri in files)
     out = None
-    for split, name in names.items():
-        df = read_csv(spark, f"{base_dir.rstrip('/')}/{name}", schema).withColumn("split", F.lit(split))
+    for header, files in layouts.items():
+        raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+        raw = raw.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv([path for path, _, _ in files])
+        df = raw.select(*[
+            (F.col(f"`{f.name}`") if f.name in header else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        ], _tag({uri: split for _, uri, split in files}).alias("split"))
         out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("split", T.StringType())]))
     return out
+
+
+def _layouts(spark: SparkSession, base_dir: str, names: dict[str, str], required: Sequence[str]):
+    """(split, status, header, files) of every name, from the listing and the headers alone."""
+    for split, name in names.items():
+        files = _files(spark, f"{base_dir.rstrip('/')}/{name}")
+        full = [(path, uri) for path, uri, size in files if size]
+        header = _header(spark, full[0][0]) if full else ()
+        missing = [c for c in required if c not in header]
+        status = "missing" if not files else "empty" if not full else f"lacks {', '.join(missing)}" if missing else "ok"
+        yield split, status, header, full
+
+
+def split_status(spark: SparkSession, base_dir: str, names: dict[str, str], required: Sequence[str] = ("src_raw", "tgt_raw")) -> dict[str, str]:
+    """S3 for several files: missing, empty, lacks ..., or ok, by split name."""
+    return {split: status for split, status, _, _ in _layouts(spark, base_dir, names, required)}
+
+
+def read_logs(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """S4 over many logs, one scan: (documents, status).  ``files`` is {name:
+    path}.  Documents are (name, global_step, log_history) of the logs that
+    have entries; status is (name, status, entries) with a row per name:
+    missing, corrupt (not JSON), empty (no entries) or ok.  A bad log leaves
+    the others alone."""
+    found = {name: _files(spark, path) for name, path in files.items()}
+    uris = {uri: name for name, parts in found.items() for _, uri, _ in parts}
+    schema = T.StructType([*LOG_DOC.fields, T.StructField("_corrupt", T.StringType())])
+    named = spark.createDataFrame([(n, bool(f)) for n, f in found.items()], "name string, there boolean")
+    if uris:
+        raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        raw = raw.json([path for parts in found.values() for path, _, _ in parts]).select(_tag(uris).alias("name"), "global_step", "log_history", "_corrupt")
+    else:
+        raw = spark.createDataFrame([], T.StructType([T.StructField("name", T.StringType()), *schema.fields]))
+    entries = F.coalesce(F.size("log_history"), F.lit(0))
+    read = raw.groupBy("name").agg(F.max(F.col("_corrupt").isNotNull()).alias("bad"), F.sum(entries).alias("n"))
+    status = (F.when(~F.col("there"), "missing").when(F.col("bad"), "corrupt").when(F.coalesce("n", F.lit(0)) == 0, "empty").otherwise("ok"))
+    told = named.join(read, "name", "left").select("name", status.alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("entries"))
+    return raw.where(F.col("_corrupt").isNull() & (entries > 0)).drop("_corrupt"), told

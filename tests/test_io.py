@@ -3,6 +3,7 @@ import os
 import tempfile
 
 from pyspark.sql import types as T
+from pyspark.sql.functions import col as F_col
 
 from pairloom.operators.logs import explode_log
 from pairloom.sources import sinks
@@ -126,3 +127,51 @@ def test_tsv_skips_lines_of_spaces(spark):
 
     lines = spark.createDataFrame([("1\ta",), ("",), ("   ",), ("2\tb",)], "value string")
     assert parse_tsv_lines(lines, columns=["id", "t"]).count() == 2
+
+
+def test_splits_are_one_scan_and_bind_by_header(spark, tmp_path):
+    (tmp_path / "train x.csv").write_text('tgt_raw,src_raw,id\n"n ""1"", a",b1,1\n')
+    (tmp_path / "val.csv").write_text("tgt_raw,src_raw,id\nn2,b2,2\n")
+    (tmp_path / "other.csv").write_text("﻿id,src_raw,tgt_raw,more\n3,b3,n3,z\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "short.csv").write_text("id,src_raw\n4,b4\n")
+    names = {"train": "train x.csv", "val": "val.csv", "more": "other.csv", "none": "empty.csv", "gone": "absent.csv", "short": "short.csv"}
+    need = ("src_raw", "tgt_raw")
+    df = TT.read_splits(spark, str(tmp_path), names, PAIR_SCHEMA, need)
+    assert sorted(map(tuple, df.collect())) == [("1", "b1", 'n "1", a', "train"), ("2", "b2", "n2", "val"), ("3", "b3", "n3", "more")]
+    one = TT.read_splits(spark, str(tmp_path), {"train": "train x.csv", "val": "val.csv"}, PAIR_SCHEMA)
+    assert one._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert TT.split_status(spark, str(tmp_path), names, need) == {
+        "train": "ok", "val": "ok", "more": "ok", "none": "empty", "gone": "missing", "short": "lacks tgt_raw"}
+    assert TT.read_splits(spark, str(tmp_path), {"gone": "absent.csv"}, PAIR_SCHEMA).count() == 0
+
+
+def test_one_bad_log_leaves_the_others(spark, tmp_path):
+    good = {"global_step": 2, "log_history": [{"step": 1, "loss": 0.5}, {"step": 2, "eval_loss": 0.4}]}
+    for name, text in {"good": json.dumps(good, indent=1), "bad": "{not json", "none": '{"log_history": []}', "blank": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    docs, status = TT.read_logs(spark, {n: str(tmp_path / f"{n}.json") for n in ("good", "bad", "none", "blank", "gone")})
+    assert {r.name: (r.status, r.entries) for r in status.collect()} == {
+        "good": ("ok", 2), "bad": ("corrupt", 0), "none": ("empty", 0), "blank": ("empty", 0), "gone": ("missing", 0)}
+    assert [(r.name, len(r.log_history)) for r in docs.collect()] == [("good", 2)]
+    docs, status = TT.read_logs(spark, {"gone": str(tmp_path / "gone.json")})
+    assert docs.count() == 0 and [r.status for r in status.collect()] == ["missing"]
+
+
+def test_report_parts_each_begin_with_the_mark(spark, tmp_path):
+    df = spark.range(0, 40, 1, 4).select(F_col("id").cast("string").alias("ID"))
+    sinks.write_report_csv(df, str(tmp_path / "small"))
+    assert len(list((tmp_path / "small").glob("part-*"))) == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many parts as partitions
+    try:
+        sinks.write_report_csv(df, str(tmp_path / "large"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = list((tmp_path / "large").glob("part-*"))
+    assert len(parts) > 1 and all(p.read_bytes().startswith(b"\xef\xbb\xbfID\n") for p in parts)
+
+
+def test_outer_blanks_survive_csv(spark, tmp_path):
+    df = spark.createDataFrame([("1", "  a ", "\tb\n")], PAIR_SCHEMA)
+    sinks.write_csv(df, str(tmp_path / "o"))
+    assert [tuple(r) for r in TT.read_csv(spark, str(tmp_path / "o"), PAIR_SCHEMA).collect()] == [("1", "  a ", "\tb\n")]

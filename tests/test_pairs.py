@@ -65,3 +65,16 @@ def test_prefilters_do_not_change_result(spark):
 def test_labelled_texts_two_rows_per_pair(spark):
     df = spark.createDataFrame([(1, "s", "t")], "pair_id long, src_raw string, tgt_raw string")
     assert sorted(labelled_texts(df).collect()) == [(1, "s", 1), (1, "t", 0)]
+
+
+def test_flags_agree_with_the_filter(spark):
+    from pairloom.operators.pairs import structural_filter, structural_flags
+
+    base = " ".join(f"w{i}" for i in range(20))
+    texts = [base, base.replace("w3 ", "x "), base.replace("w3 w4", "x y"), "", None, "a b", base + " z" * 30, " ".join(reversed(base.split()))]
+    rows = [(i * 10 + j, "en", a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    pairs = spark.createDataFrame(rows, "pair_id long, lang string, src_raw string, tgt_raw string")
+    for args in ((2, 0.4), (0, 1.0), (1, 0.05)):
+        kept = {r.pair_id for r in structural_filter(pairs, *args).collect()}
+        flags = {r.pair_id: r.kept for r in structural_flags(pairs, *args).collect()}
+        assert len(flags) == len(rows) and {k for k, v in flags.items() if v} == kept
