@@ -316,11 +316,11 @@ def neutralize_rules(spark, sf_dir):
 
 @query
 def model_outputs(spark, sf_dir):
-    return _ev(spark, sf_dir).outputs().select("id", "model", "prediction")
+    return _ev(spark, sf_dir).outputs(materialize=False).select("id", "model", "prediction")
 
 
 def _scores(spark, sf_dir):
-    return _ev(spark, sf_dir).scores()
+    return _ev(spark, sf_dir).prepare(scorers=True).scores()
 
 
 @query
@@ -343,7 +343,7 @@ def leaderboard_display(spark, sf_dir):
 @query
 def inspection_wide(spark, sf_dir):
     ev = _ev(spark, sf_dir)
-    return RP.inspection_wide(ev.examples(), ev.outputs(), MODELS)
+    return RP.inspection_wide(ev.examples(), ev.prepare().outputs(), MODELS)
 
 
 @query

@@ -48,6 +48,40 @@ class Evaluation:
         self.shipped, self._examples, self._pairs = list(shipped), examples, pairs
         self.judge, self.fluency, self.vectors = judge, fluency, vectors
         self._memo: dict[str, DataFrame] = {}
+        self._without_vectors = False
+
+    def prepare(self, scorers: bool = False) -> "Evaluation":
+        """Run what the reports share, once: the split pairs, the dictionary's
+        ranks, the synthetic pairs, the pivot lexicon and the outputs of every
+        model are written; with ``scorers`` the judge and the fluency model are
+        trained too.  After it, building ``outputs``, ``scores`` or a report
+        runs no job: those are plans over the written tables."""
+        if self._examples is None or self.shipped:
+            self.split_pairs()
+        if set(self.shipped) & {"pivot", "synthetic", "few_shot"}:
+            self.dictionary()
+        if set(self.shipped) & {"synthetic", "few_shot"}:
+            self.synthetic_pairs()
+        if set(self.shipped) & {"pivot", "zero_shot"}:
+            self.pivot_lexicon()
+        self.outputs()
+        if scorers:
+            self.scorers()
+        return self
+
+    def scorers(self) -> tuple[J.JudgeModel | None, FL.BigramModel]:
+        """The judge (none without one) and the fluency model, trained once;
+        opens the vector table, if it is readable."""
+        if self.fluency is None:
+            self.fluency = FL.train_bigram(self.c.documents())
+        if self.with_judge and self.judge is None:
+            self.judge = J.train_judge(judge_training(self.c))
+        if self.vectors is None and not self._without_vectors:
+            try:
+                self.vectors = self.c.t(self.embeddings_table, "vec_id", "embedding")
+            except AnalysisException:
+                self._without_vectors = True
+        return (self.judge if self.with_judge else None), self.fluency
 
     def models(self) -> list[str]:
         return self.shipped + [m for m in self.custom if m not in self.shipped]
@@ -162,21 +196,17 @@ class Evaluation:
         return out
 
     def scores(self, outputs: DataFrame | None = None) -> DataFrame:
-        """Style, content and fluency for every (example, model)."""
+        """Style, content and fluency for every (example, model), as a
+        plan; write it where several reports read it."""
         long = self.outputs() if outputs is None else outputs
         ids = ["id", "model"]
-        lm = self.fluency or FL.train_bigram(self.c.documents())
-        if self.with_judge:
-            judge = self.judge or J.train_judge(judge_training(self.c))
+        judge, lm = self.scorers()
+        if judge is not None:
             s = J.score_judge(long, judge, ids, text="prediction")
         else:
             s = long.withColumn("style", F.lit(1))
-        try:
-            emb = self.vectors if self.vectors is not None else self.c.t(self.embeddings_table, "vec_id", "embedding")
-        except AnalysisException:
-            emb = None
-        if emb is None:
+        if self.vectors is None:
             s = s.select("*", *[F.lit(0.0).alias(c) for c in ("p", "r", "f1")])
         else:
-            s = C.content_f1(s, emb, ids, "prediction", "input")
-        return materialized(FL.perplexity(s, lm, ids, text="prediction"), "scores")
+            s = C.content_f1(s, self.vectors, ids, "prediction", "input")
+        return FL.perplexity(s, lm, ids, text="prediction")

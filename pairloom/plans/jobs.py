@@ -19,6 +19,7 @@ from pairloom.operators import report as RP
 from pairloom.operators import rewrite as R
 from pairloom.operators.pairs import structural_filter
 from pairloom.operators.splits import split_80_10_10
+from pairloom.session import materialized
 from pairloom.sources import sinks
 from pairloom.sources.text_tables import read_tsv
 
@@ -63,7 +64,8 @@ def synthesize(pairs_by_split: DataFrame, dictionary: DataFrame, target_lang: st
 def evaluate_and_report(evaluation, out_dir: str, models) -> DataFrame:
     """Writes leaderboard.csv, manual_inspection (BOM) and
     granular_inspection (BOM) folders; returns the leaderboard."""
-    scores = evaluation.scores()  # materialised once, read by both reports
+    evaluation.prepare(scorers=True)
+    scores = materialized(evaluation.scores(), "scores")  # read by both reports
     board = RP.leaderboard(scores)
     sinks.write_csv(RP.leaderboard_display(board).coalesce(1), f"{out_dir}/final_metrics_table")
     sinks.write_report_csv(RP.inspection_wide(evaluation.examples(), evaluation.outputs(), models),

@@ -252,3 +252,24 @@ def test_spark_failures_of_a_model_surface(spark):
     bad = {"typo": lambda examples: examples.select("no_such_column")}
     with pytest.raises(AnalysisException):
         Evaluation(Corpus(spark, SF001), shipped=[], custom_models=bad, examples=gold).outputs()
+
+
+def test_building_reports_runs_no_job(spark):
+    """After ``prepare`` the reports are plans: jobs run at their action only."""
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import MODELS, Evaluation
+    from tests.conftest import SF001
+
+    ev = Evaluation(Corpus(spark, SF001)).prepare(scorers=True)
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "no job expected")
+    try:
+        board = RP.leaderboard(ev.scores())
+        cells = RP.granular_report(RP.example_scores(ev.scores()), MODELS)
+        wide = RP.inspection_wide(ev.examples(), ev.outputs(), MODELS)
+        assert list(sc.statusTracker().getJobIdsForGroup("building")) == []
+        assert board.columns[0] == "model" and wide.columns[0] == "ID"
+        cells.collect()
+        assert len(sc.statusTracker().getJobIdsForGroup("building")) > 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
