@@ -31,7 +31,7 @@ PATTERN = re.compile(
     r"""(?P<secret>(?:(?<=["'=:\s])|^)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,})
         |(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,}(?![0-9A-Za-z]))
       |(?:(?i:api[_-]?key|token|secret|password|passwd|access[_-]?key)\s*[=:]\s*["']?)(?P<assigned>[A-Za-z0-9_/+-]{12,})
-      |(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
+      |(?P<email>(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
       |(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))
       |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
       |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
@@ -40,6 +40,9 @@ PATTERN = re.compile(
         |(?<![\w+.-])(?:\+?\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)|(?<![\w.+-])\d{3}-\d{4}(?![\w-]))
       |(?:(?<!\w)(?P<title>Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Г-н|Г-жа)\.?[ ])(?P<name>[^\W\d_a-zа-яß-ÿ][^\W\d_]+(?:[ ][^\W\d_a-zа-яß-ÿ][^\W\d_]+)?)""",
     re.X)
+#: an address that begins where another entity ends; elsewhere addresses begin
+#: where their run of characters does, so a long run is read once
+REST = re.compile(r"[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 #: characters without which none of the patterns can match
 HINT = re.compile(r"[0-9@=:]|\b(?:M[rsi]|Herr|Frau|Monsieur|Madame|Señor|Г-)")
 KINDS = ("secret", "assigned", "email", "ip", "iban", "ssn", "card", "phone", "name")
@@ -61,6 +64,12 @@ def luhn(digits: list[int]) -> bool:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def iban_check(text: str) -> int:
+    """The number modulo 97 with its first four characters last: 1 if valid."""
+    packed = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97
+
+
 class Surrogates:
     """Keyed surrogates; ``redrawn`` maps (kind, canonical form) to the number
     of the draw that avoids a collision."""
@@ -149,8 +158,12 @@ class Surrogates:
         if kind == "email":
             at, dot = text.rindex("@"), text.rindex(".")
             return self._letters(tweak, text[:at], True) + "@" + self._letters(tweak + "domain", text[at + 1 : dot], True) + text[dot:]
-        if kind == "name":
-            return " ".join(self._name(tweak, w, gender) for w in text.split(" "))
+        if kind == "name":  # word by word, so a later mention by one word agrees
+            return " ".join(self._name(f"name{self.redrawn.get((kind, w.lower()), 0)}", w, gender) for w in text.split(" "))
+        if kind == "iban" and iban_check(text) == 1:  # the check digits follow the new number
+            new = self._spaced(tweak, text)
+            digits = f"{98 - iban_check(new[:2] + '00' + new[4:]):02d}"
+            return new[:2] + digits + new[4:]
         if kind == "iban":
             return text[:2] + self._letters(tweak, text[2:].replace(" ", ""), False) if " " not in text else self._spaced(tweak, text)
         prefix = re.match(r"AKIA|gh[pousr]_|sk-", text)
@@ -177,12 +190,36 @@ class Surrogates:
 
 
 def entities(text: str):
-    """(kind, start, end, gender) of the entities of a text, left to right."""
+    """(kind, start, end, gender) of the entities of a text, left to right.
+    A word of a name found after a title is a name wherever else it stands
+    alone in the text, with the gender of the first title."""
     if not HINT.search(text):
         return
+    found, words = [], {}
     for m in PATTERN.finditer(text):
         kind = m.lastgroup if m.lastgroup != "title" else "name"
-        yield kind, m.start(kind), m.end(kind), GENDER.get(m["title"] or "", "")
+        gender, start, end = GENDER.get(m["title"] or "", ""), m.start(kind), m.end(kind)
+        if found and found[-1][2] > start:  # an address that went on behind the entity before
+            continue
+        if kind == "name":
+            for w in m["name"].split(" "):
+                gender = words.setdefault(w, gender) or gender
+        found.append((kind, start, end, gender))
+        rest = REST.match(text, end) if kind != "email" else None
+        if rest:
+            found.append(("email", end, rest.end(), ""))
+    if not words:
+        yield from found
+        return
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, words), key=len, reverse=True))})(?!\w)")
+    at = 0
+    for entity in [*found, ("", len(text), len(text), "")]:
+        for m in again.finditer(text, at, entity[1]):
+            if not text[m.end():m.end() + 1].isalnum():
+                yield "name", m.start(), m.end(), words[m[0]]
+        if entity[0]:
+            yield entity
+        at = entity[2]
 
 
 def replace(text: str, names: Surrogates) -> tuple[str, int]:
@@ -198,7 +235,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = sorted({(k, t[s:e], g) for t in b.column(1).to_pylist() for k, s, e, g in entities(t)})
+            # a name is known by its words
+            found = sorted({(k, w, g) for t in b.column(1).to_pylist() for k, s, e, g in entities(t) for w in (t[s:e].split(" ") if k == "name" else [t[s:e]])})
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in map(list, zip(*found))], names=["kind", "entity", "gender"])
 

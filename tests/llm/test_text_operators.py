@@ -180,11 +180,55 @@ def test_pii_surrogates(spark):
     assert {k: v or "" for k, v in same.items()} == {k: v[0] for k, v in got.items()}
 
 
-def test_pii_collisions_are_found(spark):
+def test_pii_collisions_are_found(spark, monkeypatch):
     from pairloom.llm import pii
 
-    df = spark.createDataFrame([("name", "Ab", ""), ("name", "Cd", "")], "kind string, entity string, gender string")
+    schema = "kind string, entity string, gender string"
+    df = spark.createDataFrame([("name", "Ab", ""), ("name", "Cd", "")], schema)
     assert pii.collisions(df, b"k", {}) == []
+    # surrogates that coincide at the first draw and differ at the next
+    first = lambda self, kind, text, gender="": "one" if not self.redrawn.get((kind, self.canonical(kind, text))) else f"two {text}"
+    monkeypatch.setattr(pii.Surrogates, "surrogate", first)
+    df = spark.createDataFrame([("email", "a@x.org", ""), ("email", "b@x.org", ""), ("email", "A@x.org", ""), ("ip", "1.2.3.4", "")], schema)
+    assert [tuple(r) for r in pii.collisions(df, b"k", {})] == [("email", "b@x.org")]
+    docs = spark.createDataFrame([(1, "a@x.org and b@x.org"), (2, "b@x.org")], "doc_id long, text string")
+    assert pii.keyed(docs, b"k") == {("email", "b@x.org"): 1}
+
+
+def test_pii_names_propagate_within_a_text():
+    from pairloom.llm.pii import Surrogates, entities, replace
+
+    names = Surrogates(b"k")
+    text = "Mr. John Smith met us. John called; Smith paid, Johnson and Smith_2 did not. Mrs. Anna Ross saw Anna."
+    got, n = replace(text, names)
+    first, last = got.split(" ")[1:3]
+    assert n == 5 and first != "John" and last != "Smith"
+    assert f"us. {first} called; {last} paid, Johnson and Smith_2 did not" in got and "John " not in got
+    assert got.count(names.surrogate("name", "Anna", "f")) == 2
+    assert replace("John called; Smith paid.", names)[1] == 0  # no title in this text
+    assert [e[0] for e in entities("token=abcdefabcdef.x@y.com")] == ["assigned", "email"]
+
+
+def test_pii_ibans_stay_valid():
+    from pairloom.llm.pii import Surrogates, iban_check, replace
+
+    names = Surrogates(b"k")
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"):
+        got = replace(f"to {iban} today", names)[0][3:-6]
+        assert iban_check(iban) == iban_check(got) == 1 and got != iban and len(got) == len(iban) and got[:2] == iban[:2]
+    bad = replace("to DE88 3704 0044 0532 0130 00 today", names)[0]
+    assert "DE88 3704" not in bad
+
+
+def test_pii_is_linear_in_long_runs():
+    import time
+
+    from pairloom.llm.pii import Surrogates, replace
+
+    t = time.process_time()
+    for run in ("x1" * 500_000, "a.b-" * 250_000, "1" * 1_000_000, "x@" * 400_000, "Mr. Ab " * 10_000):
+        replace(run, Surrogates(b"k"))
+    assert time.process_time() - t < 60
 
 
 def test_url_filter(spark):
