@@ -493,16 +493,10 @@ NEAR = """
 nw AS (SELECT pair_id, unnest(s) AS word, 1 AS a, 0 AS b FROM stats UNION ALL SELECT pair_id, unnest(t), 0, 1 FROM stats),
 nc AS (SELECT pair_id, sum(least(a, b)) AS common FROM (SELECT pair_id, word, sum(a) AS a, sum(b) AS b FROM nw GROUP BY ALL) GROUP BY ALL),
 near AS (SELECT stats.* FROM stats JOIN nc USING (pair_id) WHERE 10 * common >= 6 * n_max)"""
-NEAR_DIST = DIST.replace("FROM stats", "FROM near").replace("stats.", "near.")
-
-# The whole distance table of every kept pair, one row per anti-diagonal; a
-# letter per cell says where the alignment comes from (match or substitution
-# before deletion before insertion), and a fold from the last diagonal to the
-# first reads the path.
-EDITS = """
-eq AS (SELECT k.pair_id, k.lang, df.pre, dq.s, dq.t, len(dq.s) AS n, len(dq.t) AS m, k.s AS ws, k.t AS wt
-       FROM kept k JOIN df USING (pair_id) JOIN dq USING (pair_id)),
-es AS MATERIALIZED (SELECT pair_id, s::INTEGER[] AS s, t::INTEGER[] AS t, n, m FROM eq),
+# The trimmed word codes of the near pairs, then the whole distance table of
+# each, one row per anti-diagonal; its last cell is the distance.
+NEAR_DIST = DIST[: DIST.index("dp(pair_id")].replace("FROM stats", "FROM near") + """
+es AS MATERIALIZED (SELECT pair_id, s::INTEGER[] AS s, t::INTEGER[] AS t, len(s) AS n, len(t) AS m FROM dq),
 ft(pair_id, d, p1, p2) AS (
   SELECT pair_id, 1, [1, 1]::INTEGER[], [0]::INTEGER[] FROM es WHERE n > 0 AND m > 0
   UNION ALL
@@ -515,12 +509,21 @@ ft(pair_id, d, p1, p2) AS (
     p1
   FROM ft f JOIN es USING (pair_id) WHERE d < n + m
 ),
+dist AS MATERIALIZED (SELECT es.pair_id, coalesce(ft.p1[1], greatest(n, m))::INTEGER AS dist
+                      FROM es LEFT JOIN ft ON ft.pair_id = es.pair_id AND ft.d = es.n + es.m),
+ed AS (SELECT near.*, dist.dist, dist.dist::DOUBLE / nullif(near.n_max, 0) AS ratio FROM near JOIN dist USING (pair_id))"""
+
+# A letter per cell says where the alignment comes from (match or substitution
+# before deletion before insertion), and a fold from the last diagonal to the
+# first reads the path.
+EDITS = """
+eq AS MATERIALIZED (SELECT k.pair_id, k.lang, df.pre, n, m, k.s AS ws, k.t AS wt FROM kept k JOIN df USING (pair_id) JOIN es USING (pair_id)),
 fo AS (SELECT a.pair_id, a.d, n, m, array_to_string(list_transform(range(greatest(0, a.d - m), least(n, a.d) + 1),
       lambda i: CASE WHEN i = 0 THEN 'I' WHEN i = a.d THEN 'D'
         WHEN s[i] = t[a.d - i] AND b.p2[i - greatest(0, a.d - 2 - m)] = a.p1[i - greatest(0, a.d - m) + 1] THEN 'M'
         WHEN s[i] <> t[a.d - i] AND b.p2[i - greatest(0, a.d - 2 - m)] + 1 = a.p1[i - greatest(0, a.d - m) + 1] THEN 'S'
         WHEN a.p2[i - greatest(0, a.d - 1 - m)] + 1 = a.p1[i - greatest(0, a.d - m) + 1] THEN 'D' ELSE 'I' END), '') AS ops
-    FROM ft a JOIN es USING (pair_id) LEFT JOIN ft b ON b.pair_id = a.pair_id AND b.d = a.d - 1),
+    FROM ft a SEMI JOIN kept USING (pair_id) JOIN es USING (pair_id) LEFT JOIN ft b ON b.pair_id = a.pair_id AND b.d = a.d - 1),
 fl AS (SELECT pair_id, n, m, list({'i': d::BIGINT, 'j': 0::BIGINT, 'p': ops} ORDER BY d DESC) AS ds FROM fo GROUP BY ALL),
 fp AS (SELECT pair_id, list_reduce(ds, lambda acc, x: CASE WHEN acc.i + acc.j <> x.i THEN acc ELSE
           {'i': acc.i - (substr(x.p, (acc.i - greatest(0, x.i - m) + 1)::BIGINT, 1) <> 'I')::BIGINT,
