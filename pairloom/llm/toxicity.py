@@ -80,14 +80,15 @@ def fit_ordinal(words: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], gr
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on about ``train_rows`` labelled documents, one per distinct text.
-    ``labels``: doc_id, toxic (0 or 1; null rows are left out)."""
+    """Fit on about ``train_rows`` labelled documents, one per distinct text;
+    of several labels of an id or a text the highest counts.  ``labels``:
+    doc_id, toxic (0 or 1; null rows are left out)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     dice = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20))
     picked = known.where(dice < int((1 << 20) * min(1.0, train_rows / max(1, total))))
     # at most about train_rows rows: the bound is the parameter
-    rows = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     def spread(batches):
         h = WordHashes()

@@ -146,6 +146,19 @@ def test_toxicity_held_out_and_edges(spark, docs):
     assert len(none) == docs.count() and not any(r["toxic"] for r in none)
 
 
+def test_toxicity_label_ties(spark):
+    """Two labels of one text, or of one id: the highest counts, on any partitioning."""
+    from pairloom.llm.toxicity import train
+
+    texts = [f"fine words number {i} here" for i in range(40)] + [f"vile filth vile number {i}" for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts))], "doc_id long, text string")
+    labels = [(i, int(i >= 40)) for i in range(80)] + [(100 + i, 0) for i in range(80)] + [(50, 0), (60, None)]
+    df = spark.createDataFrame(labels, "doc_id long, toxic int")
+    models = [train(docs.repartition(n), df.repartition(n)) for n in (1, 9)]
+    assert len(models[0].words) > 0 and (models[0].words == models[1].words).all()
+    np.testing.assert_allclose(models[0].weights, models[1].weights)
+
+
 def test_ordinal_thresholds_share_weights():
     from pairloom.llm.toxicity import fit_ordinal
 
