@@ -144,11 +144,18 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([(line or "").removeprefix("\ufeff")], quotechar='"', doublequote=True), []))
 
 
+def _uri(uri: str) -> str:
+    """A local file's uri is written with one slash or with three."""
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def _row_uri() -> Column:
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")
+
+
 def _tag(uris: dict[str, str]) -> Column:
-    """The name under which a row's file was asked for (a local file's uri is
-    written with one slash or with three)."""
-    names = F.create_map(*[F.lit(x) for uri, name in uris.items() for x in (re.sub("^file:/+", "file:/", uri), name)])
-    return F.element_at(names, F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"))
+    """The name under which a row's file was asked for, of a few names."""
+    return F.element_at(F.create_map(*[F.lit(x) for uri, name in uris.items() for x in (_uri(uri), name)]), _row_uri())
 
 
 def read_splits(spark: SparkSession, base_dir: str, names: dict[str, str], schema: T.StructType,
@@ -199,12 +206,13 @@ def read_logs(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, Da
     missing, corrupt (not JSON), empty (no entries) or ok.  A bad log leaves
     the others alone."""
     found = {name: _files(spark, path) for name, path in files.items()}
-    uris = {uri: name for name, parts in found.items() for _, uri, _ in parts}
+    uris = [(_uri(uri), name) for name, parts in found.items() for _, uri, _ in parts]
     schema = T.StructType([*LOG_DOC.fields, T.StructField("_corrupt", T.StringType())])
     named = spark.createDataFrame([(n, bool(f)) for n, f in found.items()], "name string, there boolean")
     if uris:
         raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        raw = raw.json([path for parts in found.values() for path, _, _ in parts]).select(_tag(uris).alias("name"), "global_step", "log_history", "_corrupt")
+        raw = raw.json([path for parts in found.values() for path, _, _ in parts]).withColumn("_uri", _row_uri())
+        raw = raw.join(spark.createDataFrame(uris, "_uri string, name string"), "_uri").select("name", "global_step", "log_history", "_corrupt")
     else:
         raw = spark.createDataFrame([], T.StructType([T.StructField("name", T.StringType()), *schema.fields]))
     entries = F.coalesce(F.size("log_history"), F.lit(0))
