@@ -148,7 +148,12 @@ def _places(texts: DataFrame, group_cols: Sequence[str], max_phrase: int) -> Dat
         lambda k: F.struct(left(i).alias("left"), _phrase(F.slice(F.col("_s"), i + 1, k)).alias("phrase")),
     )
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_s")), at))
-    return texts.select(*group_cols, F.inline(every)).groupBy(*group_cols, "left", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    # null groups meet nothing; stated here, so the joins' own conditions add
+    # nothing and both of them share one pass
+    places = texts.select(*group_cols, F.inline(every))
+    for c in (*group_cols, "left", "phrase"):
+        places = places.where(F.col(c).isNotNull())
+    return places.groupBy(*group_cols, "left", "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
 def learn_rules(pairs: DataFrame, group_cols: Sequence[str] = (), min_support: int = 2, min_rate: float = 0.5,
@@ -169,7 +174,8 @@ def learn_rules(pairs: DataFrame, group_cols: Sequence[str] = (), min_support: i
     best = best.select(*g, "left", "phrase", F.col("b.to").alias("to"), (-F.col("b.h")).alias("hits")).where(F.col("hits") >= min_support)
     x = computed_once(pairs.select(*g, "src_raw"), _s=words("src_raw")).where(F.col("_s").isNotNull()).select(*g, "_s")
     exact = _places(x, g, max_phrase)
-    anywhere = exact.where(F.col("phrase") != "").groupBy(*g, "phrase").agg(F.sum("n").alias("n"))
+    # (no rule without context has an empty phrase)
+    anywhere = exact.groupBy(*g, "phrase").agg(F.sum("n").alias("n"))
     found = best.where(F.col("left").isNotNull()).join(exact, [*g, "left", "phrase"]).select(*best.columns, "n")
     free = best.where(F.col("left").isNull()).join(anywhere, [*g, "phrase"]).select(*best.columns, "n")
     rules = found.unionByName(free).withColumn("rate", F.col("hits") / F.col("n"))
