@@ -8,6 +8,7 @@ from pairloom.operators import content as C
 from pairloom.operators import edits as ED
 from pairloom.operators import fluency as FL
 from pairloom.operators import fluency_kn as KN
+from pairloom.operators import pairs as P
 from pairloom.operators import rewrite as R
 from pairloom.session import ensure_checkpoint_dir
 
@@ -21,6 +22,21 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_texts_of_buckets_are_not_dealt_out_again(spark):
+    rows = [(i, "en", f"one two three four five {i}") for i in (1, 2, 5, 9, 9, 12)] + [(3, "en", "six seven eight nine ten x")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    pairs = P.revision_pairs(df, bucket_ids=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.pair_id, r.src_raw.split()[-1], r.tgt_raw.split()[-1]) for r in pairs.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(lang" in plan
+    assert got == [(2, "1", "2"), (5, "2", "5"), (9, "5", "9"), (9, "9", "9"), (12, "9", "12")]
+
+
 def test_kneser_ney_writes_its_counts_only(spark):
     folder = ensure_checkpoint_dir(spark).removeprefix("file://")
     before = set(os.listdir(folder))
