@@ -99,3 +99,22 @@ def test_places_of_phrases_are_counted_once(spark):
     assert "ReusedExchange" in executed(rules)
     got = {(r.lang, r.left, r.phrase): (r.to, r.hits, r.places) for r in rules.collect()}
     assert got == {("fr", "a", "b"): ("x", 2, 2), ("fr", None, "b"): ("x", 2, 2)}
+
+
+def test_scorers_read_the_outputs_not_each_other(spark):
+    from pairloom.operators import judge as J
+    from pairloom.operators import report as RP
+    from pairloom.plans.corpus import Corpus
+    from pairloom.plans.evaluation import Evaluation
+
+    texts = spark.createDataFrame([(1, "a b", 1), (2, "a c c", 0)], "doc_id long, text string, label int")
+    ex = spark.createDataFrame([(1, "fr", "a b", "a"), (2, "fr", "c", None), (None, "fr", " ", "b")], "id long, lang string, input string, gold string")
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    ev = Evaluation(Corpus(spark, "/nowhere"), shipped=[], examples=ex, judge=J.train_judge(texts), fluency=FL.train_bigram(texts),
+                    vectors=vectors, custom_models={"own": lambda e: e.select("id", F.col("input").alias("prediction"))})
+    scores = ev.scores()
+    for df in (RP.leaderboard(scores), RP.granular_report(RP.example_scores(scores), ["own"])):
+        assert optimized(df).count("FlatMapCoGroupsInPandas") == 1
+    got = {r.id: r for r in scores.collect()}
+    assert (got[1].style, round(got[1].f1, 9), round(got[2].f1, 9), got[None].f1) == (1, 1.0, 1.0, 0.0)
+    assert got[1].ppl > 1 and got[None].ppl is None
