@@ -10,6 +10,7 @@ from pairloom.operators import fluency as FL
 from pairloom.operators import fluency_kn as KN
 from pairloom.operators import pairs as P
 from pairloom.operators import rewrite as R
+from pairloom.operators import splits as S
 from pairloom.session import ensure_checkpoint_dir
 
 
@@ -118,3 +119,42 @@ def test_scorers_read_the_outputs_not_each_other(spark):
     got = {r.id: r for r in scores.collect()}
     assert (got[1].style, round(got[1].f1, 9), round(got[2].f1, 9), got[None].f1) == (1, 1.0, 1.0, 0.0)
     assert got[1].ppl > 1 and got[None].ppl is None
+
+
+def test_words_of_a_block_meet_their_changes_once(spark):
+    df = spark.createDataFrame([(i if i % 5 else None, "the cat" if i % 2 else "the dog", f"w{i}") for i in range(40)], "id long, s string, other string")
+    changes = spark.createDataFrame([("the", "le"), ("dog", None)], "word string, to string")
+    for chars in (1 << 22, 20):  # one block and many
+        out = R.rewrite_words(df, "id", {"s": "t"}, changes, block_chars=chars)
+        plan = optimized(out)
+        assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan
+        exp = sorted((f"w{i}", "le cat" if i % 2 else "le") for i in range(40))
+        assert sorted((r.other, r.t) for r in out.collect()) == exp and out.columns == ["id", "s", "other", "t"]
+    # texts of one id each go by their own words and languages
+    twice = spark.createDataFrame([(1, "fr", "a b"), (1, "de", "a b"), (1, None, "a b")], "id long, lang string, s string")
+    own = spark.createDataFrame([("fr", "a", "A"), ("de", "b", "B")], "lang string, word string, to string")
+    got = {r.lang: r.t for r in R.rewrite_words(twice, "id", {"s": "t"}, own, ["lang"]).collect()}
+    assert got == {"fr": "A b", "de": "a B", None: "a b"}
+
+
+def test_a_sample_deals_out_the_last_bucket_only(spark):
+    df = spark.createDataFrame([(i, "x" * 50) for i in range(500)], "id long, text string")
+    got = S.sample_frac(df, 0.3, "id")
+    exp = S.global_rank(df, "id").where("_rank < 150")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in exp.collect()) and got.columns == ["id", "text"]
+    plan = optimized(got)
+    assert plan.index("Union") < plan.index("Window [row_number()")
+    assert S.sample_frac(df, 0.0, "id").count() == 0 and S.sample_frac(df, 1.0, "id").count() == 500
+    twice = spark.createDataFrame([(7, i) for i in range(10)], "id long, k long")  # one bucket
+    assert S.sample_frac(twice, 0.3, "id").count() == 3
+
+
+def test_inspection_deals_the_outputs_once(spark):
+    from pairloom.operators import report as RP
+
+    ex = spark.createDataFrame([(1, "a", "A"), (2, "b", None), (3, "c", "C"), (None, "d", "D")], "id long, input string, gold string")
+    outs = spark.createDataFrame([(1, "m", "x"), (1, "n", "y"), (2, "m", None), (9, "m", "z"), (1, "other", "q")], "id long, model string, prediction string")
+    wide = RP.inspection_wide(ex, outs, ["m", "n"])
+    assert "Generate explode" not in optimized(wide)
+    got = sorted(tuple(r) for r in wide.collect())
+    assert got == [(1, "a", "A", "x", "y"), (2, "b", None, "", ""), (3, "c", "C", "", "")]
