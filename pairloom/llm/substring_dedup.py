@@ -11,8 +11,8 @@ meet, and each bucket is sorted on its own:
 2. *Equal stretches.*  Of runs with the same bytes all but the first are
    removed whole; tasks do this within their own batches before the shuffle,
    so a passage that a third of all documents holds arrives once per batch.
-3. *Difference cover.*  Where runs of one anchor differ, their bytes are
-   fetched and their suffixes sorted one bucket at a time: by the first and
+3. *Difference cover.*  Where runs of one anchor differ, their places are
+   joined with the texts for their bytes, and their suffixes sorted one bucket at a time: by the first and
    last 32 bytes, and long ties by ranks of a difference-cover sample.  Of any
    two suffixes i, j some d < 32 puts i + d and j + d both in the sample, and
    equal ranks there (over 68 bytes) close the gap between both ends.  Memory is
@@ -20,7 +20,8 @@ meet, and each bucket is sorted on its own:
 4. An anchor with more than ``HOT`` different runs (one line in very many
    documents) is spread by its windows instead, with a map-side minimum.
 
-Documents are read twice and their text is shuffled once, for the result."""
+Documents are read twice and their text is shuffled once, for the bytes and for
+the result."""
 
 from __future__ import annotations
 
@@ -31,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom.llm.common import mix, stored
+from pairloom.session import collect_garbage
 
 LENGTH, GRAM, COVER = 100, 32, 32
 RUN = LENGTH - GRAM + 1      # windows that one anchor can serve
 TIE = LENGTH - GRAM          # bytes a cover rank compares
 BUCKET_RUNS = 20_000         # runs sorted together (about 3 MB)
 HOT = 20_000                 # different runs of one anchor beyond which windows are spread
-MAP_BITS = 1 << 26           # 8 MB: which runs the second reading fetches
 LAST = (1 << 63) - 1         # place of a null id: after all others
 M32, M7 = (1 << 32) - 1, (1 << 7) - 1
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -126,46 +127,47 @@ def _batch_runs(batch: pa.RecordBatch):
 
 def _scan(batches):
     """Runs to be dealt by anchor.  Of equal runs in one batch only the first
-    is dealt; the others are marked removed (bit 7 of pos) and spread."""
+    is dealt; the others are marked removed (bit 7 of pos) and spread, neighbours
+    of one text as one, with their windows in place of ctx."""
     for batch in batches:
-        key, ctx, doc, pos, _ = _batch_runs(batch)
+        key, ctx, doc, pos, row = _batch_runs(batch)
         order = np.lexsort((pos, doc, ctx))
-        key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
+        key, ctx, doc, pos, row = key[order], ctx[order], doc[order], pos[order], row[order]
         head = np.flatnonzero(np.diff(ctx, prepend=ctx[:1] ^ 1)) if len(ctx) else np.zeros(0, np.int64)
         first = np.repeat(head, np.diff(head, append=len(ctx)))
         gone = (doc != doc[first]) | (pos != pos[first])
-        pos = pos | (gone.astype(np.int64) << 7)
-        key = np.where(gone, mix((doc ^ (pos << 5)).view(np.uint64)).view(np.int64), key)
+        mine = np.flatnonzero(gone)
+        mine = mine[np.lexsort((pos[mine], row[mine]))]
+        p, cnt = pos[mine], pos[mine] & M7
+        begins = np.ones(len(mine), bool)
+        begins[1:] = (row[mine][1:] != row[mine][:-1]) | ((p >> 8)[1:] != (p >> 8)[:-1] + cnt[:-1])
+        head = np.flatnonzero(begins)
+        p, d = (p[head] & ~M7) | 128, doc[mine][head]
+        windows = np.add.reduceat(cnt, head) if len(head) else cnt
+        spread = mix((d ^ (p << 5)).view(np.uint64)).view(np.int64)
+        key, ctx, doc, pos = (np.concatenate([x, y[~gone]]) for x, y in ((spread, key), (windows, ctx), (d, doc), (p, pos)))
         for at in range(0, len(key), 100_000):
             cut = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (key, ctx, doc, pos)], names=["key", "ctx", "doc_id", "pos"])
 
 
-def _place(ctx, doc, pos):
-    """Bit of a run in the map of runs to fetch (Spark and numpy alike)."""
-    return (ctx ^ (doc << 13) ^ (pos >> 7)) & (MAP_BITS - 1)
-
-
-def _fetch(held: bytes):
-    def run(batches):
-        bits = np.frombuffer(held, np.uint8)
-        for batch in batches:
-            key, ctx, doc, pos, row = _batch_runs(batch)
-            p = _place(ctx, doc, pos)
-            take = np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1)
-            data = batch.column(2)
-            for at in range(0, len(take), 20_000):
-                t = take[at : at + 20_000]
-                lo, cnt = (pos[t] >> 8) & ((1 << 36) - 1), pos[t] & M7
-                got, was, raw = [], -1, None
-                for r, a, c in zip(row[t].tolist(), lo.tolist(), cnt.tolist()):
-                    if r != was:
-                        raw, was = data[r].as_py(), r
-                    got.append(raw[a : a + c + LENGTH - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(key[t]), pa.array(doc[t]), pa.array(pos[t]), pa.array(got, pa.binary())],
-                                                 names=["key", "doc_id", "pos", "run"])
-
-    return run
+def _fetch(batches):
+    """The bytes of each text's open runs."""
+    for batch in batches:
+        data, wanted = batch.column(1), batch.column(2)
+        keys, docs, places, got = [], [], [], []
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            raw = data[i].as_py()
+            for x in wanted[i].as_py():
+                at, cnt = (x["pos"] >> 8) & ((1 << 36) - 1), x["pos"] & M7
+                keys.append(x["key"])
+                docs.append(doc)
+                places.append(x["pos"])
+                got.append(raw[at : at + cnt + LENGTH - 1])
+        for at in range(0, len(keys), 20_000):
+            cut = slice(at, at + 20_000)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[cut], pa.int64()) for x in (keys, docs, places)], pa.array(got[cut], pa.binary())],
+                                             names=["key", "doc_id", "pos", "run"])
 
 
 def repeated(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, data: list[bytes], cover=None) -> list[np.ndarray]:
@@ -248,10 +250,11 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 
 def _spread(hot_runs: DataFrame) -> DataFrame:
     """Removed windows of anchors with very many different runs: the first
-    place of each window by a map-side minimum, all other places go."""
+    place of each window by a map-side minimum, all other places go.  Windows
+    are known by their MD5, a sixth of their bytes."""
     lo, cnt = F.shiftright("pos", 8), F.col("pos").bitwiseAND(F.lit(M7)).cast("int")
     w = hot_runs.select("doc_id", "pos", lo.alias("when"), F.explode(F.sequence(F.lit(0), cnt - 1)).alias("i"), "run").select(
-        "doc_id", (F.col("when") + F.col("i")).alias("when"), F.expr(f"substring(run, i + 1, {LENGTH})").alias("window"))
+        "doc_id", (F.col("when") + F.col("i")).alias("when"), F.unhex(F.md5(F.expr(f"substring(run, i + 1, {LENGTH})"))).alias("window"))
     w = stored(w, "hot-windows")
     first = stored(w.groupBy("window").agg(F.min(F.struct("doc_id", "when")).alias("first")), "hot-first")
     gone = w.join(first, "window").where("first.doc_id <> doc_id or first.when <> when")
@@ -268,7 +271,8 @@ def _cut(batches):
             spans = batch.column(2)[i].as_py() or []
             kept, removed, count, end = hashlib.sha256(), 0, 0, 0
             reach = -1
-            for s, e in sorted((x["s"], x["e"]) for x in spans):
+            for x in sorted(spans):
+                s, e = x >> 32, x & M32
                 if s > reach:
                     kept.update(raw[end:s])
                     count += 1
@@ -295,29 +299,32 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = (dealt.withColumn("first", F.rank().over(same) == 1)
             .withColumn("n_ctx", F.sum(F.col("first").cast("int")).over(anchor))
             .where(flagged | ~F.col("first") | (F.col("n_ctx") > 1)))
-    rows = stored(rows.select("key", "ctx", "doc_id", "pos", (~flagged & F.col("first")).alias("open"), F.col("n_ctx").cast("int").alias("n_ctx")), "runs")
+    # what is removed by now is a place; only open runs are met by key again
+    open_ = ~flagged & F.col("first")
+    windows = F.when(flagged, F.col("ctx")).otherwise(F.col("pos").bitwiseAND(F.lit(M7)))
+    rows = stored(rows.select(F.when(open_, F.col("key")).alias("key"), "doc_id", "pos", F.when(~open_, windows).alias("windows"),
+                              F.when(open_, F.col("n_ctx").cast("int")).alias("n_ctx")), "runs")
+    collect_garbage(df.sparkSession)
     lo = F.shiftright("pos", 8).bitwiseAND(F.lit((1 << 36) - 1))
-    spans = rows.where("not open").select("doc_id", F.shiftright("pos", 44).alias("tag"), lo.alias("s"),
-                                          (lo + F.col("pos").bitwiseAND(F.lit(M7)) + (LENGTH - 1)).alias("e"))
-    open_ = rows.where("open")
+    spans = rows.where(F.col("windows").isNotNull()).select(
+        "doc_id", F.shiftright("pos", 44).alias("tag"), lo.alias("s"), (lo + F.col("windows") + (LENGTH - 1)).alias("e"))
+    open_ = rows.where(F.col("windows").isNull())
     n_open = open_.count()
     if not n_open:
         return spans
-    place = F.col("ctx").bitwiseXOR(F.shiftleft("doc_id", 13)).bitwiseXOR(F.shiftright("pos", 7)).bitwiseAND(F.lit(MAP_BITS - 1)) + 1
-    held = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in (open_.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-              .collect()):  # at most MAP_BITS / 32,768 rows of 4 KB
-        held[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    fetched = docs.mapInArrow(_fetch(held.tobytes()), "key long, doc_id long, pos long, run binary")
+    wanted = open_.groupBy("doc_id", F.shiftright("pos", 44).alias("tag")).agg(F.collect_set(F.struct("key", "pos")).alias("open"))
+    # the same shuffle of the texts as that of the result
+    fetched = docs.join(wanted, ["doc_id", "tag"]).select("doc_id", "data", "open").mapInArrow(_fetch, "key long, doc_id long, pos long, run binary")
     hot = open_.where(F.col("n_ctx") > HOT).select("key").distinct()
     buckets = max(1, n_open // BUCKET_RUNS)
     if not hot.isEmpty():
         fetched = stored(fetched, "fetched")
+        collect_garbage(df.sparkSession)
         spans = spans.unionByName(_spread(fetched.join(hot, "key", "left_semi")))
         fetched = fetched.join(hot, "key", "left_anti")
     sorted_ = (fetched.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
                .groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, tag long, s long, e long"))
-    return spans.unionByName(stored(sorted_, "sorted"))
+    return spans.unionByName(sorted_)
 
 
 def _tagged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -337,7 +344,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives no rows."""
     spans = removed_spans(df, id_col, text_col)
     # one row per document with runs to cut; a repeated row gives its runs twice
-    per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    span = F.shiftleft("s", 32).bitwiseOR(F.col("e"))  # a text has under 2 GB
+    per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(span).alias("spans"))
     rows = _tagged(df, id_col, text_col).join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "data", "spans")
     out = rows.mapInArrow(_cut, SCHEMA)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

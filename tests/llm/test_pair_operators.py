@@ -119,6 +119,41 @@ def test_substring_dedup(spark, rows, hot, monkeypatch):
     assert S.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_open_runs_are_fetched_with_the_shuffle_of_the_result(spark):
+    """No map of runs, which collide more the more runs there are: each text
+    is shuffled once and the bytes of its own open runs are cut there."""
+    from pairloom.llm import substring_dedup as S
+
+    rnd = random.Random(7)
+    letters = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    same = letters(150)
+    texts = [(i, letters(60) + same + letters(60)) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = S.substring_dedup(df)
+        got = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "ReusedExchange" in plan and not hasattr(S, "MAP_BITS")
+    assert got == brute_cut(texts)
+
+
+def test_equal_neighbouring_runs_of_a_batch_are_dealt_as_one():
+    import pyarrow as pa
+
+    from pairloom.llm import substring_dedup as S
+
+    text = bytes(random.Random(3).choices(range(97, 123), k=3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0]), pa.array([text, text, text[:1000]], pa.binary())], names=["doc_id", "tag", "data"])
+    [out] = S._scan([batch])
+    marked = [(r["doc_id"], r["pos"] >> 8, r["ctx"]) for r in out.to_pylist() if r["pos"] & 128]
+    # the last run of the cut text is shorter than that of the whole one
+    assert marked[0] == (2, 0, 2901) and all(d == 3 for d, _, _ in marked[1:]) and len(marked) <= 2
+
+
 def test_difference_cover():
     from pairloom.llm.substring_dedup import difference_cover
 
