@@ -93,6 +93,19 @@ def test_word_counts_of_the_content_score_are_made_once(spark):
     assert "ReusedExchange" in executed(C.content_f1(df, emb, "id", "c", "r"))
 
 
+def test_words_of_the_content_score_are_not_shuffled_by_row(spark):
+    """Texts go to their group, no row per text and word; rows of one id are
+    scored together, as are all without an id."""
+    emb = spark.createDataFrame([(i, [float(i + 1), float(i * i), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(1, "a b", "c"), (1, "d", None), (None, "e f", "g"), (2, "a b d", "c"), (3, None, None)], "id long, c string, r string")
+    out = C.content_f1(df, emb, "id", "c", "r", group_rows=1)
+    assert "_side" not in optimized(out) and "ReusedExchange" in executed(out)
+    got = {(r.id, r.c): r.f1 for r in out.collect()}
+    assert len(got) == 5 and got[1, "a b"] == got[1, "d"] == got[2, "a b d"] > 0 and got[3, None] == 0
+    one_group = {(r.id, r.c): r.f1 for r in C.content_f1(df, emb, "id", "c", "r").collect()}
+    assert one_group == got
+
+
 def test_places_of_phrases_are_counted_once(spark):
     rows = [("fr", "a b c", "a x c"), ("fr", "a b d", "a x d"), (None, "a b", "a x")]
     df = spark.createDataFrame(rows, "lang string, src_raw string, tgt_raw string")
