@@ -19,9 +19,11 @@ the lower half, then for the upper), so memory is linear in the words."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,25 +231,119 @@ def _by_rules(text: pd.Series, keys: pd.Series, to: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _hashes(ws: list[str]) -> np.ndarray:
+    code, distinct = pd.factorize(np.array(ws, dtype=object))
+    return pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[code] if ws else np.zeros(0, np.uint64)
+
+
+def _further(h, w):
+    """Hash of a key one word longer."""
+    h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key's two places in a map of ``bits`` (a power of two)."""
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+#: begins of keys: without context, and a text's beginning as the word before
+ANYWHERE, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
+def _rule_bits(bits: int):
+    def run(batches):
+        for batch in batches:
+            left, phrase = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            h = np.array([ANYWHERE if x is None else BEGIN if x == "" else 0 for x in left], np.uint64)
+            words_ = [i for i, x in enumerate(left) if x]
+            h[words_] = _hashes([left[i] for i in words_])
+            phrases = [p.split(" ") if p else [] for p in phrase]
+            for k in range(max(map(len, phrases), default=0)):
+                longer = [i for i, p in enumerate(phrases) if len(p) > k]
+                h[longer] = _further(h[longer], _hashes([phrases[i][k] for i in longer]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(h, bits)))], names=["bit"])
+
+    return run
+
+
+def _rule_map(rules: DataFrame) -> np.ndarray:
+    """Bits of the rules' keys, 32 or more to a rule: a map that tells nearly
+    all keys without a rule.  Beyond 2**30 bits it only tells fewer."""
+    bits = 1 << 16
+    n = rules.count()
+    while bits < min(32 * n, 1 << 30):
+        bits *= 2
+    places = rules.select("left", "phrase").where(F.col("phrase").isNotNull()).mapInArrow(_rule_bits(bits), "bit long")
+    place = F.col("bit") + 1
+    held = np.zeros(bits // 8, np.uint8)
+    for r in (places.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("b"))
+              .collect()):  # the map's bytes at most
+        part = np.frombuffer(r["b"], np.uint8)
+        at = (r["k"] - 1) * len(part)
+        held[at : at + len(part)] = part[: len(held) - at]
+    return held
+
+
+def _candidates(held: bytes, max_phrase: int, chars: int = 1 << 20):
+    """Of rows (columns..., text) the columns with each distinct key that may
+    have a rule: a phrase of the text behind the word before it, or anywhere."""
+
+    def found(texts: list[str]):
+        bits = np.frombuffer(held, np.uint8)
+        lists = [t.split() for t in texts]
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        start = np.cumsum(size) - size
+        ws = list(chain.from_iterable(lists))
+        h = _hashes(ws)
+        # places: before every word and at the end of each text
+        text = np.repeat(np.arange(len(lists)), size + 1)
+        at = np.arange(len(text)) - text
+        end = (start + size)[text]
+        first = at == start[text]
+        behind, anywhere = np.full(len(at), BEGIN), np.full(len(at), ANYWHERE)
+        behind[~first] = h[at[~first] - 1]
+        for k in range(max_phrase + 1):
+            if k:
+                fits = at + k <= end
+                text, at, end, first, behind, anywhere = (x[fits] for x in (text, at, end, first, behind, anywhere))
+                behind, anywhere = _further(behind, h[at + k - 1]), _further(anywhere, h[at + k - 1])
+            for keys, context in ((behind, True), (anywhere, False))[: 2 if k else 1]:
+                x, y = _bits(keys, 8 * len(bits))
+                hit = np.flatnonzero((bits[x >> 3] >> (x & 7).astype(np.uint8)) & (bits[y >> 3] >> (y & 7).astype(np.uint8)) & 1)
+                for row, i, begins in zip(text[hit].tolist(), at[hit].tolist(), first[hit].tolist()):
+                    phrase = " ".join(ws[i : i + k])
+                    yield row, ("" if begins else ws[i - 1]) + MARK + phrase if context else phrase
+
+    def run(batches):
+        for batch in batches:
+            *names, text = batch.schema.names
+            texts, lo = batch[text].to_pylist(), 0
+            while lo < len(texts):
+                hi, room = lo, chars
+                while hi < len(texts) and (hi == lo or room > 0):
+                    room -= len(texts[hi] or "")
+                    hi += 1
+                hits = sorted(set(found([t or "" for t in texts[lo:hi]])))
+                rows = batch.select(names).slice(lo, hi - lo).take(pa.array([r for r, _ in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([k for _, k in hits], pa.string())], names=[*names, "word"])
+                lo = hi
+
+    return run
+
+
 def apply_rules(df: DataFrame, rules: DataFrame, ids, text: str, out: str, match_cols: Sequence[str] = (),
                 max_phrase: int = MAX_PHRASE) -> DataFrame:
     """Rewrite ``text`` by ``rules`` (left, phrase, to; ``match_cols`` must
     match too) into ``out``.  A row's distinct phrases, with the word before
-    and without, are joined with the rules; only those that exist come back to
-    the row, whose task builds a tree of them and goes through the text once.
+    and without, are held against a map of the rules' hashes, and those that
+    may have a rule are joined with the rules; only those that exist come back
+    to the row, whose task builds a tree of them and goes through the text once.
     A null text stays null, a blank one becomes ''; ``ids`` must be unique."""
-    s = F.coalesce(words(text), F.array().cast("array<string>"))
-    left = lambda ws, i: F.when(i == 0, F.lit("")).otherwise(F.get(ws, i - 1))
-
-    def keys(ws):
-        def at(i):
-            phrases = F.transform(F.sequence(F.lit(0), F.least(F.lit(max_phrase), F.size(ws) - i)), lambda k: _phrase(F.slice(ws, i + 1, k)))
-            behind = F.transform(phrases, lambda p: F.concat(left(ws, i), F.lit(MARK), p))
-            return F.concat(behind, F.filter(phrases, lambda p: p != ""))
-
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(ws)), at)))
-
     key = F.when(F.col("left").isNull(), F.col("phrase")).otherwise(F.concat("left", F.lit(MARK), "phrase"))
     changes = rules.select(*match_cols, key.alias("word"), "to")
-    keyed = computed_once(df, _s=s)
-    return rewrite_keyed(keyed, ids, keys(F.col("_s")), changes, {text: out}, _by_rules, match_cols).drop("_s")
+    own = list(dict.fromkeys([*([ids] if isinstance(ids, str) else ids), *match_cols]))
+    schema = T.StructType([*df.select(*own).schema.fields, T.StructField("word", T.StringType())])
+    texts = df.select(*own, F.col(text).alias("_text"))
+    keys = texts.mapInArrow(_candidates(_rule_map(rules).tobytes(), max_phrase), schema)
+    return rewrite_keyed(df, ids, keys, changes, {text: out}, _by_rules, match_cols)

@@ -116,3 +116,19 @@ def test_ranks_do_not_depend_on_ranges(spark):
     for lang in ("a", "b", "c"):
         exp = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))
         assert sorted((g["rank"], g["word"]) for g in got if g["lang"] == lang) == [(k, r[1]) for k, r in enumerate(exp, 1)]
+
+
+def test_only_phrases_that_may_have_a_rule_are_joined(spark):
+    """The keys of a text stay in its task, but for those with a rule and the
+    few that a map of the rules' hashes cannot tell from them."""
+    rules = spark.createDataFrame([(None, "b c", "x"), ("a", "d", "y"), ("", "", "z"), ("e", "", "w"), ("", "q r s", "")], "left string, phrase string, to string")
+    texts = [(1, "a d b c e"), (2, "q r s t"), (3, None), (4, " "), (5, "q r"), (6, " ".join(f"w{i}" for i in range(5000)))]
+    df = spark.createDataFrame(texts, "id long, t string")
+    held = ED._rule_map(rules).tobytes()
+    keys = df.select("id", F.col("t").alias("_text")).mapInArrow(ED._candidates(held, 3), "id long, word string").collect()
+    exact = {(1, "a\td"), (1, "b c"), (1, "e\t"), *[(i, "\t") for i in range(1, 7)], (2, "\tq r s")}
+    assert exact <= {tuple(k) for k in keys} and len(keys) < 100
+    out = ED.apply_rules(df, rules, "id", "t", "o")
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.o for r in out.collect()}
+    assert got[1] == "z a y x e w" and got[2] == "t" and got[3] is None and got[4] == "z" and got[5] == "z q r" and got[6] == "z " + texts[5][1]
