@@ -1,6 +1,8 @@
 """Kneser-Ney fluency and the iterative judge against plain forms."""
 
 import math
+import os
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import fluency_kn as KN
 from pairloom.operators import judge as J
 from pairloom.operators import learner as LE
+from pairloom.operators import packed_counts as PC
 
 TEXTS = ["the cat sat on the mat", "the cat ran", "a dog sat on the cat", "the dog ran on", "", None, "a cat", "the cat sat on the mat"]
 
@@ -54,6 +57,45 @@ def test_empty_corpus_and_saved_model(spark, model, tmp_path):
     assert KN.perplexity_kn(df, same, "id").collect() == KN.perplexity_kn(df, model[0], "id").collect()
 
 
+def test_packed_sums_against_plain_ones(spark, monkeypatch):
+    """Many chunks and buckets, odd words, an n-gram asked for; nothing is
+    shuffled by row."""
+    rnd = random.Random(2)
+    words = ["a", "b", "é", "x" * 300, "日本", "\U0001f600", "'", "-"]
+    rows = [(*rnd.choices(words, k=2), rnd.randint(0, 5)) for _ in range(900)]
+    monkeypatch.setattr(PC, "CHUNK_GRAMS", 100)
+    table = spark.createDataFrame(rows, "v string, w string, n long").repartition(3)
+    exp = {}
+    for v, w, n in rows:
+        exp[v, w] = exp.get((v, w), 0) + n
+    blocks = PC.packed_rows(table, "vw", ["n"], lambda v, w, n: ([v, w], [n, n * 0]), 7)
+    out = PC.summed(blocks, "vw", ["n", "k"])
+    assert {(r.v, r.w): (r.n, r.k) for r in out.collect()} == {x: (n, 0) for x, n in exp.items()}
+    asked = spark.createDataFrame([("a", "é"), ("never", "a"), ("a", "é")], "v string, w string")
+    more = PC.packed_rows(asked, "vw", [], lambda v, w: ([v, w], [np.zeros_like(v), np.ones_like(v)]), 7)
+    got = sorted(map(tuple, PC.summed(blocks.unionAll(more), "vw", ["n", "_asked"], asked=True).collect()))
+    assert got == [("a", "é", exp["a", "é"]), ("never", "a", 0)]
+    # more words than three places of 63 bits hold
+    codes = [np.array([5, 1, 5]), np.array([2, 2, 2]), np.array([9, 8, 9])]
+    for size in (10, 1 << 22):
+        c, [n] = PC._summed(codes, [np.array([1, 2, 3])], size)
+        assert [x.tolist() for x in c] == [[1, 5], [2, 2], [8, 9]] and n.tolist() == [2, 4]
+
+
+def test_counts_are_shuffled_packed_and_deleted_when_read(spark):
+    from pairloom.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    m = KN.train_kn(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    df = spark.createDataFrame([(1, "the cat sat"), (1, "the dog"), (2, None)], "id long, text string")
+    kept = sorted(KN.perplexity_kn(df, m, "id").collect())
+    out = KN.perplexity_kn(df, m, "id", last=True)
+    assert sorted(n.split("-")[2 if n.startswith("pairloom-kn-") else 1] for n in set(os.listdir(folder)) - before) == ["lp", "lp"]
+    assert [r.ppl_kn for r in sorted(out.collect())] == pytest.approx([r.ppl_kn for r in kept])
+    assert kept[0].ppl_kn == kept[1].ppl_kn and kept[2].ppl_kn is None  # rows of one id are one text
+
+
 def plain_epochs(rows, epochs, rate, dim, places):
     w, b, history = np.zeros(dim), 0.0, []
     x = np.zeros((len(rows), dim))
